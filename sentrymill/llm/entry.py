@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing
+from . import fingerprints, packing, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_packing": packing.op9_packing}
+    return {
+        "op1_winnowing": fingerprints.op1_winnowing,
+        "op8_toxicity": toxicity.op8_toxicity,
+        "op9_packing": packing.op9_packing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
