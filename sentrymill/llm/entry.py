@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, langid, packing, toxicity
+from . import fingerprints, langid, packing, substrings, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_winnowing": fingerprints.op1_winnowing,
+        "op5_substrings": substrings.op5_substrings,
         "op6_language": langid.op6_language,
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_packing": packing.op9_packing,
