@@ -73,7 +73,7 @@ def _bodies(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(run, "vec_id long, _cls long, _body binary")
 
 
-def near(docs: DataFrame, share: float = 0.9, words: int = 128, lists: float = 40.0) -> DataFrame:
+def near(docs: DataFrame, share: float = 0.9, words: int = 128, lists: float = 80.0) -> DataFrame:
     """For each vector its links with cosine >= ``share``, its component and whether it is the one kept."""
     spark = docs.sparkSession
     kind = np.float64 if "double" in docs.schema["embedding"].dataType.simpleString() else np.float32
@@ -132,7 +132,7 @@ def near(docs: DataFrame, share: float = 0.9, words: int = 128, lists: float = 4
     return docs.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(run, "vec_id long, _cls long, _body binary")
 
 
-def near(docs: DataFrame, share: float = 0.9, words: int = 128, lists: float = 40.0) -> DataFrame:
+def near(docs: DataFrame, share: float = 0.9, words: int = 128, lists: float = 80.0) -> DataFrame:
     """For each vector its links with cosine >= ``share``, its component and whether it is the one kept."""
     spark = docs.sparkSession
     kind = np.float64 if "double" in docs.schema["embedding"].dataType.simpleString() else np.float32

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import caps, fingerprints, jaccard, langid, packing, substrings, toxicity
+from . import caps, fingerprints, jaccard, langid, ngrams, packing, substrings, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_jaccard": jaccard.op4_jaccard,
         "op5_substrings": substrings.op5_substrings,
         "op6_language": langid.op6_language,
+        "op7_interpolation": ngrams.op7_interpolation,
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_packing": packing.op9_packing,
     }

@@ -143,3 +143,11 @@ def shingles(h: np.ndarray, k: int) -> np.ndarray:
     for i in range(k):
         x = mix(x * U(0xD6E8FEB86659FD93) + h[i : n - k + 1 + i])
     return np.unique(x)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files of finished queries now rather than at the driver's next collection."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
