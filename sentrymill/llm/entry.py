@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import caps, fingerprints, jaccard, langid, ngrams, packing, substrings, toxicity
+from . import caps, fingerprints, jaccard, langid, ngrams, packing, sentencepieces, substrings, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_interpolation": ngrams.op7_interpolation,
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_packing": packing.op9_packing,
+        "op10_pieces": sentencepieces.op10_pieces,
     }
 
 
