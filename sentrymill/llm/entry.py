@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import caps, fingerprints, jaccard, langid, ngrams, packing, sentencepieces, substrings, toxicity
+from . import caps, fingerprints, jaccard, langid, lines, ngrams, packing, sentencepieces, substrings, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_winnowing": fingerprints.op1_winnowing,
+        "op2_lines": lines.op2_lines,
         "op3_caps": caps.op3_caps,
         "op4_jaccard": jaccard.op4_jaccard,
         "op5_substrings": substrings.op5_substrings,

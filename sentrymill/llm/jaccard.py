@@ -99,7 +99,7 @@ def links_set(words: kit.Words, i: int, k: int) -> np.ndarray:
 
 
 def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """(doc_id, _k, n_shingles, component_id): the size of each document's set and the smallest id it reaches."""
+    """(doc_id, _k, _root, n_shingles, component_id): the size of each document's set and the smallest id it reaches."""
     spark = docs.sparkSession
     n = kit.parts(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("_k"))
@@ -119,7 +119,7 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFram
     comps = links.link_groups(kit.cut(members), lambda b: np.frombuffer(b, np.uint64), num, den)
     joined = rows.join(comps.withColumnRenamed("id", "_cls"), "_cls", "left").withColumn("_root", F.coalesce("component", "_cls"))
     least = joined.where("_root is not null").groupBy("_root").agg(F.min("doc_id").alias("_least"))
-    return joined.join(least, "_root", "left").select("doc_id", "_k", "n_shingles", F.when(F.col("_root").isNull(), F.col("doc_id")).otherwise(F.col("_least")).alias("component_id"))
+    return joined.join(least, "_root", "left").select("doc_id", "_k", "_root", "n_shingles", F.when(F.col("_root").isNull(), F.col("doc_id")).otherwise(F.col("_least")).alias("component_id"))
 
 
 def _groups(comps: DataFrame) -> DataFrame:
@@ -128,4 +128,4 @@ def _groups(comps: DataFrame) -> DataFrame:
 
 
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(kit.read(spark, sf_dir, "documents")).drop("_k")
+    return join(kit.read(spark, sf_dir, "documents")).drop("_k", "_root")

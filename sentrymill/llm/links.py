@@ -190,9 +190,10 @@ def linked(sets: list[np.ndarray], num: int, den: int, side: np.ndarray | None =
     comp = np.arange(len(sets))
     if len(sets) < 2:
         return comp
-    tree = CountTree(sets)
+    few = np.arange(len(sets)) if len(sets) <= 6 else None  # a tree over so few is one leaf
+    tree = CountTree(sets) if few is None else None
     for q in range(len(sets)):
-        k = tree.near(q, num / den)
+        k = few if tree is None else tree.near(q, num / den)
         k = k[(comp[k] != comp[q]) & (k > q)]
         if side is not None:
             k = k[side[k] != side[q]]

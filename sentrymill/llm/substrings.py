@@ -278,9 +278,9 @@ def trimmed(docs: DataFrame, window: int = 35) -> DataFrame:
     got = seen.join(_trim(cut_out, window, True), ["_h1", "_h2"], "left")
     copies = (F.col("_w") > 1) & (F.col("n_words") >= window)
     new = got.where(copies | F.col("_gone").isNotNull()).select("_k", F.when(copies, "").otherwise(F.col("_left")).alias("_new")).dropDuplicates(["_k"])
-    cols = docs.columns
-    keyed = docs.withColumn("_k", F.xxhash64(F.col("doc_id").cast("long"), "text"))
-    return keyed.join(new, "_k", "left").withColumn("text", F.coalesce("_new", "text")).select(*cols)
+    cols, key, out = docs.columns, kit.fresh("_k", docs), kit.fresh("_new", docs)
+    keyed = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), "text"))
+    return keyed.join(new.withColumnRenamed("_k", key).withColumnRenamed("_new", out), key, "left").withColumn("text", F.coalesce(out, "text")).select(*cols)
 
 
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -207,11 +207,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 20_000):
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample: int = 20_000, keep: bool = False) -> DataFrame:
-    """Each document's score and prediction; with ``keep`` all its columns come first."""
+    """Each document's id, score and prediction; with ``keep`` all columns of the documents that are predicted 0."""
     model = learn(docs, labels, sample)
     cols = docs.columns if keep else ["doc_id"]
-    at = F.col("text")
-    rows = docs.withColumn("_text", at).select("_text", *cols)
+    body, mark, guess = (kit.fresh(c, docs) for c in ("_text", "_score", "_predicted"))
+    rows = docs.withColumn(body, F.col("text")).select(body, *cols)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -221,10 +221,10 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample: in
                 lexicon, trees, steps = model
                 x = np.array([features(t, lexicon) for t in b.column(0).to_pylist()], float).reshape(-1, FEATURES)
                 s = calibrated(steps, trees(x)) if len(x) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32), pa.int32())], names=[*b.schema.names[1:], "_score", "_predicted"])
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32), pa.int32())], names=[*b.schema.names[1:], mark, guess])
 
-    schema = rows.select(*cols).schema.add("_score", T.DoubleType()).add("_predicted", T.IntegerType())
-    return rows.mapInArrow(run, schema)
+    got = rows.mapInArrow(run, T.StructType([*rows.select(*cols).schema.fields, T.StructField(mark, T.DoubleType()), T.StructField(guess, T.IntegerType())]))
+    return got.where(F.col(guess) == 0).select(*cols) if keep else got
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
