@@ -210,7 +210,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample: in
     """Each document's id, score and prediction; with ``keep`` all columns of the documents that are predicted 0."""
     model = learn(docs, labels, sample)
     cols = docs.columns if keep else ["doc_id"]
-    body, mark, guess = (kit.fresh(c, docs) for c in ("_text", "_score", "_predicted"))
+    body, mark, guess = (kit.fresh(c, docs.select(*cols)) for c in ("_text", "_score", "_predicted"))
     rows = docs.withColumn(body, F.col("text")).select(body, *cols)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
