@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import dashboard, intel  # noqa: F401  (they register their queries)
+from . import capture, dashboard, intel  # noqa: F401  (they register their queries)
 from .base import QUERIES, SQL
 
 
