@@ -41,7 +41,6 @@ def in_blocks(number: Column, blocks: tuple[str, ...]) -> Column:
     return out
 
 
-@F.pandas_udf(T.BooleanType())
 def _public_v6(ip: pd.Series) -> pd.Series:
     nets = [ipaddress.ip_network(b) for b in NON_PUBLIC_V6]
     nets4 = [ipaddress.ip_network(b) for b in NON_PUBLIC_V4]
@@ -62,7 +61,7 @@ def is_public(ip: Column, v6: bool = True) -> Column:
     """Globally routable. Without ``v6`` no Python runs and IPv6 texts are not public."""
     n = ipv4_number(ip)
     out = F.when(n.isNotNull(), ~in_blocks(n, NON_PUBLIC_V4))
-    return out.when(ip.contains(":"), _public_v6(ip)).otherwise(F.lit(False)) if v6 else out.otherwise(F.lit(False))
+    return out.when(ip.contains(":"), F.pandas_udf(_public_v6, T.BooleanType())(ip)).otherwise(F.lit(False)) if v6 else out.otherwise(F.lit(False))
 
 
 def in_set(ip: Column, entries: tuple[str, ...]) -> Column:

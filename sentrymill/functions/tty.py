@@ -6,6 +6,7 @@ import codecs
 import struct
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -73,11 +74,18 @@ def transcript(log: bytes, output: bool = True) -> str:
     return "".join(parts)
 
 
-@F.pandas_udf(T.ArrayType(_FRAME))
-def frames(log: pd.Series) -> pd.Series:
+def _frames(log: pd.Series) -> pd.Series:
     return log.map(lambda b: [dict(zip(("us", "op", "direction", "data"), f)) for f in decode(bytes(b or b""))])
 
 
-@F.pandas_udf(T.StringType())
-def rendered(log: pd.Series) -> pd.Series:
+def _rendered(log: pd.Series) -> pd.Series:
     return log.map(lambda b: transcript(bytes(b or b"")))
+
+
+def frames(log: Column | str) -> Column:
+    """Frames of a binary column; made when used, as it needs a session."""
+    return F.pandas_udf(_frames, T.ArrayType(_FRAME))(log)
+
+
+def rendered(log: Column | str) -> Column:
+    return F.pandas_udf(_rendered, T.StringType())(log)

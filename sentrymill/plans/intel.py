@@ -37,12 +37,10 @@ def actor_build(spark, e, d):
 for _col in ("intent", "playbook", "source"):
     query(f"actors_by_{_col}", f"SELECT {_col} AS value, count(*) AS n FROM actors GROUP BY 1", ACTORS)(lambda spark, e, d, c=_col: A.actors(e).groupBy(F.col(c).alias("value")).agg(F.count("*").alias("n")))
 
-for _name, _order, _sql, _n in (
-    ("list_actors", [F.desc("last_seen"), F.asc("actor_id")], "b DESC, actor_id", 100),
-    ("top_actors_by_events", [F.desc("event_count"), F.asc("actor_id")], "event_count DESC, actor_id", 14),
-    ("top_actors_by_rate", [F.desc("attempts_per_hour"), F.asc("actor_id")], "aph DESC, actor_id", 8),
-):
-    query(_name, f"SELECT actor_id, event_count, playbook FROM actors ORDER BY {_sql} LIMIT {_n}", ACTORS)(lambda spark, e, d, o=_order, n=_n: A.actors(e).orderBy(*o).limit(n).select("actor_id", "event_count", "playbook"))
+for _name, _order, _sql, _n in (("list_actors", "last_seen", "b", 100), ("top_actors_by_events", "event_count", "event_count", 14), ("top_actors_by_rate", "attempts_per_hour", "aph", 8)):
+    query(_name, f"SELECT actor_id, event_count, playbook FROM actors ORDER BY {_sql} DESC, actor_id LIMIT {_n}", ACTORS)(
+        lambda spark, e, d, o=_order, n=_n: A.actors(e).orderBy(F.desc(o), "actor_id").limit(n).select("actor_id", "event_count", "playbook")
+    )
 
 
 @query("reportable_actor_by_ip", "SELECT primary_ip, actor_id FROM (SELECT *, row_number() OVER (PARTITION BY primary_ip ORDER BY probe_score DESC, event_count DESC, b DESC, actor_id) AS r FROM actors) WHERE r = 1", ACTORS)

@@ -41,3 +41,12 @@ def test_entry_point(spark):
 
     assert set(registry.queries()) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() > 0
+
+
+def test_import_needs_no_session():
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    said = subprocess.run([sys.executable, "-B", "-c", "import __spark_entry__ as e; print(len(e.queries()) >= 80, len(e.oracle_sql()) >= 80)"], cwd=root, capture_output=True, text=True)
+    assert said.stdout.split() == ["True", "True"], said.stderr[-500:]
