@@ -140,7 +140,7 @@ def fingerprints(docs: DataFrame, k: int = 16, window: int = 48) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-        for cols in kit.slices(batches, text=3, limit=2_000_000):
+        for cols in kit.slices(batches, text=3):
             rows += zip(*cols)
             yield from _compare(rows, k, window)
             rows = rows[-1:]

@@ -3,12 +3,15 @@ batches, and tables written to the shared folder so that lost executors never co
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +61,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def beside(texts: DataFrame, rows: DataFrame, key: str | list[str], how: str = "inner") -> DataFrame:
+    """Joins texts with rows that grow with them: a merge join at every size, never one that broadcasts while rows are few."""
+    return texts.join(rows.hint("merge"), key, how)
+
+
 def fresh(name: str, df: DataFrame) -> str:
     """``name``, or a longer one that no column of ``df`` has."""
     taken = {c.lower() for c in df.columns}
@@ -75,19 +83,20 @@ def crc_mod(col: str, n: int):
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % n
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: int = 1, limit: int = 4_000_000) -> Iterator[tuple[list, ...]]:
-    """Rows of Arrow batches as column lists, cut so that the texts of a slice hold about ``limit`` characters."""
+def slices(batches: Iterator[pa.RecordBatch], text: int = 1, limit: int = 1_000_000) -> Iterator[tuple[list, ...]]:
+    """Rows of Arrow batches as column lists, cut so that the texts of a slice hold about ``limit`` bytes.
+
+    Only one slice at a time becomes Python objects; a longer text is a slice of its own."""
     for b in batches:
-        cols = [c.to_pylist() for c in b.columns]
+        sizes = pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False)
         lo = size = 0
-        for i, t in enumerate(cols[text]):
-            n = len(t) if t else 0
+        for i, n in enumerate(sizes.tolist()):
             if size and size + n > limit:
-                yield tuple(c[lo:i] for c in cols)
+                yield tuple(c.to_pylist() for c in b.slice(lo, i - lo).columns)
                 lo, size = i, 0
             size += n
         if lo < b.num_rows:
-            yield tuple(c[lo:] for c in cols)
+            yield tuple(c.to_pylist() for c in b.slice(lo).columns)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -137,6 +146,14 @@ class Words:
         return b" ".join([d[a:b] for a, b in zip(s, e)])
 
 
+def unique(x: np.ndarray) -> np.ndarray:
+    """Distinct values in order; lighter than the library's for short arrays."""
+    x = np.sort(x)
+    keep = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=keep[1:])
+    return x[keep]
+
+
 def shingles(h: np.ndarray, k: int) -> np.ndarray:
     """Distinct sorted hashes of the k-word shingles of one text; fewer words count as one shingle, none as nothing."""
     n = len(h)
@@ -150,12 +167,14 @@ def shingles(h: np.ndarray, k: int) -> np.ndarray:
     x = np.zeros(n - k + 1, np.uint64)
     for i in range(k):
         x = mix(x * U(0xD6E8FEB86659FD93) + h[i : n - k + 1 + i])
-    return np.unique(x)
+    return unique(x)
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark delete shuffle files of finished queries now rather than at the driver's next collection."""
-    import gc
+    """Lets Spark delete shuffle files of finished queries now rather than at the driver's next collection.
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    The second round finds what listeners still held in the first."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.6)

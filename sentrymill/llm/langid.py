@@ -221,7 +221,7 @@ def predict(docs: DataFrame, model: Chain | None) -> DataFrame:
     held = (kit.crc_mod("doc_id", 3) == 1).alias("held_out")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts, held_out in kit.slices(batches, limit=3_000_000):
+        for ids, texts, held_out in kit.slices(batches):
             lang, score = ["und"] * len(ids), [0.0] * len(ids)
             words = kit.Words(texts, lower=True)
             if model and len(words.start):
