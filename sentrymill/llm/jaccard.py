@@ -64,34 +64,37 @@ def set_id(s: np.ndarray) -> int:
     return int(kit.mix(np.array([kit.mix(s).sum(dtype=np.uint64) + U(len(s))], np.uint64)).view(np.int64)[0])
 
 
-def _scan(docs: DataFrame, k: int, num: int, den: int, targets: int) -> DataFrame:
-    """Rows of documents (with their class) and of packed candidate keys."""
+def _rows(docs: DataFrame, k: int) -> DataFrame:
+    """(doc_id, _k, n_shingles, _cls) of each document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts, rows in kit.slices(batches):
+            words = kit.Words(texts, lower=True)
+            sets = [links_set(words, i, k) for i in range(len(ids))]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())], names=["doc_id", "_k", "n_shingles", "_cls"])
+
+    return docs.mapInArrow(run, "doc_id long, _k long, n_shingles long, _cls long")
+
+
+def _keys(docs: DataFrame, k: int, num: int, den: int, targets: int) -> DataFrame:
+    """Packed candidate keys of the different sets of each batch."""
     classes = SizeClasses(num, den)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts, rows in kit.slices(batches):
             words = kit.Words(texts, lower=True)
-            n, cls, seen, keys, owner = [], [], set(), [], []
+            seen, keys, owner = set(), [], []
             for i in range(len(ids)):
                 s = links_set(words, i, k)
-                n.append(len(s))
-                cls.append(set_id(s) if len(s) else None)
-                if len(s) and cls[-1] not in seen:
-                    seen.add(cls[-1])
+                cls = set_id(s) if len(s) else None
+                if cls is not None and cls not in seen:
+                    seen.add(cls)
                     keys.append(signatures(s, classes))
-                    owner.append(np.full(len(keys[-1]), cls[-1], np.int64))
-            none = lambda t, m: pa.nulls(m, t)
-            m = len(ids)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), none(pa.int32(), m), none(pa.binary(), m)], names=NAMES)
+                    owner.append(np.full(len(keys[-1]), cls, np.int64))
             if keys:
-                p = links.combined(np.concatenate(keys), np.concatenate(owner), targets)
-                m = p.num_rows
-                yield pa.RecordBatch.from_arrays([none(pa.int64(), m), none(pa.int64(), m), none(pa.int64(), m), none(pa.int64(), m), *p.columns], names=NAMES)
-
-    return docs.mapInArrow(run, "doc_id long, _k long, n_shingles long, _cls long, part int, block binary")
-
+                yield links.combined(np.concatenate(keys), np.concatenate(owner), targets)
 
-NAMES = ["doc_id", "_k", "n_shingles", "_cls", "part", "block"]
+    return docs.mapInArrow(run, links.PACKED)
 
 
 def links_set(words: kit.Words, i: int, k: int) -> np.ndarray:
@@ -103,20 +106,22 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFram
     spark = docs.sparkSession
     n = kit.parts(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("_k"))
-    seen = kit.cut(_scan(docs, k, num, den, 4 * n))
-    rows = seen.where("part is null").drop("part", "block")
-    groups = kit.cut(_groups(links.components(links.star_edges(seen.where("part is not null").select("part", "block"), n))))
-    reps = rows.where("_cls is not null").groupBy("_cls").agg(F.min("_k").alias("_k"))
-    wanted = groups.join(reps, F.col("id") == F.col("_cls")).select("_k", "grp", "id")
+    rows = kit.cut(_rows(docs, k))
+    groups = kit.cut(_groups(links.components(links.star_edges(_keys(docs, k, num, den, 4 * n), n))))
+    kit.release(spark)
+    reps = rows.where("_cls is not null").groupBy("_cls").agg(F.min("_k").alias("_k"), F.min("n_shingles").alias("_n"))
+    known = kit.cut(groups.join(reps, F.col("id") == F.col("_cls")).select("_k", "grp", "id", (8 * F.col("_n") + 64).alias("bytes")))
+    wanted = known.join(links.blocks_of(known, 16_000_000), "grp").select("_k", "grp", "id", "_blocks")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for grp, texts, ids in kit.slices(batches):
+        for grp, texts, ids, blocks in kit.slices(batches):
             words = kit.Words(texts, lower=True)
             body = [links_set(words, i, k).tobytes() for i in range(len(ids))]
-            yield pa.RecordBatch.from_arrays([pa.array(grp, pa.int64()), pa.array(ids, pa.int64()), pa.array(body, pa.binary())], names=["grp", "id", "body"])
+            yield pa.RecordBatch.from_arrays([pa.array(grp, pa.int64()), pa.array(ids, pa.int64()), pa.array(body, pa.binary()), pa.array(blocks, pa.int32())], names=["grp", "id", "body", "_blocks"])
 
-    members = docs.select("_k", "text").join(wanted, "_k").select("grp", "text", "id").mapInArrow(sets, "grp long, id long, body binary").dropDuplicates(["id"])
-    comps = links.link_groups(kit.cut(members), lambda b: np.frombuffer(b, np.uint64), num, den)
+    members = docs.select("_k", "text").join(wanted, "_k").select("grp", "text", "id", "_blocks").mapInArrow(sets, "grp long, id long, body binary, _blocks int")
+    comps = links.link_groups(members, lambda bodies: [np.frombuffer(b, np.uint64) for b in bodies], num, den)
+    kit.release(spark)
     joined = rows.join(comps.withColumnRenamed("id", "_cls"), "_cls", "left").withColumn("_root", F.coalesce("component", "_cls"))
     least = joined.where("_root is not null").groupBy("_root").agg(F.min("doc_id").alias("_least"))
     return joined.join(least, "_root", "left").select("doc_id", "_k", "_root", "n_shingles", F.when(F.col("_root").isNull(), F.col("doc_id")).otherwise(F.col("_least")).alias("component_id"))

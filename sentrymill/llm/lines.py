@@ -56,6 +56,14 @@ def shingle_set(norm: str) -> np.ndarray:
     return np.unique(_codes([norm])[0])
 
 
+def shingle_sets(bodies: list[bytes]) -> list[np.ndarray]:
+    """The sets of many lines (UTF-8), hashed together."""
+    if not bodies:
+        return []
+    h, bounds = _codes([b.decode("utf-8", "surrogatepass") for b in bodies])
+    return [kit.unique(h[a : b - SHINGLE + 1]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+
+
 def signatures(norms: list[str]) -> np.ndarray:
     """One-permutation MinHash: for each line the smallest hash of each bin, empty bins borrowing from others."""
     h, bounds = _codes(norms)
@@ -72,16 +80,15 @@ def signatures(norms: list[str]) -> np.ndarray:
     np.minimum.at(sig, line * BINS + bins, h.astype(np.uint32) >> np.uint32(1))
     sig = sig.reshape(-1, BINS)
     full = sig != EMPTY
-    for t in range(len(_PROBE)):
-        r, c = np.nonzero(sig == EMPTY)
-        if not len(r):
-            return sig
-        src = _PROBE[t, c]
+    r, c = np.nonzero(~full)
+    for probe in _PROBE:
+        src = probe[c]
         take = full[r, src]
-        sig[r[take], c[take]] = sig[r[take], src[take]] ^ np.uint32(0)
-    r, c = np.nonzero(sig == EMPTY)
-    first = full.argmax(1)
-    sig[r, c] = sig[r, first[r]]
+        sig[r[take], c[take]] = sig[r[take], src[take]]
+        r, c = r[~take], c[~take]
+        if not len(r):
+            break
+    sig[r, c] = sig[r, full.argmax(1)[r]]
     return sig
 
 
@@ -101,7 +108,7 @@ def _bands(docs: DataFrame, targets: int) -> DataFrame:
     """Packed (band key, line) entries of the different lines of each batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in kit.slices(batches, limit=3_000_000):
+        for _, texts in kit.slices(batches):
             norms = {n for t in texts if t for n in map(normal, set(t.split("\n"))) if n}
             if norms:
                 some = sorted(norms)
@@ -152,7 +159,8 @@ def line_components(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame
     groups = kit.cut(comps.select("id", F.col("component").alias("grp")).unionByName(comps.select(F.col("component").alias("id"), F.col("component").alias("grp")).distinct()))
     members = kit.cut(_bodies(docs).join(groups, "id").select("grp", "id", "body").dropDuplicates(["id"]))
     kit.release(spark)
-    return links.link_groups(members, lambda b: shingle_set(bytes(b).decode("utf-8", "surrogatepass")), num, den, block_bytes=2_000_000)
+    sizes = links.blocks_of(members.select("grp", (F.length("body") + 8).alias("bytes")), 2_000_000)
+    return links.link_groups(members.join(sizes, "grp"), shingle_sets, num, den)
 
 
 def removals(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:

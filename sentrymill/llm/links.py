@@ -142,35 +142,38 @@ class CountTree:
     the smaller coordinates; a node keeps the largest coordinates and the smallest size below it, so the same
     sum bounds what a set can share with anything in it."""
 
-    GROUPS, LEAF = 48, 16
+    GROUPS, LEAF = 256, 16
 
     def __init__(self, sets: list[np.ndarray]):
         self.size = np.array([len(s) for s in sets], np.int64)
-        self.point = np.stack([np.bincount((s >> U(40)).astype(np.int64) % self.GROUPS, minlength=self.GROUPS) for s in sets]).astype(np.int32)
+        of = np.concatenate(sets) >> U(56)
+        row = np.repeat(np.arange(len(sets), dtype=np.int64), self.size)
+        wide = np.uint16 if self.size.max(initial=0) < 65536 else np.int32
+        self.point = np.bincount(row * self.GROUPS + of.astype(np.int64), minlength=len(sets) * self.GROUPS).astype(wide).reshape(len(sets), self.GROUPS)
         # tiles: by size, then by where in the lattice the counts lie
-        slab = np.argsort(self.size, kind="stable")
         tile = np.empty(len(sets), np.int64)
-        tile[slab] = np.arange(len(sets)) // (self.LEAF * 8)
+        tile[np.argsort(self.size, kind="stable")] = np.arange(len(sets)) // (self.LEAF * 8)
         self.order = np.lexsort((self.point[:, 1], self.point[:, 0], tile))
         p, z = self.point[self.order], self.size[self.order]
-        at = np.arange(0, len(sets), self.LEAF)
-        self.high = np.maximum.reduceat(p, at)
-        self.low_size = np.minimum.reduceat(z, at)
-        self.high_size = np.maximum.reduceat(z, at)
+        self.at = np.arange(0, len(sets), self.LEAF)
+        self.high = np.maximum.reduceat(p, self.at)
+        self.low_size = np.minimum.reduceat(z, self.at)
+        self.high_size = np.maximum.reduceat(z, self.at)
 
-    def near(self, q: int, share: float) -> np.ndarray:
-        """Sets that may have Jaccard similarity ``share`` or more with set q."""
+    def near(self, q: int, share: float, open_: np.ndarray) -> np.ndarray:
+        """Sets among ``open_`` that may have Jaccard similarity ``share`` or more with set q."""
         n = self.size[q]
-        fit = (self.high_size >= share * n - 1e-9) & (self.low_size <= n / share + 1e-9)
+        fit = (self.high_size >= share * n - 1e-9) & (self.low_size <= n / share + 1e-9) & np.logical_or.reduceat(open_[self.order], self.at)
         leaves = np.flatnonzero(fit)
         if not len(leaves):
             return leaves
-        bound = np.minimum(self.high[leaves], self.point[q]).sum(1)
+        bound = np.minimum(self.high[leaves], self.point[q]).sum(1, dtype=np.int64)
         least = np.maximum(self.low_size[leaves], share * n)
         leaves = leaves[bound >= share / (1 + share) * (n + least) - 1e-9]
         at = (leaves[:, None] * self.LEAF + np.arange(self.LEAF)).ravel()
         k = self.order[at[at < len(self.order)]]
-        bound = np.minimum(self.point[k], self.point[q]).sum(1)
+        k = k[open_[k]]
+        bound = np.minimum(self.point[k], self.point[q]).sum(1, dtype=np.int64)
         return k[bound >= share / (1 + share) * (n + self.size[k]) - 1e-9]
 
 
@@ -190,13 +193,15 @@ def linked(sets: list[np.ndarray], num: int, den: int, side: np.ndarray | None =
     comp = np.arange(len(sets))
     if len(sets) < 2:
         return comp
-    few = np.arange(len(sets)) if len(sets) <= 6 else None  # a tree over so few is one leaf
-    tree = CountTree(sets) if few is None else None
+    tree = CountTree(sets) if len(sets) > 6 else None  # a tree over so few is one leaf
+    place = np.arange(len(sets))
     for q in range(len(sets)):
-        k = few if tree is None else tree.near(q, num / den)
-        k = k[(comp[k] != comp[q]) & (k > q)]
+        open_ = (comp != comp[q]) & (place > q)
         if side is not None:
-            k = k[side[k] != side[q]]
+            open_ &= side != side[q]
+        if not open_.any():
+            continue
+        k = np.flatnonzero(open_) if tree is None else tree.near(q, num / den, open_)
         for j in k:
             if comp[j] == comp[q]:
                 continue
@@ -207,22 +212,26 @@ def linked(sets: list[np.ndarray], num: int, den: int, side: np.ndarray | None =
     return comp
 
 
-def link_groups(members: DataFrame, to_set: Callable[[bytes], np.ndarray], num: int, den: int, block_bytes: int = 16_000_000) -> DataFrame:
+def blocks_of(sizes: DataFrame, block_bytes: int) -> DataFrame:
+    """(grp, _blocks) from (grp, bytes): blocks of about ``block_bytes`` that the members of a group are dealt into."""
+    return sizes.groupBy("grp").agg(F.greatest(F.lit(1), F.ceil(F.sum("bytes") / block_bytes)).cast("int").alias("_blocks"))
+
+
+def link_groups(members: DataFrame, to_sets: Callable[[list[bytes]], list[np.ndarray]], num: int, den: int) -> DataFrame:
     """Exact components inside candidate groups: (id, component) for ids that are not their component's smallest.
 
-    ``members``: (grp, id, body) with one row an id. Groups of at most ``block_bytes`` are settled in one task.
+    ``members``: (grp, id, body, _blocks), with ``_blocks`` from ``blocks_of``; ``to_sets`` gives the sets of a batch of
+    bodies. Groups of one block are settled in one task; equal rows count once.
     Larger ones are dealt into blocks by a hash of the id and every pair of blocks is settled in a task of its
     own; the edges of such groups go through ``components``."""
     spark = members.sparkSession
-    sizes = members.groupBy("grp").agg(F.sum(F.length("body") + 64).alias("_bytes"), F.count("*").alias("_n")).where("_n > 1")
-    blocks = F.ceil(F.col("_bytes") / block_bytes).cast("int")
-    sized = members.join(sizes.select("grp", blocks.alias("_blocks")), "grp").withColumn("_own", F.pmod(F.xxhash64("id", F.lit(7)), F.col("_blocks")).cast("int"))
+    sized = members.withColumn("_own", F.pmod(F.xxhash64("id", F.lit(7)), F.col("_blocks")).cast("int"))
     other = F.when(F.col("_blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("_blocks") - 1))
     dealt = sized.withColumn("_other", F.explode(other)).select("grp", F.least("_own", "_other").alias("_a"), F.greatest("_own", "_other").alias("_b"), "_own", (F.col("_blocks") > 1).alias("_large"), "id", "body")
 
     def settle(rows: list[tuple]) -> tuple[list[int], list[int], list[bool]]:
-        rows.sort(key=lambda r: r[5])
-        sets = [to_set(r[6]) for r in rows]
+        rows = list({r[5]: r for r in sorted(rows, key=lambda r: r[5])}.values())
+        sets = [r[6] for r in rows]
         side = np.array([r[3] for r in rows]) if rows[0][1] != rows[0][2] else None
         comp = linked(sets, num, den, side)
         k = np.flatnonzero(comp != np.arange(len(rows)))
@@ -240,7 +249,7 @@ def link_groups(members: DataFrame, to_set: Callable[[bytes], np.ndarray], num:
             return b
 
         for b in batches:
-            for row in zip(*[c.to_pylist() for c in b.columns]):
+            for row in zip(*[c.to_pylist() for c in b.columns[:6]], to_sets(b.column(6).to_pylist())):
                 if held and row[:3] != held[0][:3]:
                     for c, x in zip((u, v, w), settle(held)):
                         c += x
