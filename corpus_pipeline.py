@@ -32,7 +32,7 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     kept = keep.unionByName(empty).distinct()
     key = kit.fresh("_k", docs)
     keyed = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), "text"))
-    return keyed.join(kept.withColumnRenamed("_k", key), key, "left_semi").select(*cols)
+    return kit.beside(keyed, kept.withColumnRenamed("_k", key), key, "left_semi").select(*cols)
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

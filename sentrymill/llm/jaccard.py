@@ -119,7 +119,7 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFram
             body = [links_set(words, i, k).tobytes() for i in range(len(ids))]
             yield pa.RecordBatch.from_arrays([pa.array(grp, pa.int64()), pa.array(ids, pa.int64()), pa.array(body, pa.binary()), pa.array(blocks, pa.int32())], names=["grp", "id", "body", "_blocks"])
 
-    members = docs.select("_k", "text").join(wanted, "_k").select("grp", "text", "id", "_blocks").mapInArrow(sets, "grp long, id long, body binary, _blocks int")
+    members = kit.beside(docs.select("_k", "text"), wanted, "_k").select("grp", "text", "id", "_blocks").mapInArrow(sets, "grp long, id long, body binary, _blocks int")
     comps = links.link_groups(members, lambda bodies: [np.frombuffer(b, np.uint64) for b in bodies], num, den)
     kit.release(spark)
     joined = rows.join(comps.withColumnRenamed("id", "_cls"), "_cls", "left").withColumn("_root", F.coalesce("component", "_cls"))

@@ -157,10 +157,10 @@ def line_components(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame
     comps = links.components(links.star_edges(_bands(docs, 4 * n), n))
     kit.release(spark)
     groups = kit.cut(comps.select("id", F.col("component").alias("grp")).unionByName(comps.select(F.col("component").alias("id"), F.col("component").alias("grp")).distinct()))
-    members = kit.cut(_bodies(docs).join(groups, "id").select("grp", "id", "body").dropDuplicates(["id"]))
+    members = kit.cut(kit.beside(_bodies(docs), groups, "id").select("grp", "id", "body").dropDuplicates(["id"]))
     kit.release(spark)
     sizes = links.blocks_of(members.select("grp", (F.length("body") + 8).alias("bytes")), 2_000_000)
-    return links.link_groups(members.join(sizes, "grp"), shingle_sets, num, den)
+    return links.link_groups(kit.beside(members, sizes, "grp"), shingle_sets, num, den)
 
 
 def removals(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
@@ -181,7 +181,7 @@ def deduped(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
     key, out = kit.fresh("_k", docs), kit.fresh("_removed", docs)
     gone = removals(docs, num, den).where(F.size("removed") > 0).select(F.col("_k").alias(key), F.col("removed").alias(out)).dropDuplicates([key])
     cols = docs.columns
-    keyed = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), "text")).join(gone, key, "left")
+    keyed = kit.beside(docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), "text")), gone, key, "left")
     kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(out, i)), "\n")
     return keyed.withColumn("text", F.when(F.col(out).isNull(), F.col("text")).otherwise(kept)).select(*cols)
 

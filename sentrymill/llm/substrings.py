@@ -225,9 +225,9 @@ def repeats(docs: DataFrame, window: int = 35, hot: int = 1000) -> tuple[DataFra
     each = of_class.select("_h1", "_h2", "_k", F.least("_w", F.lit(2)).cast("int").alias("_w"), F.explode("_minis").alias("_m"))
     shared = each.groupBy("_m").agg(F.sum("_w").alias("_c"), F.min("_w").alias("_least")).where("_c >= 2 and _least = 1")
     want = each.join(shared, "_m").groupBy("_h1", "_h2", "_k", "_w").agg(F.collect_set("_m").alias("_want"), F.collect_set(F.when(F.col("_c") > hot, F.col("_m"))).alias("_hot"))
-    texts = kit.cut(docs.select("_k", "text").join(want, "_k").drop("_k"))
+    texts = kit.cut(kit.beside(docs.select("_k", "text"), want, "_k").drop("_k"))
     ranges = _count(_send(texts, window), window).groupBy("_h1", "_h2").agg(F.collect_list(F.struct("lo", "hi")).alias("_ranges"))
-    cut_out = texts.where("_w = 1").select("_h1", "_h2", "text").join(ranges, ["_h1", "_h2"])
+    cut_out = kit.beside(texts.where("_w = 1").select("_h1", "_h2", "text"), ranges, ["_h1", "_h2"])
     return seen.drop("_minis").join(classes.select("_h1", "_h2", "_w"), ["_h1", "_h2"]), cut_out
 
 
@@ -280,7 +280,7 @@ def trimmed(docs: DataFrame, window: int = 35) -> DataFrame:
     new = got.where(copies | F.col("_gone").isNotNull()).select("_k", F.when(copies, "").otherwise(F.col("_left")).alias("_new")).dropDuplicates(["_k"])
     cols, key, out = docs.columns, kit.fresh("_k", docs), kit.fresh("_new", docs)
     keyed = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), "text"))
-    return keyed.join(new.withColumnRenamed("_k", key).withColumnRenamed("_new", out), key, "left").withColumn("text", F.coalesce(out, "text")).select(*cols)
+    return kit.beside(keyed, new.withColumnRenamed("_k", key).withColumnRenamed("_new", out), key, "left").withColumn("text", F.coalesce(out, "text")).select(*cols)
 
 
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
