@@ -65,7 +65,7 @@ class Chunk:
         pair = kit.mix(before * U(0xD6E8FEB86659FD93) + self.word)
         self.keys = []
         for key, bits in ((self.word, 64), (pair, 40)):
-            part = (key >> U(44)).astype(np.int64) % parts if bits == 64 else (key >> U(40)).astype(np.int64) % parts
+            part = ((key >> U(44 if bits == 64 else 40)) % U(parts)).astype(np.int32)
             low = key if bits == 64 else key & U((1 << 40) - 1)
             self.keys.append((part, low))
 
@@ -219,7 +219,7 @@ def score(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     n = kit.parts(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (kit.crc_mod("doc_id", 5) == 1).alias("held_out"))
-    chunks = rows.withColumn("_chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(2 * n)).cast("int")).repartition(n, "_chunk")
+    chunks = rows.withColumn("_chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(6 * n)).cast("int")).repartition(n, "_chunk")
     answers = kit.cut(_answers(_requests(chunks, n), n))
     kit.release(spark)
     total = answers.where("_chunk = -1").agg(F.sum("n"), F.sum("v")).collect()[0]
