@@ -85,47 +85,46 @@ def _requests(chunks: DataFrame, parts: int) -> DataFrame:
         chunk = t.column("_chunk")[0].as_py()
         c = Chunk(t.column("text").to_pylist(), parts)
         train = np.repeat(~np.array(t.column("held_out").to_pylist(), bool), np.diff(c.first))
-        rows: list[list] = [[] for _ in range(5)]
+        by: dict[int, list] = {}
         for kind, width in ((WORD, 8), (PAIR, 5)):
             _, key, sizes, index = c.grouped(kind, parts)
             count = np.bincount(index[train], minlength=len(key))
             at = np.concatenate([[0], np.cumsum(sizes)])
             for p in np.flatnonzero(sizes):
                 k = key[at[p] : at[p + 1]]
-                for col, v in zip(rows, (int(p), chunk, kind, planes(np.diff(k, prepend=U(0)), width), planes(count[at[p] : at[p + 1]].astype(np.uint64), 4))):
-                    col.append(v)
-        types = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-        return pa.table([pa.array(c, ty) for c, ty in zip(rows, types)], names=["part", "chunk", "kind", "keys", "counts"])
+                by.setdefault(int(p), [b"", b"", b"", b""])[2 * kind : 2 * kind + 2] = planes(np.diff(k, prepend=U(0)), width), planes(count[at[p] : at[p + 1]].astype(np.uint64), 4)
+        cols = [pa.array(list(by), pa.int32()), pa.array([chunk] * len(by), pa.int32())] + [pa.array([v[i] for v in by.values()], pa.binary()) for i in range(4)]
+        return pa.table(cols, names=["part", "chunk", "words", "word_counts", "pairs", "pair_counts"])
 
-    return chunks.groupBy("_chunk").applyInArrow(run, "part int, chunk int, kind int, keys binary, counts binary")
+    return chunks.groupBy("_chunk").applyInArrow(run, "part int, chunk int, words binary, word_counts binary, pairs binary, pair_counts binary")
 
 
 def _answers(requests: DataFrame, n: int) -> DataFrame:
     """Totals for each chunk and part in the order of its keys; as chunk -1 the sum and number of counted words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, list] = {}
+        held: dict[int, list] = {}
         for b in batches:
-            for part, chunk, kind, keys, counts in zip(*[c.to_pylist() for c in b.columns]):
-                held.setdefault((part, kind), []).append((chunk, keys, counts))
-        for (part, kind), got in held.items():
-            width = 8 if kind == WORD else 5
-            keys = [np.cumsum(unplanes(k, width), dtype=np.uint64) for _, k, _ in got]
-            every, at = np.unique(np.concatenate(keys), return_inverse=True)
-            total = np.bincount(at, np.concatenate([unplanes(c, 4) for _, _, c in got]).astype(float), len(every)).astype(np.uint64)
-            rows: list[list] = [[], [], [], [], [], []]
-            lo = 0
-            for (chunk, _, _), k in zip(got, keys):
-                for col, v in zip(rows, (chunk, part, kind, planes(total[at[lo : lo + len(k)]], 5), 0, 0)):
-                    col.append(v)
-                lo += len(k)
-            if kind == WORD:
-                for col, v in zip(rows, (-1, part, kind, b"", int(total.sum()), int((total > 0).sum()))):
-                    col.append(v)
-            types = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types)], names=["_chunk", "part", "kind", "totals", "n", "v"])
-
-    return requests.repartition(n, "part").mapInArrow(run, "_chunk int, part int, kind int, totals binary, n long, v long")
+            for part, *row in zip(*[c.to_pylist() for c in b.columns]):
+                held.setdefault(part, []).append(row)
+        for part, got in held.items():
+            totals: list[list[bytes]] = [[], []]
+            n = v = 0
+            for kind, width in ((WORD, 8), (PAIR, 5)):
+                keys = [np.cumsum(unplanes(r[1 + 2 * kind], width), dtype=np.uint64) for r in got]
+                every, at = np.unique(np.concatenate(keys), return_inverse=True)
+                total = np.bincount(at, np.concatenate([unplanes(r[2 + 2 * kind], 4) for r in got]).astype(float), len(every)).astype(np.uint64)
+                lo = 0
+                for k in keys:
+                    totals[kind].append(planes(total[at[lo : lo + len(k)]], 5))
+                    lo += len(k)
+                if kind == WORD:
+                    n, v = int(total.sum()), int((total > 0).sum())
+            chunks = [r[0] for r in got] + [-1]
+            cols = [pa.array(chunks, pa.int32()), pa.array([part] * len(chunks), pa.int32()), *[pa.array(t + [b""], pa.binary()) for t in totals], pa.array([0] * len(got) + [n], pa.int64()), pa.array([0] * len(got) + [v], pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, names=["_chunk", "part", "words", "pairs", "n", "v"])
+
+    return requests.repartition(n, "part").mapInArrow(run, "_chunk int, part int, words binary, pairs binary, n long, v long")
 
 
 def _counted(chunks: DataFrame, answers: DataFrame, parts: int) -> DataFrame:
@@ -136,7 +135,7 @@ def _counted(chunks: DataFrame, answers: DataFrame, parts: int) -> DataFrame:
         per: list[np.ndarray] = []
         for kind in (WORD, PAIR):
             _, key, sizes, index = c.grouped(kind, parts)
-            got = sorted((p, x) for p, k, x in zip(a.column("part").to_pylist(), a.column("kind").to_pylist(), a.column("totals").to_pylist()) if k == kind)
+            got = sorted(zip(a.column("part").to_pylist(), a.column(("words", "pairs")[kind]).to_pylist()))
             total = np.concatenate([unplanes(x, 5) for _, x in got]) if got else np.zeros(0, np.uint64)
             assert len(total) == len(key), "a chunk changed between two reads of the input"
             per.append(total[index])
@@ -219,12 +218,12 @@ def score(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     n = kit.parts(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (kit.crc_mod("doc_id", 5) == 1).alias("held_out"))
-    chunks = rows.withColumn("_chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(6 * n)).cast("int")).repartition(n, "_chunk")
+    chunks = rows.withColumn("_chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(4 * n)).cast("int")).repartition(n, "_chunk")
     answers = kit.cut(_answers(_requests(chunks, n), n))
     kit.release(spark)
     total = answers.where("_chunk = -1").agg(F.sum("n"), F.sum("v")).collect()[0]
     tokens, vocabulary = total[0] or 0, total[1] or 0
-    counted = kit.cut(_counted(chunks, answers.where("_chunk >= 0").select("_chunk", "part", "kind", "totals"), n))
+    counted = kit.cut(_counted(chunks, answers.where("_chunk >= 0").select("_chunk", "part", "words", "pairs"), n))
     kit.drop(answers)
     kit.release(spark)
     train_docs = counted.where("not held_out").count()
