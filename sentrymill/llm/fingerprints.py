@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from . import kit
 
 U = np.uint64
+#: What the query uses: a shared run of 8 code points is always seen, so near copies of short texts are too.
+K, WINDOW = 5, 4
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -171,4 +173,4 @@ def _compare(rows: list[tuple], k: int, window: int) -> Iterator[pa.RecordBatch]
 
 
 def op1_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints(kit.read(spark, sf_dir, "documents"))
+    return fingerprints(kit.read(spark, sf_dir, "documents"), K, WINDOW)
