@@ -6,7 +6,9 @@ learned. Forward-backward gives every word a distribution over languages, so cod
 word by word; a document's language is the one with the largest mean over its words with letters.
 
 The model is fitted on at most ``per_lang`` documents of each language outside the held-out third (chosen by
-a hash of doc_id), from training chains that switch language between segments. Every text is labelled whole.
+a hash of doc_id), from training chains that switch language between segments. A segment begins at any word
+of those documents, in proportion to their words, but a document counts as at most ``most`` words: no text is
+cut and no long one takes the training over. Every text is labelled whole.
 ``und`` with score 0 stands for null texts and texts without letters, and for all where nothing was learned.
 Repeated ids and rows are kept; columns other than doc_id, text and (for learning) lang are never read.
 """
@@ -67,6 +69,19 @@ def word_features(words: kit.Words, at: np.ndarray) -> np.ndarray:
     return np.stack(cols, 1)
 
 
+class Begins:
+    """Draws places in the words of some documents; a document weighs as many words as it has, ``most`` at most."""
+
+    def __init__(self, doc: np.ndarray, most: int):
+        edge = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1], [True]]))
+        self.first, self.size = edge[:-1], np.diff(edge)
+        self.weight = np.cumsum(np.minimum(self.size, most))
+
+    def __call__(self, rng: np.random.Generator) -> int:
+        d = int(np.searchsorted(self.weight, rng.integers(self.weight[-1]), "right"))
+        return int(self.first[d] + rng.integers(self.size[d]))
+
+
 class Chain:
     """Weights of a field over ``langs``: ``table`` for features, ``trans`` between neighbours."""
 
@@ -80,22 +95,26 @@ class Chain:
             out += self.table[c]
         return out
 
-    def fit(self, feats: np.ndarray, label: np.ndarray, seed: int = 5, steps: int = 260, chains: int = 48, length: int = 64) -> None:
-        """Adagrad on the conditional likelihood of chains spliced from runs of words of one language each."""
+    def fit(self, feats: np.ndarray, row: np.ndarray, label: np.ndarray, doc: np.ndarray, most: int, seed: int = 5, steps: int = 260, chains: int = 48, length: int = 64) -> None:
+        """Adagrad on the conditional likelihood of chains spliced from runs of words of one language each.
+
+        Each word has its row in ``feats``, its language and its document; a document's words are neighbours."""
         rng, n = np.random.default_rng(seed), len(self.langs)
         g2, t2 = np.full((1 << BITS, n), 1e-4, np.float32), np.full((n, n), 1e-2, np.float32)
         starts = [np.flatnonzero(label == k) for k in range(n)]
+        begins = [Begins(doc[s], most) for s in starts]
         for _ in range(steps):
             rows = np.empty((chains, length), np.int64)
             for c in range(chains):
                 at = 0
                 while at < length:
-                    s = starts[rng.integers(n)]
-                    lo, m = rng.integers(len(s)), min(int(rng.integers(6, 40)), length - at)
+                    k = rng.integers(n)
+                    s, lo = starts[k], begins[k](rng)
+                    m = min(int(rng.integers(6, 40)), length - at)
                     rows[c, at : at + m] = s[(lo + np.arange(m)) % len(s)]
                     at += m
             y = label[rows]
-            f = feats[rows.ravel()]
+            f = feats[row[rows.ravel()]]
             e = self.emit(f).reshape(chains, length, n)
             p, pair = self._marginals(e)
             g = -p
@@ -194,7 +213,7 @@ def has_letter(words: kit.Words) -> np.ndarray:
     return out
 
 
-def learn(docs: DataFrame, per_lang: int = 400) -> Chain | None:
+def learn(docs: DataFrame, per_lang: int = 400, most: int = 1000) -> Chain | None:
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (kit.crc_mod("doc_id", 3) != 1))
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not counts:
@@ -211,9 +230,9 @@ def learn(docs: DataFrame, per_lang: int = 400) -> Chain | None:
     langs = sorted({rows[i]["lang"] for i in set(of.tolist())})
     code = {k: i for i, k in enumerate(langs)}
     label = np.array([code.get(r["lang"], -1) for r in rows])[of]
-    take = np.concatenate([np.flatnonzero(label == k)[:120_000] for k in range(len(langs))])
+    _, at, row = np.unique(words.hash[use], return_index=True, return_inverse=True)
     model = Chain(langs)
-    model.fit(word_features(words, use[take]), label[take])
+    model.fit(word_features(words, use[at]), row, label, of, most)
     return model
 
 

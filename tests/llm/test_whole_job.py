@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import os
+import random
 
 import numpy as np
 import pytest
 
-from sentrymill.llm import fingerprints
+from sentrymill.llm import fingerprints, langid
 
 DATA = "/root/testdata/sf0.1"
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the provided tables")
@@ -21,3 +22,22 @@ def test_near_copies_of_short_texts(spark):
     for lo, hi in ((16, 62), (63, 127), (128, 511), (512, n.max())):
         at = (n >= lo) & (n <= hi)
         assert at.sum() > 20 and np.median(near[at]) > 0.65 and (near[at] < 0.5).mean() <= 0.01
+
+
+def test_language_learns_from_all_of_the_sample(spark):
+    rng = random.Random(8)
+    vocabulary = {"de": ["apfel", "birne", "haus", "wolke", "strasse"], "en": ["cloud", "quick", "jumpy", "vexing", "lodge"]}
+    prose = lambda g: " ".join(rng.choice(vocabulary[g]) for _ in range(50))
+    rows = [(i, prose(g), g) for i in range(120) for g in [("de", "en")[i % 2]]]
+    rows += [(1000 + i, "00zz " * 130_000, "en") for i in range(3)]  # sorts before all others and is longer than they are together
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.predict(docs.where("doc_id < 1000"), langid.learn(docs)).collect()
+    assert all(r["lang_pred"] == ("de", "en")[r["doc_id"] % 2] and r["score"] > 0.9 for r in got)
+
+
+def test_long_documents_weigh_a_bounded_number_of_words():
+    doc = np.repeat([3, 4, 9], [10, 100_000, 10])
+    draw, rng = langid.Begins(doc, 20), np.random.default_rng(0)
+    at = np.array([draw(rng) for _ in range(4000)])
+    share = [(doc[at] == d).mean() for d in (3, 4, 9)]
+    assert np.allclose(share, [0.25, 0.5, 0.25], atol=0.04) and len(set(at[doc[at] == 4])) > 1900
