@@ -3,7 +3,7 @@
 Texts are tokenised where they lie; only piece records (a few integers) are shuffled. They are dealt
 at random into groups of bounded size. Each group is packed best-fit decreasing, then underfull bins
 exchange pieces (move, one for one, two for one, one for two), every exchange raising the sum of
-squared fills, so that sparse bins empty. Full bins (to 1/64) are final; the pieces of the others
+squared fills, so that sparse bins empty. Full bins are final; the pieces of the others
 meet again in fewer groups, until one group of bounded size is left.
 
 Null texts count as empty (one end id), null ids are kept, repeated rows are packed as rows of their
@@ -14,8 +14,10 @@ from __future__ import annotations
 
 import re
 import zlib
-from bisect import bisect_left, bisect_right, insort
+from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -121,72 +123,125 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def improve(bins: list[list[int]], lengths: list[int], capacity: int, patience: int = 8) -> list[list[int]]:
+def improve(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
     """Local search over underfull bins; every exchange moves length from an emptier bin to a fuller one.
 
     The emptiest bin gives to the others, fullest first, for as long as exchanges are found; then the next
-    emptiest. Each exchange raises the sum of squared fills, which is bounded, so the search ends. It also ends
-    when ``patience`` bins in turn gave nothing, or the bins are as few as the total length allows."""
+    emptiest. Each exchange raises the sum of squared fills, which is bounded, so the search ends: when no bin
+    can give any more, or the bins are as few as the total length allows. Bins of equal lengths are alike: each
+    pair of kinds is tried once."""
+    bins = [list(b) for b in bins]
     fill = [sum(lengths[i] for i in b) for b in bins]
-    count, least, stuck = len(bins), -(-sum(fill) // capacity), 0
-    tried: set[int] = set()
-    while count > least and stuck < patience:
-        order = sorted((k for k in range(len(bins)) if bins[k] and fill[k] < capacity), key=lambda k: (fill[k], k))
-        src = next((k for k in order if k not in tried), None)
-        if src is None:
-            break
-        gained = False
-        for dst in reversed(order):
-            room = capacity - fill[dst]
-            if dst == src or room <= 0 or fill[dst] < fill[src]:
-                continue
-            give, take = _exchange(bins[src], bins[dst], lengths, room)
-            if give:
-                gain = sum(lengths[i] for i in give) - sum(lengths[i] for i in take)
-                bins[src] = [i for i in bins[src] if i not in give] + list(take)
-                bins[dst] = [i for i in bins[dst] if i not in take] + list(give)
-                fill[src] -= gain
-                fill[dst] += gain
-                gained = True
-                if not bins[src]:
-                    count -= 1
-                    break
-        stuck = 0 if gained else stuck + 1
-        if not gained:
-            tried.add(src)
+    count, least = len(bins), -(-sum(fill) // capacity)
+    alike: dict[tuple, set[int]] = {}
+    born: list[tuple[int, tuple]] = []  # room and kind of underfull bins, in the order in which the first and second of a kind came up
+    seen: dict[tuple, int] = {}  # how many of those a kind has failed against
+    todo: list[tuple[int, tuple]] = []
+
+    def enter(k: int) -> None:
+        if bins[k] and fill[k] < capacity:
+            kind = tuple(sorted(lengths[i] for i in bins[k]))
+            at = alike.setdefault(kind, set())
+            at.add(k)
+            if len(at) <= 2:
+                born.append((capacity - fill[k], kind))
+            heappush(todo, (fill[k], kind))
+
+    def leave(k: int) -> None:
+        alike[tuple(sorted(lengths[i] for i in bins[k]))].discard(k)
+
+    for k in range(len(bins)):
+        enter(k)
+    waiting: set[tuple[int, tuple]] = set()  # what failed, and is tried again with the kinds that came up since
+    while count > least:
+        if not todo:
+            todo = [x for x in waiting if alike[x[1]] and seen[x[1]] < len(born)]
+            if not todo:
+                break
+            waiting.difference_update(todo)
+            heapify(todo)
+        size, kind = heappop(todo)
+        if not alike[kind] or seen.get(kind, 0) == len(born):
+            if alike[kind]:
+                waiting.add((size, kind))
+            continue
+        src, at, first = min(alike[kind]), (-1, ()), kind
+        while bins[src]:
+            now = tuple(sorted(lengths[i] for i in bins[src]))
+            fresh = sorted({x for x in born[seen.get(now, 0) :] if at < x and x[0] <= capacity - fill[src] and len(alike[x[1]]) > (x[1] == now)})
+            hit = next((x for x in fresh if _gain(now, x[1], x[0])[0]), None)
+            if hit is None:
+                break
+            (room, other), at = hit, hit
+            give, take = _gain(now, other, room)
+            dst = min(alike[other] - {src})
+            leave(src)
+            leave(dst)
+            gone, come = _pick(bins[src], give, lengths), _pick(bins[dst], take, lengths)
+            bins[src] = [i for i in bins[src] if i not in gone] + come
+            bins[dst] = [i for i in bins[dst] if i not in come] + gone
+            fill[src] -= sum(give) - sum(take)
+            fill[dst] += sum(give) - sum(take)
+            enter(src)
+            enter(dst)
+            count -= not bins[src]
+        if at == (-1, ()):
+            seen[first] = len(born)
+            waiting.add((size, first))
+        elif alike[first]:
+            heappush(todo, (size, first))
     return [b for b in bins if b]
 
 
-def _exchange(src: list[int], dst: list[int], lengths: list[int], room: int) -> tuple[tuple, tuple]:
-    """The exchange that fills the target best: (what the source gives, what it takes)."""
+def _pick(b: list[int], want: tuple[int, ...], lengths: list[int]) -> list[int]:
+    out: list[int] = []
+    for n in want:
+        out.append(next(i for i in b if lengths[i] == n and i not in out))
+    return out
+
+
+@lru_cache(8192)
+def _sums(kind: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different lengths of a bin, the different sums of two of its pieces, and the smaller piece of each."""
+    have = np.array(kind, np.int64)
+    one, n = np.unique(have, return_counts=True)
+    x, y = np.triu_indices(len(one))
+    ok = (x != y) | (n[x] > 1)
+    two, at = np.unique(one[x[ok]] + one[y[ok]], return_index=True)
+    return one, two, one[x[ok]][at]
+
+
+def _gain(src: tuple[int, ...], dst: tuple[int, ...], room: int) -> tuple[tuple, tuple]:
+    """The exchange that fills the target best, in lengths: (what the source gives, what it takes)."""
+    one, two, small = _sums(src)
+    one_b, two_b, small_b = _sums(dst)
     best, found = 0, ((), ())
-    a = sorted((lengths[i], i) for i in src)
-    b = sorted((lengths[i], i) for i in dst)
-    keys = [x[0] for x in a]
-    at = bisect_right(keys, room)
-    if at:
-        best, found = keys[at - 1], ((a[at - 1][1],), ())
-    pairs_a = sorted((a[x][0] + a[y][0], a[x][1], a[y][1]) for x in range(len(a)) for y in range(x)) if len(a) <= 40 else []
-    pair_keys = [x[0] for x in pairs_a]
-    for n, i in b:
-        at = bisect_right(keys, n + room)
-        if at and keys[at - 1] - n > best:
-            best, found = keys[at - 1] - n, ((a[at - 1][1],), (i,))
-        at = bisect_right(pair_keys, n + room)
-        if at and pair_keys[at - 1] - n > best:
-            best, found = pair_keys[at - 1] - n, (pairs_a[at - 1][1:], (i,))
-        if best == room:
-            return found
-    if len(b) <= 40:
-        for x in range(len(b)):
-            for y in range(x):
-                n = b[x][0] + b[y][0]
-                at = bisect_right(keys, n + room)
-                if at and keys[at - 1] - n > best:
-                    best, found = keys[at - 1] - n, ((a[at - 1][1],), (b[x][1], b[y][1]))
+    for give, take, part, part_b in ((one, _NONE, None, None), (one, one_b, None, None), (two, one_b, small, None), (one, two_b, None, small_b)):
+        if not len(give) or not len(take):
+            continue
+        at = give.searchsorted(take + room, "right") - 1
+        gain = np.where(at >= 0, give[at] - take, 0)
+        k = int(gain.argmax())
+        if gain[k] > best:
+            best, g, t = int(gain[k]), int(give[at[k]]), int(take[k])
+            gs = (g,) if part is None else (int(part[at[k]]), g - int(part[at[k]]))
+            ts = () if not t else (t,) if part_b is None else (int(part_b[k]), t - int(part_b[k]))
+            found = gs, ts
+            if best == room:
+                break
     return found
 
 
+_NONE = np.zeros(1, np.int64)
+
+
+def _exchange(src: list[int], dst: list[int], lengths: list[int], room: int) -> tuple[tuple, tuple]:
+    """The exchange that fills the target best: (what the source gives, what it takes)."""
+    kinds = [tuple(sorted(lengths[i] for i in b)) for b in (src, dst)]
+    give, take = _gain(*kinds, room)
+    return tuple(_pick(src, give, lengths)), tuple(_pick(dst, take, lengths))
+
+
 def pack(docs: DataFrame, capacity: int = 2048, end_id: int = 0, group: int = 16384) -> DataFrame:
     """Every piece with the sequence that it goes into and its place there (gapless from 0).
 
@@ -233,7 +288,7 @@ def _place(rows: DataFrame, capacity: int, level: int, final: bool) -> DataFrame
         lengths = t.column("length").to_pylist()
         seq, off = [None] * len(lengths), [None] * len(lengths)
         for k, b in enumerate(improve(best_fit(lengths, capacity), lengths, capacity)):
-            if final or capacity - sum(lengths[i] for i in b) < max(1, capacity // 64):
+            if final or sum(lengths[i] for i in b) == capacity:
                 at = 0
                 for i in b:
                     seq[i], off[i] = base + k, at

@@ -8,7 +8,7 @@ import random
 import numpy as np
 import pytest
 
-from sentrymill.llm import fingerprints, langid
+from sentrymill.llm import fingerprints, langid, packing
 
 DATA = "/root/testdata/sf0.1"
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the provided tables")
@@ -41,3 +41,27 @@ def test_long_documents_weigh_a_bounded_number_of_words():
     at = np.array([draw(rng) for _ in range(4000)])
     share = [(doc[at] == d).mean() for d in (3, 4, 9)]
     assert np.allclose(share, [0.25, 0.5, 0.25], atol=0.04) and len(set(at[doc[at] == 4])) > 1900
+
+
+def test_search_runs_until_no_bin_can_give():
+    rng = random.Random(25)
+    lengths = [700] * 60 + [rng.randint(300, 1023) for _ in range(400)]
+    bins = packing.improve(packing.best_fit(lengths, 2048), lengths, 2048)
+    assert sorted(i for b in bins for i in b) == list(range(460)) and len(bins) <= 149  # 152 when eight alike bins ended it
+    fill = [sum(lengths[i] for i in b) for b in bins]
+    assert max(fill) <= 2048
+    for x, a in enumerate(bins):
+        for y, b in enumerate(bins):
+            if x != y and fill[x] <= fill[y] < 2048:
+                assert packing._exchange(a, b, lengths, 2048 - fill[y]) == ((), ())
+
+
+def test_pairs_of_bins_with_many_pieces():
+    assert packing._exchange(list(range(50)), [50], [3] * 50 + [5], 1) == ((0, 1), (50,))
+    assert packing._exchange([0], list(range(1, 51)), [7] + [3] * 50, 1) == ((0,), (1, 2))
+
+
+def test_bins_that_are_nearly_full_meet_again(spark):
+    rows = spark.createDataFrame([(1, 0, 0, 2040, 0), (2, 0, 0, 1000, 0), (3, 0, 0, 1048, 0)], packing.PIECES).coalesce(1)
+    got = {r["doc_id"]: r["sequence_id"] for r in packing._place(rows, 2048, 1, final=False).collect()}
+    assert got[1] is None and got[2] is not None and got[2] == got[3]
