@@ -8,7 +8,7 @@ import random
 import numpy as np
 import pytest
 
-from sentrymill.llm import fingerprints, langid, packing
+from sentrymill.llm import fingerprints, langid, lines, packing
 
 DATA = "/root/testdata/sf0.1"
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the provided tables")
@@ -65,3 +65,18 @@ def test_bins_that_are_nearly_full_meet_again(spark):
     rows = spark.createDataFrame([(1, 0, 0, 2040, 0), (2, 0, 0, 1000, 0), (3, 0, 0, 1048, 0)], packing.PIECES).coalesce(1)
     got = {r["doc_id"]: r["sequence_id"] for r in packing._place(rows, 2048, 1, final=False).collect()}
     assert got[1] is None and got[2] is not None and got[2] == got[3]
+
+
+def test_recall_of_line_pairs_at_the_threshold():
+    rng = random.Random(1)
+    draw = lambda: rng.choice("abcdefghijklmnopqrstuvwxyz")
+    pairs = []
+    while len(pairs) < 3000:
+        a = "".join(draw() for _ in range(rng.randint(40, 80)))
+        b = list(a)
+        b[rng.randrange(len(b))] = draw()
+        x, y = (set(lines.shingle_set(t).tolist()) for t in (a, "".join(b)))
+        if 0.8 <= len(x & y) / len(x | y) < 0.83:
+            pairs.append((a, "".join(b)))
+    one, two = (lines.band_keys(lines.signatures(list(side))) for side in zip(*pairs))
+    assert (one == two).any(1).mean() >= 0.9995
