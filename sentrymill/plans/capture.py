@@ -53,6 +53,7 @@ def unreferenced(spark, e, d):
 def country_fallback(spark, e, d):
     from ..functions import net
 
-    top = e.where((F.col("src_ip") != "") & net.is_public(F.col("src_ip"), v6=False)).groupBy(F.col("src_ip").alias("ip")).agg(F.count("*").alias("hits")).orderBy(F.desc("hits"), "ip").limit(50)
+    each = e.where(F.col("src_ip") != "").groupBy(F.col("src_ip").alias("ip")).agg(F.count("*").alias("hits"))
+    top = each.where(net.is_public(F.col("ip"))).orderBy(F.desc("hits"), "ip").limit(50)
     g = projection.geo(spark, e).where("length(ip) % 2 = 0")
     return g.join(F.broadcast(top), "ip", "right").groupBy(F.coalesce(F.get_json_object("payload", "$.cc"), F.lit("??")).alias("cc")).agg(F.count("*").alias("ips"), F.sum("hits").alias("hits"))

@@ -220,7 +220,7 @@ _PUBLIC = "(NOT (src_ip LIKE '100.64.%'))"
 
 @query("public_sources", f"SELECT count(DISTINCT src_ip) AS n FROM hp WHERE {_PUBLIC}")
 def public(spark, e, d):
-    return e.where(net.is_public(F.col("src_ip"), v6=False)).agg(F.count_distinct("src_ip").alias("n"))
+    return e.select("src_ip").distinct().where(net.is_public(F.col("src_ip"))).agg(F.count("src_ip").alias("n"))
 
 
 @query("admin_events", "SELECT kind, count(*) AS n FROM hp WHERE src_ip LIKE '100.64.%' GROUP BY 1")
@@ -238,7 +238,7 @@ def vetted(a, now: str):
     brute = F.col("playbook").endswith("_spray") | F.col("playbook").endswith("_enum")
     reason = (
         F.when(net.ipv4_number(F.col("primary_ip")).isNull() & ~F.col("primary_ip").contains(":"), "malformed address")
-        .when(~net.is_public(F.col("primary_ip"), v6=False), "not public")
+        .when(~net.is_public(F.col("primary_ip")), "not public")
         .when(F.col("last_seen").isNull(), "no last sighting")
         .when(age > MAX_AGE_DAYS * 24, "dormant")
         .when(~brute, "not a brute-force playbook")
