@@ -29,9 +29,11 @@ _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset and all runs in one process (tests)."""
     have = spark.conf.get("spark.checkpoint.dir", None)
     if not have:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         have = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="sentrymill-")
         shared_dir.own = have
     return have.rstrip("/")
@@ -66,6 +68,20 @@ def beside(texts: DataFrame, rows: DataFrame, key: str | list[str], how: str = "
     return texts.join(rows.hint("merge"), key, how)
 
 
+#: Stands for a null id in joins: it sorts first, as nulls do.
+NO_ID = -(1 << 63)
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, _id, _k) of every row, which is known by its id (``NO_ID`` for null) and a hash of id and text."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *row_key(docs))
+
+
+def row_key(docs: DataFrame, names: tuple[str, str] = ("_id", "_k")) -> list:
+    of = F.col("doc_id").cast("long")
+    return [F.coalesce(of, F.lit(NO_ID)).alias(names[0]), F.xxhash64(of, "text").alias(names[1])]
+
+
 def fresh(name: str, df: DataFrame) -> str:
     """``name``, or a longer one that no column of ``df`` has."""
     taken = {c.lower() for c in df.columns}
@@ -160,10 +176,10 @@ def shingles(h: np.ndarray, k: int) -> np.ndarray:
     if n == 0:
         return h
     if n < k:
-        x = U(n)
-        for v in h:
-            x = mix(np.array([v * U(0x9E3779B97F4A7C15) + x], np.uint64))[0]
-        return np.array([x], np.uint64)
+        x = np.array([n], np.uint64)
+        for i in range(n):
+            x = mix(h[i : i + 1] * U(0x9E3779B97F4A7C15) + x)
+        return x
     x = np.zeros(n - k + 1, np.uint64)
     for i in range(k):
         x = mix(x * U(0xD6E8FEB86659FD93) + h[i : n - k + 1 + i])

@@ -186,15 +186,52 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
+def prefix_sizes(n: np.ndarray, num: int, den: int) -> np.ndarray:
+    """How many of a set's first elements, in an order that all sets share, hold one of any set that links with it."""
+    return n - -(-num * n // den) + 1
+
+
+def _by_rare(sets: list[np.ndarray], num: int, den: int) -> list[np.ndarray]:
+    """Groups of sets that share an element among the rarest of each; sets that link are in one group."""
+    size = np.array([len(s) for s in sets], np.int64)
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int64), size)
+    order = np.argsort(flat, kind="stable")
+    x = flat[order]
+    new = np.concatenate([[True], x[1:] != x[:-1]])
+    run = np.cumsum(new) - 1
+    often = np.empty(len(x), np.int64)
+    often[order] = np.bincount(run)[run]
+    rank = np.argsort(owner * (len(sets) + 1) + often, kind="stable")  # sets are sorted, so ties are in order of the hash
+    at = np.arange(len(rank)) - np.repeat(np.cumsum(size) - size, size)
+    k = rank[(at < np.repeat(prefix_sizes(size, num, den), size)) & (often[rank] > 1)]
+    k = k[np.argsort(flat[k], kind="stable")]
+    lead, tied, _ = stars(flat[k], owner[k])
+    up = _forest(owner[k][tied].tolist(), lead[tied].tolist())
+    comp = np.arange(len(sets))
+    for i, j in up.items():
+        comp[i] = j
+    order = np.argsort(comp, kind="stable")
+    return [g for g in np.split(order, np.flatnonzero(np.diff(comp[order])) + 1) if len(g) > 1]
+
+
 def linked(sets: list[np.ndarray], num: int, den: int, side: np.ndarray | None = None) -> np.ndarray:
     """Component of each set (index of a member) where den * intersection >= num * union links two.
 
-    Pairs that are in one component already need no look; with ``side`` only pairs of different sides count."""
+    Many sets are first told apart by their rarest elements. Pairs that are in one component already need no
+    look; with ``side`` only pairs of different sides count."""
     comp = np.arange(len(sets))
     if len(sets) < 2:
         return comp
+    if len(sets) <= 64:
+        return _search(sets, num, den, side)
+    for g in _by_rare(sets, num, den):
+        comp[g] = g[_search([sets[i] for i in g], num, den, None if side is None else side[g])]
+    return comp
+
+
+def _search(sets: list[np.ndarray], num: int, den: int, side: np.ndarray | None) -> np.ndarray:
+    comp, place = np.arange(len(sets)), np.arange(len(sets))
     tree = CountTree(sets) if len(sets) > 6 else None  # a tree over so few is one leaf
-    place = np.arange(len(sets))
     for q in range(len(sets)):
         open_ = (comp != comp[q]) & (place > q)
         if side is not None:
@@ -212,6 +249,50 @@ def linked(sets: list[np.ndarray], num: int, den: int, side: np.ndarray | None =
     return comp
 
 
+def finer(chunks: DataFrame, num: int, den: int, targets: int, parts: int) -> DataFrame:
+    """(id, component): candidate components of sets that share an element among the rarest of each, rarest over all ``chunks``.
+
+    ``chunks``: (chunk, ids, bodies), arrays of ids and of sorted sets. A chunk asks once for each different element
+    and is told how many sets hold it, if two or more do. Sets that link share one of their ``prefix_sizes`` rarest
+    elements (ties in order of the hash), so none of their links is missed; elements that few hold tie few."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for chunk, bodies in zip(b.column(0).to_pylist(), b.column(1)):
+                x, n = np.unique(np.frombuffer(b"".join(bodies.as_py()), np.uint64), return_counts=True)
+                yield packed(x, np.column_stack([np.full(len(x), chunk, np.int64), n]), targets)
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = unpacked(batches, 3)
+        at = np.flatnonzero(np.concatenate([[True], e[1:, 0] != e[:-1, 0]])) if len(e) else np.zeros(0, np.int64)
+        n = np.repeat(np.add.reduceat(e[:, 2], at), np.diff(np.append(at, len(e)))) if len(e) else e[:, 2]
+        e = np.column_stack([e[:, 1], e[:, 0], n])[n > 1]
+        e = e[np.argsort(e[:, 0], kind="stable")]
+        at = np.flatnonzero(np.concatenate([[True], e[1:, 0] != e[:-1, 0]])) if len(e) else np.zeros(0, np.int64)
+        stop = np.append(at[1:], len(e))
+        yield pa.RecordBatch.from_arrays([pa.array(e[at, 0].view(np.int64)), pa.array([e[i:j, 1:].tobytes() for i, j in zip(at, stop)], pa.binary())], names=["chunk", "block"])
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for ids, bodies, blocks in zip(*[c.to_pylist() for c in b.columns]):
+                known = np.frombuffer(b"".join(blocks), np.uint64).reshape(-1, 2)
+                known = known[np.argsort(known[:, 0])]
+                out, owner = [], []
+                for i, body in zip(ids, bodies):
+                    x = np.frombuffer(body, np.uint64)
+                    at = np.minimum(np.searchsorted(known[:, 0], x), max(len(known) - 1, 0))
+                    often = np.where(known[at, 0] == x, known[at, 1], 1) if len(known) else np.ones(len(x), np.uint64)
+                    k = np.argsort(often, kind="stable")[: int(prefix_sizes(np.array([len(x)]), num, den)[0])]
+                    out.append(x[k[often[k] > 1]])
+                    owner.append(np.full(len(out[-1]), i, np.int64))
+                if len(x := np.concatenate(out)):
+                    yield combined(kit.mix(x), np.concatenate(owner), targets)
+
+    asked = chunks.select("chunk", "bodies").mapInArrow(ask, PACKED).repartition(targets, "part")
+    told = asked.mapInArrow(answer, "chunk long, block binary").groupBy("chunk").agg(F.collect_list("block").alias("blocks"))
+    return components(star_edges(kit.beside(chunks, told, "chunk").select("ids", "bodies", "blocks").mapInArrow(keys, PACKED), parts))
+
+
 def blocks_of(sizes: DataFrame, block_bytes: int) -> DataFrame:
     """(grp, _blocks) from (grp, bytes): blocks of about ``block_bytes`` that the members of a group are dealt into."""
     return sizes.groupBy("grp").agg(F.greatest(F.lit(1), F.ceil(F.sum("bytes") / block_bytes)).cast("int").alias("_blocks"))
