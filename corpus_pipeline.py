@@ -23,16 +23,18 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: five-word shingles, similarity 0.8 or more. Documents without words stay."""
+    """One document of each group: five-word shingles, similarity 0.8 or more; the smallest id of a group stays, of equal
+    ids the smallest hash of the text (null ids first), and of rows equal in both one. Documents without words stay, all."""
     cols = docs.columns
     groups = jaccard.join(docs, k=5, num=80, den=100)
-    # of rows with one id in a group the smallest key stays; a row is known by id and text
-    keep = groups.where("n_shingles > 0").groupBy("_root").agg(F.min(F.struct("doc_id", "_k")).alias("_first")).select(F.col("_first._k").alias("_k"))
-    empty = groups.where("n_shingles = 0").select("_k")
-    kept = keep.unionByName(empty).distinct()
-    key = kit.fresh("_k", docs)
-    keyed = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), "text"))
-    return kit.beside(keyed, kept.withColumnRenamed("_k", key), key, "left_semi").select(*cols)
+    no_id = F.coalesce("doc_id", F.lit(kit.NO_ID))
+    keep = groups.where("n_shingles > 0").groupBy("_root").agg(F.min(F.struct(no_id.alias("_id"), "_k")).alias("_first"))
+    names = kit.fresh("_id", docs), kit.fresh("_k", docs)
+    worded = F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    # equal rows collapse before they travel, however many there are
+    rows = docs.where(worded).select("*", *kit.row_key(docs, names)).dropDuplicates([*names])
+    kept = kit.beside(rows, keep.select(F.col("_first._id").alias(names[0]), F.col("_first._k").alias(names[1])), [*names], "left_semi")
+    return kept.select(*cols).unionByName(docs.where(~F.coalesce(worded, F.lit(False))))
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,6 +57,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written to the shared folder before the next."""
     docs = kit.read(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = kit.cut(stage(spark, docs, sf_dir))
+        was, docs = docs, kit.cut(stage(spark, docs, sf_dir))
+        kit.drop(was)
         kit.release(spark)
     return STAGES[-1][1](spark, docs, sf_dir)
