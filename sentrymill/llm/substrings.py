@@ -7,8 +7,8 @@ of that minimiser, where sorting counts the windows exactly (equal hashes are co
 Before anything travels, texts with the same words become one class with a weight (equal windows of copies
 need no counting), and minimisers are counted: only super-k-mers whose minimiser occurs twice can hold a
 repeated window, so only their texts are shuffled. Minimisers with more than ``hot`` occurrences are split:
-their windows go one by one to the bucket of their own hash, after equal windows of one batch are merged, so
-that no task gathers a hot group.
+their windows go one by one to the bucket of their own hash, after equal windows of one task are merged, so
+that no task gathers a hot group. The rows of the result are the same whatever ``hot`` is.
 
 A null text has no words; texts with fewer words than a window keep all; repeated rows and ids count as
 occurrences of their own; an empty table gives an empty result; other columns are never read.
@@ -83,15 +83,11 @@ def window_hashes(words: kit.Words, window: int) -> np.ndarray:
     return kit.mix((acc[window:] - acc[:-window]) * inv[: max(n - window + 1, 0)]) if n >= window else np.zeros(0, np.uint64)
 
 
-def _key():
-    return F.xxhash64("doc_id", "text").alias("_k")
-
-
 def _scan(docs: DataFrame, window: int) -> DataFrame:
     """A row for each document: its class, its words, the digest of all of them, its minimisers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts, keys in kit.slices(batches):
+        for ids, texts, no_id, keys in kit.slices(batches):
             words = kit.Words(texts, lower=False)
             h1, h2 = sequence_hashes(words)
             start, _, mini, places = minimisers(words, window)
@@ -100,15 +96,31 @@ def _scan(docs: DataFrame, window: int) -> DataFrame:
             mini = np.repeat(mini.view(np.int64), twice)
             sha = [hashlib.sha256(b" ".join(t.encode("utf-8", "surrogatepass").split())).hexdigest() if t else NOTHING for t in texts]
             minis = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(mini, pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(h1), pa.array(h2), pa.array(np.diff(words.first)), pa.array(sha), minis], names=["doc_id", "_k", "_h1", "_h2", "n_words", "_sha", "_minis"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(no_id, pa.int64()), pa.array(keys, pa.int64()), pa.array(h1), pa.array(h2), pa.array(np.diff(words.first)), pa.array(sha), minis], names=["doc_id", "_id", "_k", "_h1", "_h2", "n_words", "_sha", "_minis"])
+
+    return docs.mapInArrow(run, "doc_id long, _id long, _k long, _h1 long, _h2 long, n_words long, _sha string, _minis array<long>")
+
+
+#: Bytes of hot windows that a task remembers; beyond them it starts anew, which only merges less.
+REMEMBER = 48_000_000
 
-    return docs.mapInArrow(run, "doc_id long, _k long, _h1 long, _h2 long, n_words long, _sha string, _minis array<long>")
+
+def _runs(places: list[int]) -> list[tuple[int, int]]:
+    """Ascending window numbers as ranges (first, last + 1)."""
+    x = np.array(places, np.int64)
+    cut = np.flatnonzero(np.diff(x) > 1)
+    return list(zip(x[np.concatenate([[0], cut + 1])].tolist(), (x[np.append(cut, len(x) - 1)] + 1).tolist()))
 
 
 def _send(rows: DataFrame, window: int) -> DataFrame:
-    """Packed super-k-mers of the minimisers that occur twice; single windows of hot ones."""
+    """Packed super-k-mers of the minimisers that occur twice; single windows of hot ones.
+
+    A task sends a hot window at most twice: once two occurrences are sent (or one stands for two), all that follow are
+    known to repeat. Known windows travel as merged ranges, dealt by their text, and are counted nowhere."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[bytes, int] = {}  # -1: settled; -2: sent once, in an earlier slice; else where this slice sends it
+        held, sent = 0, set()
         for h1, texts, h2, weight, wanted, hots in kit.slices(batches):
             words = kit.Words(texts, lower=False)
             start, stop, mini, _ = minimisers(words, window)
@@ -116,37 +128,60 @@ def _send(rows: DataFrame, window: int) -> DataFrame:
             mini = mini.view(np.int64)
             whash = window_hashes(words, window).view(np.int64)
             out: list[list] = [[] for _ in range(7)]
-            seen: dict[bytes, int] = {}
-            data = words.data
+            fresh: list[bytes] = []
             bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
             for d in range(len(texts)):
+                if weight[d] > 1:  # repeated rows: one of them stands for its class
+                    if (h1[d], h2[d]) in sent:
+                        continue
+                    if len(sent) > 500_000:
+                        sent.clear()
+                    sent.add((h1[d], h2[d]))
                 want, hot = set(wanted[d]), set(hots[d] or ())
-                base = int(words.first[d])
+                base, known = int(words.first[d]), []
                 for i in range(bounds[d], bounds[d + 1]):
                     k = int(mini[i])
                     if k not in want:
                         continue
                     lo, hi = int(start[i]), int(stop[i])
                     if k not in hot:
-                        row = (k, words.text_of(lo, hi + window - 1), h1[d], h2[d], lo - base, weight[d], False)
+                        row = (k, words.text_of(lo, hi + window - 1), h1[d], h2[d], lo - base, weight[d], None)
                         for c, v in zip(out, row):
                             c.append(v)
                         continue
                     for w in range(lo, hi):
                         text = words.text_of(w, w + window)
                         at = seen.get(text)
+                        count = weight[d]
+                        if at == -1:
+                            known.append(w - base)
+                            continue
                         if at is None:
-                            seen[text] = len(out[0])
-                            row = (int(whash[w]), text, h1[d], h2[d], w - base, weight[d], False)
-                        else:  # a repeat within the batch: its verdict is known, the first one stands for both
-                            out[5][at] = 2
-                            row = (int(whash[w]), None, h1[d], h2[d], w - base, 2, True)
-                        for c, v in zip(out, row):
+                            if held > REMEMBER:
+                                seen, held = {}, 0
+                            held += len(text) + 100
+                            seen[text] = len(out[0]) if count < 2 else -1
+                            fresh.append(text)
+                        else:
+                            seen[text] = -1
+                            if at >= 0:
+                                out[5][at] = 2
+                                known.append(w - base)
+                                continue
+                            count = 2
+                        for c, v in zip(out, (int(whash[w]), text, h1[d], h2[d], w - base, count, None)):
+                            c.append(v)
+                if known and weight[d] == 1:
+                    for lo, hi in _runs(known):
+                        for c, v in zip(out, (h1[d], None, h1[d], h2[d], lo, 2, hi)):
                             c.append(v)
-            types = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_())
+            for text in fresh:
+                if seen.get(text, -1) >= 0:
+                    seen[text] = -2
+            types = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["b", "packed", "_h1", "_h2", "at", "w", "known"])
 
-    return rows.select("_h1", "text", "_h2", "_w", "_want", "_hot").mapInArrow(run, "b long, packed binary, _h1 long, _h2 long, at long, w int, known boolean")
+    return rows.select("_h1", "text", "_h2", "_w", "_want", "_hot").mapInArrow(run, "b long, packed binary, _h1 long, _h2 long, at long, w int, known long")
 
 
 def _count(sent: DataFrame, window: int) -> DataFrame:
@@ -194,11 +229,10 @@ def _count(sent: DataFrame, window: int) -> DataFrame:
         size = 0
         for b in batches:
             cols = [c.to_pylist() for c in b.columns]
-            if cols[6] and any(cols[6]):
-                k = [i for i, x in enumerate(cols[6]) if x]
-                yield pa.RecordBatch.from_arrays([pa.array([cols[j][i] for i in k], pa.int64()) for j in (2, 3, 4)] + [pa.array([cols[4][i] + 1 for i in k], pa.int64())], names=["_h1", "_h2", "lo", "hi"])
+            if k := [i for i, x in enumerate(cols[6]) if x is not None]:
+                yield pa.RecordBatch.from_arrays([pa.array([cols[j][i] for i in k], pa.int64()) for j in (2, 3, 4, 6)], names=["_h1", "_h2", "lo", "hi"])
             for i in range(b.num_rows):
-                if cols[6][i]:
+                if cols[6][i] is not None:
                     continue
                 if size > 3_000_000 and cols[0][i] != held[0][-1]:
                     yield flush(*_arrays(held))
@@ -218,14 +252,16 @@ def _count(sent: DataFrame, window: int) -> DataFrame:
 
 def repeats(docs: DataFrame, window: int = 35, hot: int = 1000) -> tuple[DataFrame, DataFrame]:
     """(documents with their class, classes with repeated windows and their text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _key())
+    docs = kit.keyed(docs)
     seen = kit.cut(_scan(docs, window))
-    classes = seen.groupBy("_h1", "_h2").agg(F.count("*").alias("_w"), F.min("_k").alias("_k"), F.min("n_words").alias("_n"))
-    of_class = seen.groupBy("_h1", "_h2", "_minis").agg(F.count("*").alias("_w"), F.min("_k").alias("_k")).where(F.size("_minis") > 0)
-    each = of_class.select("_h1", "_h2", "_k", F.least("_w", F.lit(2)).cast("int").alias("_w"), F.explode("_minis").alias("_m"))
+    row = F.min(F.struct("_id", "_k")).alias("_row")
+    classes = seen.groupBy("_h1", "_h2").agg(F.count("*").alias("_w"))
+    of_class = seen.groupBy("_h1", "_h2", "_minis").agg(F.count("*").alias("_w"), row).where(F.size("_minis") > 0)
+    each = of_class.select("_h1", "_h2", "_row", F.least("_w", F.lit(2)).cast("int").alias("_w"), F.explode("_minis").alias("_m"))
     shared = each.groupBy("_m").agg(F.sum("_w").alias("_c"), F.min("_w").alias("_least")).where("_c >= 2 and _least = 1")
-    want = each.join(shared, "_m").groupBy("_h1", "_h2", "_k", "_w").agg(F.collect_set("_m").alias("_want"), F.collect_set(F.when(F.col("_c") > hot, F.col("_m"))).alias("_hot"))
-    texts = kit.cut(kit.beside(docs.select("_k", "text"), want, "_k").drop("_k"))
+    want = each.join(shared, "_m").groupBy("_h1", "_h2", "_row", "_w").agg(F.collect_set("_m").alias("_want"), F.collect_set(F.when(F.col("_c") > hot, F.col("_m"))).alias("_hot"))
+    want = want.select("_row._id", "_row._k", "_h1", "_h2", "_w", "_want", "_hot")
+    texts = kit.cut(kit.beside(docs.select("_id", "_k", "text"), want, ["_id", "_k"]).drop("_id", "_k"))
     ranges = _count(_send(texts, window), window).groupBy("_h1", "_h2").agg(F.collect_list(F.struct("lo", "hi")).alias("_ranges"))
     cut_out = kit.beside(texts.where("_w = 1").select("_h1", "_h2", "text"), ranges, ["_h1", "_h2"])
     return seen.drop("_minis").join(classes.select("_h1", "_h2", "_w"), ["_h1", "_h2"]), cut_out
@@ -277,10 +313,10 @@ def trimmed(docs: DataFrame, window: int = 35) -> DataFrame:
     seen, cut_out = repeats(docs, window)
     got = seen.join(_trim(cut_out, window, True), ["_h1", "_h2"], "left")
     copies = (F.col("_w") > 1) & (F.col("n_words") >= window)
-    new = got.where(copies | F.col("_gone").isNotNull()).select("_k", F.when(copies, "").otherwise(F.col("_left")).alias("_new")).dropDuplicates(["_k"])
-    cols, key, out = docs.columns, kit.fresh("_k", docs), kit.fresh("_new", docs)
-    keyed = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), "text"))
-    return kit.beside(keyed, new.withColumnRenamed("_k", key).withColumnRenamed("_new", out), key, "left").withColumn("text", F.coalesce(out, "text")).select(*cols)
+    new = got.where(copies | F.col("_gone").isNotNull()).select("_id", "_k", F.when(copies, "").otherwise(F.col("_left")).alias("_new")).dropDuplicates(["_id", "_k"])
+    cols, names, out = docs.columns, (kit.fresh("_id", docs), kit.fresh("_k", docs)), kit.fresh("_new", docs)
+    new = new.select(F.col("_id").alias(names[0]), F.col("_k").alias(names[1]), F.col("_new").alias(out))
+    return kit.beside(docs.select("*", *kit.row_key(docs, names)), new, [*names], "left").withColumn("text", F.coalesce(out, "text")).select(*cols)
 
 
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
