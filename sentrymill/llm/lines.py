@@ -14,6 +14,7 @@ than doc_id and text are never read.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,9 +26,20 @@ from . import kit, links
 
 U = np.uint64
 SHINGLE = 5
-BANDS, ROWS = 36, 6  # finds 99.998 % of pairs at similarity 0.8; rows grow with the log of the corpus, and bands with them
-BINS = BANDS * ROWS
-_PROBE = np.random.default_rng(77).integers(0, BINS, (48, BINS))
+#: A pair at similarity 0.8 shares no band in at most so many cases, if its minima are independent.
+MISSED = 2.2e-4
+
+
+class Bands:
+    """Rows and bands for a number of lines: a row more for every 16 times as many lines keeps chance pairs of a line as few."""
+
+    def __init__(self, lines: float, share: float):
+        self.rows = 4 + max(0, math.ceil(math.log(max(lines, 1) / 2**24, 16)))
+        self.bands = max(1, math.ceil(math.log(MISSED) / math.log(1 - share**self.rows)))
+        self.bins = max(64, self.rows * self.bands)
+        self.probe = np.random.default_rng(77).integers(0, self.bins, (48, self.bins))
+
+
 EMPTY = np.uint32(0xFFFFFFFF)
 
 
@@ -47,8 +59,11 @@ def _codes(norms: list[str]) -> tuple[np.ndarray, np.ndarray]:
     c = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     bounds = np.concatenate([[0], np.cumsum([len(n) for n in lines])]).astype(np.int64)
     h = c[: len(c) - SHINGLE + 1] + U(1)
-    for i in range(1, SHINGLE):  # 21 bits hold a code point: three fit a word before mixing
-        h = h * U(0x9E3779B97F4A7C15) + c[i : len(c) - SHINGLE + 1 + i]
+    for at in range(0, len(h), kit.STRIDE):
+        o = h[at : at + kit.STRIDE]
+        for i in range(1, SHINGLE):
+            o *= U(0x9E3779B97F4A7C15)
+            o += c[at + i : at + i + len(o)]
     return kit.mix(h), bounds
 
 
@@ -64,7 +79,7 @@ def shingle_sets(bodies: list[bytes]) -> list[np.ndarray]:
     return [kit.unique(h[a : b - SHINGLE + 1]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
 
 
-def signatures(norms: list[str]) -> np.ndarray:
+def signatures(norms: list[str], plan: Bands) -> np.ndarray:
     """One-permutation MinHash: for each line the smallest hash of each bin, empty bins borrowing from others."""
     h, bounds = _codes(norms)
     size = np.diff(bounds) - SHINGLE + 1
@@ -75,13 +90,13 @@ def signatures(norms: list[str]) -> np.ndarray:
         ok[at[at < len(h)]] = False
     h, line = h[ok], line[ok]
     assert len(h) == size.sum()
-    bins = ((h >> U(32)) * U(BINS) >> U(32)).astype(np.int64)
-    sig = np.full(len(norms) * BINS, EMPTY, np.uint32)
-    np.minimum.at(sig, line * BINS + bins, h.astype(np.uint32) >> np.uint32(1))
-    sig = sig.reshape(-1, BINS)
+    bins = ((h >> U(32)) * U(plan.bins) >> U(32)).astype(np.int64)
+    sig = np.full(len(norms) * plan.bins, EMPTY, np.uint32)
+    np.minimum.at(sig, line * plan.bins + bins, h.astype(np.uint32) >> np.uint32(1))
+    sig = sig.reshape(-1, plan.bins)
     full = sig != EMPTY
     r, c = np.nonzero(~full)
-    for probe in _PROBE:
+    for probe in plan.probe:
         src = probe[c]
         take = full[r, src]
         sig[r[take], c[take]] = sig[r[take], src[take]]
@@ -92,20 +107,23 @@ def signatures(norms: list[str]) -> np.ndarray:
     return sig
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
+def band_keys(sig: np.ndarray, plan: Bands) -> np.ndarray:
     """A 64-bit key for every band of every line."""
-    x = np.zeros((len(sig), BANDS), np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64) * U(0xD1B54A32D192ED03)
-    for i in range(ROWS):
-        x = kit.mix(x * U(0x9E3779B97F4A7C15) + sig[:, i::ROWS].astype(np.uint64))
+    x = np.zeros((len(sig), plan.bands), np.uint64) + np.arange(1, plan.bands + 1, dtype=np.uint64) * U(0xD1B54A32D192ED03)
+    for i in range(plan.rows):
+        x = x * U(0x9E3779B97F4A7C15) + sig[:, i * plan.bands : (i + 1) * plan.bands]
+        x ^= x >> U(29)
     return x
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("_k"))
+def sketches(sig: np.ndarray) -> np.ndarray:
+    """Two bits of each of the first 64 minima of every line, as two words."""
+    some = np.ascontiguousarray(sig[:, :64])
+    return np.column_stack([np.packbits((some >> np.uint32(b) & np.uint32(1)).astype(np.uint8), axis=1).view(np.uint64).ravel() for b in (0, 1)])
 
 
-def _bands(docs: DataFrame, targets: int) -> DataFrame:
-    """Packed (band key, line) entries of the different lines of each batch."""
+def _bands(docs: DataFrame, plan: Bands, targets: int) -> DataFrame:
+    """Packed (band key, line, sketch) entries of the different lines of each batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in kit.slices(batches):
@@ -113,17 +131,17 @@ def _bands(docs: DataFrame, targets: int) -> DataFrame:
             if norms:
                 some = sorted(norms)
                 ids = np.array([line_id(n) for n in some], np.int64)
-                keys = band_keys(signatures(some))
-                yield links.combined(keys.ravel(), np.repeat(ids, BANDS), targets)
+                sig = signatures(some, plan)
+                yield links.sketched(band_keys(sig, plan).ravel(), np.repeat(ids, plan.bands), np.repeat(sketches(sig), plan.bands, axis=0), targets)
 
     return docs.select("_k", "text").mapInArrow(run, links.PACKED)
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
-    """(doc_id, _k, _n, _lines): the id of each line, null for blank ones."""
+    """(doc_id, _id, _k, _n, _lines): the id of each line, null for blank ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts, keys in kit.slices(batches):
+        for ids, texts, no_id, keys in kit.slices(batches):
             seen: dict[str, int | None] = {}
             out = []
             for t in texts:
@@ -134,9 +152,9 @@ def _occurrences(docs: DataFrame) -> DataFrame:
                         seen[line] = line_id(n) if n else None
                     row.append(seen[line])
                 out.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array([len(r) for r in out], pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "_k", "_n", "_lines"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(no_id, pa.int64()), pa.array(keys, pa.int64()), pa.array([len(r) for r in out], pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "_id", "_k", "_n", "_lines"])
 
-    return docs.mapInArrow(run, "doc_id long, _k long, _n long, _lines array<long>")
+    return docs.mapInArrow(run, "doc_id long, _id long, _k long, _n long, _lines array<long>")
 
 
 def _bodies(docs: DataFrame) -> DataFrame:
@@ -154,34 +172,37 @@ def line_components(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame
     """(id, component) of the lines that are linked to another line, but each component's own smallest id."""
     spark = docs.sparkSession
     n = kit.parts(spark)
-    comps = links.components(links.star_edges(_bands(docs, 4 * n), n))
+    size = docs.agg(F.sum(F.length("text"))).collect()[0][0] or 0
+    plan = Bands(size / 128, num / den)
+    comps = links.components(links.alike_edges(_bands(docs, plan, 4 * n), n))
     kit.release(spark)
     groups = kit.cut(comps.select("id", F.col("component").alias("grp")).unionByName(comps.select(F.col("component").alias("id"), F.col("component").alias("grp")).distinct()))
     members = kit.cut(kit.beside(_bodies(docs), groups, "id").select("grp", "id", "body").dropDuplicates(["id"]))
+    kit.drop(comps, groups)
     kit.release(spark)
     sizes = links.blocks_of(members.select("grp", (F.length("body") + 8).alias("bytes")), 2_000_000)
     return links.link_groups(kit.beside(members, sizes, "grp"), shingle_sets, num, den)
 
 
 def removals(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
-    """(doc_id, _k, n_lines, removed): for each document the numbers of the lines that go, from 0."""
-    docs = _keyed(docs)
+    """(doc_id, _id, _k, n_lines, removed): for each document the numbers of the lines that go, from 0."""
+    docs = kit.keyed(docs)
     comps = kit.cut(line_components(docs, num, den))
     seen = kit.cut(_occurrences(docs))
-    each = seen.select("doc_id", "_k", F.posexplode("_lines").alias("at", "_line")).where("_line is not null")
-    rooted = each.join(comps.withColumnRenamed("id", "_line"), "_line", "left").select("doc_id", "_k", "at", F.coalesce("component", "_line").alias("_root"))
-    place = F.struct("doc_id", "_k", "at")
-    first = rooted.groupBy("_root").agg(F.min(place).alias("_first"), F.max(place).alias("_last")).where(~F.col("_first").eqNullSafe(F.col("_last"))).drop("_last")
-    gone = rooted.join(first, "_root").where(~place.eqNullSafe(F.col("_first"))).groupBy("_k").agg(F.array_sort(F.collect_set("at")).alias("removed"))
-    return seen.select("doc_id", "_k", F.col("_n").alias("n_lines")).join(gone, "_k", "left").select("doc_id", "_k", "n_lines", F.coalesce("removed", F.expr("cast(array() as array<int>)")).alias("removed"))
+    each = seen.select("_id", "_k", F.posexplode("_lines").alias("at", "_line")).where("_line is not null")
+    rooted = each.join(comps.withColumnRenamed("id", "_line"), "_line", "left").select("_id", "_k", "at", F.coalesce("component", "_line").alias("_root"))
+    place = F.struct("_id", "_k", "at")
+    first = rooted.groupBy("_root").agg(F.min(place).alias("_first"), F.max(place).alias("_last")).where(F.col("_first") != F.col("_last")).drop("_last")
+    gone = rooted.join(first, "_root").where(place != F.col("_first")).groupBy("_id", "_k").agg(F.array_sort(F.collect_set("at")).alias("removed"))
+    return seen.select("doc_id", "_id", "_k", F.col("_n").alias("n_lines")).join(gone, ["_id", "_k"], "left").select("doc_id", "_id", "_k", "n_lines", F.coalesce("removed", F.expr("cast(array() as array<int>)")).alias("removed"))
 
 
 def deduped(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
     """All columns of ``docs``, with the removed lines gone from ``text``."""
-    key, out = kit.fresh("_k", docs), kit.fresh("_removed", docs)
-    gone = removals(docs, num, den).where(F.size("removed") > 0).select(F.col("_k").alias(key), F.col("removed").alias(out)).dropDuplicates([key])
+    names, out = (kit.fresh("_id", docs), kit.fresh("_k", docs)), kit.fresh("_removed", docs)
+    gone = removals(docs, num, den).where(F.size("removed") > 0).select(F.col("_id").alias(names[0]), F.col("_k").alias(names[1]), F.col("removed").alias(out)).dropDuplicates([*names])
     cols = docs.columns
-    keyed = kit.beside(docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), "text")), gone, key, "left")
+    keyed = kit.beside(docs.select("*", *kit.row_key(docs, names)), gone, [*names], "left")
     kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(out, i)), "\n")
     return keyed.withColumn("text", F.when(F.col(out).isNull(), F.col("text")).otherwise(kept)).select(*cols)
 

@@ -80,6 +80,85 @@ def combined(keys: np.ndarray, ids: np.ndarray, targets: int) -> pa.RecordBatch:
     return out
 
 
+#: A key of a sketched entry (with its part), the id, and two bits of each of 64 minima; the last one's second bit marks stars.
+SKETCHED = np.dtype([("key", "<u4"), ("id", "<i8"), ("low", "<u8"), ("high", "<u8")])
+STAR = U(1 << 63)
+ALIKE = 40  # of 63 minima; at similarity 0.8 fewer than that agree in about 5 of a million pairs
+PAIRS = 64  # beyond so many ids of one key in a batch, and four times as many in all, they are tied without a look
+
+
+def sketched(keys: np.ndarray, ids: np.ndarray, sketch: np.ndarray, targets: int) -> pa.RecordBatch:
+    """Packs (key, id, sketch) entries of one batch. Ids of a key that very many hold become edges at once (part -1)."""
+    full = kit.mix(keys)
+    part = (full >> U(33)) % U(targets)
+    order = np.lexsort((ids, full, part))
+    part, full, ids, sketch = part[order].astype(np.int64), full[order], ids[order], sketch[order]
+    e = np.empty(len(ids), SKETCHED)
+    e["key"], e["id"], e["low"], e["high"] = full.astype(np.uint32), ids, sketch[:, 0], sketch[:, 1] & ~STAR
+    run = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (e["key"][1:] != e["key"][:-1])])) if len(e) else np.zeros(0, np.int64)
+    size = np.diff(np.append(run, len(e)))
+    ties = np.zeros((0, 2), np.int64)
+    if (size > PAIRS).any():
+        lead, many = np.repeat(ids[run], size), np.repeat(size > PAIRS, size)
+        ties = np.unique(np.column_stack([ids, lead])[many & (ids != lead)], axis=0)
+        first = np.zeros(len(e), bool)
+        first[run] = True
+        e["high"][many & first] |= STAR
+        part, e = part[~many | first], e[~many | first]
+    at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
+    blocks = [e[i:j].tobytes() for i, j in zip(at, np.append(at[1:], len(part)))]
+    to = part[at].tolist()
+    if len(ties):
+        blocks.append(ties.tobytes())
+        to.append(-1)
+    return pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(blocks, pa.binary())], names=["part", "block"])
+
+
+def alike_edges(entries: DataFrame, targets: int) -> DataFrame:
+    """Edges (u, v) between ids of a key whose sketches agree in ``ALIKE`` places; keys of very many ids tie all to one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges, parts, blocks = [], [], []
+        for b in batches:
+            for part, x in zip(b.column(0).to_pylist(), b.column(1)):
+                if part < 0:
+                    edges.append(np.frombuffer(x.as_py(), np.int64).reshape(-1, 2))
+                else:
+                    blocks.append(np.frombuffer(x.as_py(), SKETCHED))
+                    parts.append(part)
+        if blocks:
+            e = np.concatenate(blocks)
+            key = e["key"].astype(np.uint64) | np.repeat(np.array(parts, np.uint64) << U(32), [len(x) for x in blocks])
+            order = np.lexsort((e["id"], key))
+            key, e = key[order], e[order]
+            star = e["high"] >= STAR
+            new = np.concatenate([[True], (key[1:] != key[:-1]) | (e["id"][1:] != e["id"][:-1])])
+            star = np.logical_or.reduceat(star, np.flatnonzero(new))
+            key, e = key[new], e[new]
+            run = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            size = np.diff(np.append(run, len(e)))
+            star = np.logical_or.reduceat(star, run) | (size > 4 * PAIRS)
+            many = np.repeat(star, size)
+            edges.append(np.column_stack([e["id"], np.repeat(e["id"][run], size)])[many])
+            left = np.repeat(size, size) - (np.arange(len(e)) - np.repeat(run, size)) - 1  # entries of the key behind
+            left[many] = 0
+            i = np.flatnonzero(left > 0)
+            step = 1
+            while len(i):
+                j = i + step
+                same = ~((e["low"][i] ^ e["low"][j]) | (e["high"][i] ^ e["high"][j])) & ~STAR
+                hit = np.bitwise_count(same) >= ALIKE
+                edges.append(np.column_stack([e["id"][j[hit]], e["id"][i[hit]]]))
+                step += 1
+                i = i[left[i] >= step]
+        found = np.concatenate(edges) if edges else np.zeros((0, 2), np.int64)
+        found = np.unique(found[found[:, 0] != found[:, 1]], axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["u", "v"])
+
+    dealt = entries.repartition(targets, F.col("part"), F.when(F.col("part") < 0, F.xxhash64("block")))
+    return dealt.mapInArrow(run, "u long, v long")
+
+
 def _forest(u: list[int], v: list[int]) -> dict[int, int]:
     """Smallest id reachable, for every id but the smallest itself."""
     up: dict[int, int] = {}
