@@ -2,10 +2,11 @@
 
 Features of a text: densities and weights of a lexicon (words and word beginnings learned from labelled
 texts), how near lexicon words stand to second-person words, capitals, punctuation, and words written in
-disguise (digits or symbols among letters). The model is fitted on at most ``sample`` labelled rows outside
-the held-out third, chosen by a hash of doc_id; two folds keep the lexicon and the calibration honest. Every
-text is scored whole. Null or empty texts get the features of an empty text; ids may be null or repeat;
-labels that are null are not used; without both classes the score is the share of label 1 (0.5 without labels).
+disguise (digits or symbols among letters). The model is fitted on about ``sample`` labelled rows outside
+the held-out third, chosen by a hash of doc_id (all, if there are no more), with a lexicon of at most ``top`` terms;
+two folds keep the lexicon and the calibration honest. Every text is scored whole. Null or empty texts get the features of an empty text; ids may be null or repeat;
+labels that are null are not used; without four rows of either class the score is the share of label 1 (0.5 without labels).
+An empty table gives an empty result; with ``keep`` all columns stay whatever their names.
 """
 
 from __future__ import annotations
@@ -163,9 +164,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 20_000):
     n = labels.count()
     if not n:
         return 0.5
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000))
-    chosen = labels.where(draw < math.ceil(1_000_000 * min(1.0, sample / n))).withColumn("_fold", F.pmod(F.xxhash64("doc_id", F.lit(12)), F.lit(2)).cast("int"))
-    # the sample has a bounded number of small rows, so it is sent to every task
+    draw = F.xxhash64("doc_id", F.lit(11)) / F.lit(2.0**64) + 0.5
+    chosen = labels.where(draw < min(1.0, sample / n)).withColumn("_fold", F.pmod(F.xxhash64("doc_id", F.lit(12)), F.lit(2)).cast("int"))
+    # about ``sample`` rows of a few bytes, whatever the input, so they are sent to every task
     rows = kit.cut(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("_fold", "text", "_y"))
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,13 +179,15 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 20_000):
                 ys += [v] * len(got)
             yield pa.RecordBatch.from_arrays([pa.array(ts, pa.string()), pa.array(fs, pa.int32()), pa.array(ys, pa.int32())], names=["t", "f", "y"])
 
-    one = lambda f, y: F.count(F.when((F.col("f") == f) & (F.col("y") == y), 1))
-    terms_of = rows.mapInArrow(explode, "t string, f int, y int").groupBy("t").agg(*[one(f, y).alias(f"c{f}{y}") for f in (0, 1) for y in (0, 1)]).where("c01 + c11 >= 3 and (c01 + c11) * 8 >= c00 + c10")
     sizes = {(r["_fold"], r["_y"]): r["count"] for r in rows.groupBy("_fold", "_y").count().collect()}
     size = lambda y, folds: sum(sizes.get((f, y), 0) for f in folds)
     if min(size(0, (0, 1)), size(1, (0, 1))) < 4:
         return size(1, (0, 1)) / max(1, size(0, (0, 1)) + size(1, (0, 1)))
-    got = [tuple(r) for r in terms_of.orderBy(F.desc(F.expr("(c01 + c11) / (c00 + c10 + 1)")), F.desc(F.expr("c01 + c11")), "t").limit(40_000).collect()]
+    # terms that pass the lexicon's own test in a fold or in both together; those of the sample only, so they are bounded
+    passes = " or ".join(f"({b} >= 3 and ({b} + 0.2) * {size(0, k) + 1} >= exp(1.99) * ({a} + 0.2) * {size(1, k) + 1})" for a, b, k in (("c00", "c01", (0,)), ("c10", "c11", (1,)), ("(c00 + c10)", "(c01 + c11)", (0, 1))))
+    one = lambda f, y: F.count(F.when((F.col("f") == f) & (F.col("y") == y), 1))
+    terms_of = rows.mapInArrow(explode, "t string, f int, y int").groupBy("t").agg(*[one(f, y).alias(f"c{f}{y}") for f in (0, 1) for y in (0, 1)]).where(passes)
+    got = [tuple(r) for r in terms_of.collect()]
     lex = [fit_lexicon([(t, c00, c01) for t, c00, c01, _, _ in got], (size(0, (0,)), size(1, (0,)))), fit_lexicon([(t, c10, c11) for t, _, _, c10, c11 in got], (size(0, (1,)), size(1, (1,))))]
     full = fit_lexicon([(t, a + c, b + d) for t, a, b, c, d in got], (size(0, (0, 1)), size(1, (0, 1))))
 
@@ -210,21 +213,28 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample: in
     """Each document's id, score and prediction; with ``keep`` all columns of the documents that are predicted 0."""
     model = learn(docs, labels, sample)
     cols = docs.columns if keep else ["doc_id"]
-    body, mark, guess = (kit.fresh(c, docs.select(*cols)) for c in ("_text", "_score", "_predicted"))
-    rows = docs.withColumn(body, F.col("text")).select(body, *cols)
+    at = cols.index("text") if keep else 1
+    mark, guess = (kit.fresh(c, docs.select(*cols)) for c in ("_score", "_predicted"))
+    rows = docs.select(*cols) if keep else docs.select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        kit.trim()
+        for b in (b.slice(lo, hi - lo) for b in batches for lo, hi in kit.bounds(b.column(at), 1_000_000)):
             if isinstance(model, float):
                 s = np.full(b.num_rows, model)
             else:
                 lexicon, trees, steps = model
-                x = np.array([features(t, lexicon) for t in b.column(0).to_pylist()], float).reshape(-1, FEATURES)
-                s = calibrated(steps, trees(x)) if len(x) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32), pa.int32())], names=[*b.schema.names[1:], mark, guess])
+                x = np.array([features(t, lexicon) for t in b.column(at).to_pylist()], float).reshape(-1, FEATURES)
+                s = calibrated(steps, trees(x))
+            guesses = (s >= threshold).astype(np.int32)
+            if keep:  # rejected documents never leave the worker
+                yield b.filter(pa.array(guesses == 0))
+            else:
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), pa.array(guesses, pa.int32())], names=["doc_id", mark, guess])
 
-    got = rows.mapInArrow(run, T.StructType([*rows.select(*cols).schema.fields, T.StructField(mark, T.DoubleType()), T.StructField(guess, T.IntegerType())]))
-    return got.where(F.col(guess) == 0).select(*cols) if keep else got
+    if keep:
+        return rows.mapInArrow(run, rows.schema)
+    return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], T.StructField(mark, T.DoubleType()), T.StructField(guess, T.IntegerType())]))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
