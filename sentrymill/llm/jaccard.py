@@ -138,7 +138,7 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, block: int
     n = kit.parts(spark)
     docs = kit.keyed(docs)
     rows = kit.cut(_rows(docs, k))
-    groups = kit.cut(_groups(links.components(links.star_edges(_keys(docs, k, num, den, 4 * n), n))))
+    groups = kit.cut(_groups(links.components(links.star_edges(_keys(docs, k, num, den, 4 * n), n), thin=True)))
     kit.release(spark)
     reps = rows.where("_cls is not null").groupBy("_cls").agg(F.min(F.struct("_id", "_k")).alias("_rep"), F.min("n_shingles").alias("_n"))
     known = kit.cut(groups.join(reps, F.col("id") == F.col("_cls")).select("_rep._id", "_rep._k", "grp", "id", (8 * F.col("_n") + 64).alias("bytes")))

@@ -3,6 +3,7 @@ batches, and tables written to the shared folder so that lost executors never co
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import time
@@ -99,20 +100,36 @@ def crc_mod(col: str, n: int):
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % n
 
 
+def trim() -> None:
+    """Gives memory that earlier tasks of this worker have freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: it keeps what was freed for later
+        pass
+
+
+def bounds(texts: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose texts hold about ``limit`` bytes; a longer text is a range of its own."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    lo = size = 0
+    for i, n in enumerate(sizes.tolist()):
+        if size and size + n > limit:
+            yield lo, i
+            lo, size = i, 0
+        size += n
+    if lo < len(texts):
+        yield lo, len(texts)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: int = 1, limit: int = 1_000_000) -> Iterator[tuple[list, ...]]:
     """Rows of Arrow batches as column lists, cut so that the texts of a slice hold about ``limit`` bytes.
 
     Only one slice at a time becomes Python objects; a longer text is a slice of its own."""
+    trim()
     for b in batches:
-        sizes = pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False)
-        lo = size = 0
-        for i, n in enumerate(sizes.tolist()):
-            if size and size + n > limit:
-                yield tuple(c.to_pylist() for c in b.slice(lo, i - lo).columns)
-                lo, size = i, 0
-            size += n
-        if lo < b.num_rows:
-            yield tuple(c.to_pylist() for c in b.slice(lo).columns)
+        for lo, hi in bounds(b.column(text), limit):
+            yield tuple(c.to_pylist() for c in b.slice(lo, hi - lo).columns)
 
 
 #: Numbers worked on at a time, so that intermediate results stay in the processor's cache.

@@ -81,19 +81,13 @@ def shingle_sets(bodies: list[bytes]) -> list[np.ndarray]:
 
 def signatures(norms: list[str], plan: Bands) -> np.ndarray:
     """One-permutation MinHash: for each line the smallest hash of each bin, empty bins borrowing from others."""
-    h, bounds = _codes(norms)
-    size = np.diff(bounds) - SHINGLE + 1
-    line = np.repeat(np.arange(len(norms)), np.diff(bounds))[: len(h)]
-    ok = np.ones(len(h), bool)
-    for i in range(1, SHINGLE):
-        at = bounds[1:] - i
-        ok[at[at < len(h)]] = False
-    h, line = h[ok], line[ok]
-    assert len(h) == size.sum()
-    bins = ((h >> U(32)) * U(plan.bins) >> U(32)).astype(np.int64)
-    sig = np.full(len(norms) * plan.bins, EMPTY, np.uint32)
-    np.minimum.at(sig, line * plan.bins + bins, h.astype(np.uint32) >> np.uint32(1))
-    sig = sig.reshape(-1, plan.bins)
+    sig = np.full((len(norms), plan.bins), EMPTY, np.uint32)
+    lo = size = 0
+    for i, n in enumerate(norms):  # some lines at a time, so that memory does not follow the batch
+        size += max(len(n), SHINGLE)
+        if size > 150_000 or i == len(norms) - 1:
+            _minima(norms[lo : i + 1], sig[lo : i + 1].reshape(-1), plan.bins)
+            lo, size = i + 1, 0
     full = sig != EMPTY
     r, c = np.nonzero(~full)
     for probe in plan.probe:
@@ -107,6 +101,19 @@ def signatures(norms: list[str], plan: Bands) -> np.ndarray:
     return sig
 
 
+def _minima(norms: list[str], sig: np.ndarray, bins: int) -> None:
+    """Puts the smallest hash of each line and bin into ``sig``, flat and in place."""
+    h, bounds = _codes(norms)
+    line = np.repeat(np.arange(len(norms)) * bins, np.diff(bounds))[: len(h)]
+    ok = np.ones(len(h), bool)
+    for i in range(1, SHINGLE):
+        at = bounds[1:] - i
+        ok[at[at < len(h)]] = False
+    h, line = h[ok], line[ok]
+    line += ((h >> U(32)) * U(bins) >> U(32)).astype(np.int64)
+    np.minimum.at(sig, line, h.astype(np.uint32) >> np.uint32(1))
+
+
 def band_keys(sig: np.ndarray, plan: Bands) -> np.ndarray:
     """A 64-bit key for every band of every line."""
     x = np.zeros((len(sig), plan.bands), np.uint64) + np.arange(1, plan.bands + 1, dtype=np.uint64) * U(0xD1B54A32D192ED03)
@@ -174,7 +181,7 @@ def line_components(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame
     n = kit.parts(spark)
     size = docs.agg(F.sum(F.length("text"))).collect()[0][0] or 0
     plan = Bands(size / 128, num / den)
-    comps = links.components(links.alike_edges(_bands(docs, plan, 4 * n), n))
+    comps = links.components(links.alike_edges(_bands(docs, plan, 4 * n), n), thin=True)
     kit.release(spark)
     groups = kit.cut(comps.select("id", F.col("component").alias("grp")).unionByName(comps.select(F.col("component").alias("id"), F.col("component").alias("grp")).distinct()))
     members = kit.cut(kit.beside(_bodies(docs), groups, "id").select("grp", "id", "body").dropDuplicates(["id"]))

@@ -32,13 +32,6 @@ def packed(keys: np.ndarray, values: np.ndarray, targets: int) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([pa.array(part[at], pa.int32()), pa.array([entry[a:b].tobytes() for a, b in zip(at, stop)], pa.binary())], names=["part", "block"])
 
 
-def unpacked(batches: Iterator[pa.RecordBatch], width: int) -> np.ndarray:
-    """All entries of a partition, sorted by key and then by value."""
-    blocks = [np.frombuffer(x.as_py(), np.uint64) for b in batches for x in b.column(b.schema.get_field_index("block"))]
-    entry = np.concatenate(blocks).reshape(-1, width) if blocks else np.zeros((0, width), np.uint64)
-    return entry[np.lexsort((entry[:, 1].view(np.int64), entry[:, 0]))]
-
-
 def stars(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of entries sorted by (key, id): each entry's leader (the smallest id of its key) and which entries lead."""
     new = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
@@ -46,26 +39,72 @@ def stars(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return lead, lead != ids, new
 
 
+def by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
+    """The blocks of one part after another, of rows sorted by part; blocks of part -1 come as they are read."""
+    kit.trim()
+    now, held = None, []
+    for b in batches:
+        for part, block in zip(b.column(0).to_pylist(), b.column(1)):
+            if part < 0:
+                yield part, [block.as_py()]
+                continue
+            if part != now and held:
+                yield now, held
+                held = []
+            now = part
+            held.append(block.as_py())
+    if held:
+        yield now, held
+
+
+def dealt(entries: DataFrame, targets: int) -> DataFrame:
+    """Blocks sorted by part, the same number of parts in each partition; edges that need no exchange (part -1) anywhere."""
+    at = F.when(F.col("part") < 0, F.pmod(F.xxhash64("block"), F.lit(targets))).otherwise(F.col("part")).cast("int")
+    return entries.repartitionById(targets, at).sortWithinPartitions("part")
+
+
+class Edges:
+    """Edges gathered as arrays and thinned to a spanning forest, so that few are held and sent."""
+
+    def __init__(self):
+        self.u: list[int] = []
+        self.v: list[int] = []
+
+    def add(self, e: np.ndarray) -> None:
+        e = np.unique(e[e[:, 0] != e[:, 1]], axis=0)
+        self.u += e[:, 0].tolist()
+        self.v += e[:, 1].tolist()
+        if len(self.u) > 400_000:
+            self.thin()
+
+    def thin(self) -> None:
+        f = _forest(self.u, self.v)
+        self.u, self.v = list(f), list(f.values())
+
+    def batch(self) -> pa.RecordBatch:
+        self.thin()
+        return pa.RecordBatch.from_arrays([pa.array(self.u, pa.int64()), pa.array(self.v, pa.int64())], names=["u", "v"])
+
+
 def star_edges(batches_of: DataFrame, targets: int) -> DataFrame:
     """Edges (u, v) that tie every id of a key to the smallest one, from packed (key, id) blocks.
 
     Part -1 holds edges found before the exchange, as (u, v)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready, rest = [], []
-        for b in batches:
-            own = b.column(0).to_numpy(zero_copy_only=False) < 0
-            ready += [np.frombuffer(x.as_py(), np.uint64).reshape(-1, 2) for x in b.column(1).filter(pa.array(own))]
-            rest.append(b.filter(pa.array(~own)))
-        e = unpacked(iter(rest), 2)
-        lead, tied, _ = stars(e[:, 0], e[:, 1].view(np.int64))
-        edges = np.concatenate([np.column_stack([e[tied, 1].view(np.int64), lead[tied]]), *[x.view(np.int64) for x in ready]]) if len(e) or ready else np.zeros((0, 2), np.int64)
-        edges = np.unique(edges, axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["u", "v"])
+        out = Edges()
+        for part, blocks in by_part(batches):
+            e = np.concatenate([np.frombuffer(x, np.uint64) for x in blocks]).reshape(-1, 2)
+            if part < 0:
+                out.add(e.view(np.int64))
+                continue
+            e = e[np.lexsort((e[:, 1].view(np.int64), e[:, 0]))]
+            ids = e[:, 1].view(np.int64)
+            lead, tied, _ = stars(e[:, 0], ids)
+            out.add(np.column_stack([ids[tied], lead[tied]]))
+        yield out.batch()
 
-    # the salt deals edges that need no exchange evenly
-    dealt = batches_of.repartition(targets, F.col("part"), F.when(F.col("part") < 0, F.xxhash64("block")))
-    return dealt.mapInArrow(run, "u long, v long")
+    return dealt(batches_of, targets).mapInArrow(run, "u long, v long")
 
 
 def combined(keys: np.ndarray, ids: np.ndarray, targets: int) -> pa.RecordBatch:
@@ -118,45 +157,34 @@ def alike_edges(entries: DataFrame, targets: int) -> DataFrame:
     """Edges (u, v) between ids of a key whose sketches agree in ``ALIKE`` places; keys of very many ids tie all to one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges, parts, blocks = [], [], []
-        for b in batches:
-            for part, x in zip(b.column(0).to_pylist(), b.column(1)):
-                if part < 0:
-                    edges.append(np.frombuffer(x.as_py(), np.int64).reshape(-1, 2))
-                else:
-                    blocks.append(np.frombuffer(x.as_py(), SKETCHED))
-                    parts.append(part)
-        if blocks:
-            e = np.concatenate(blocks)
-            key = e["key"].astype(np.uint64) | np.repeat(np.array(parts, np.uint64) << U(32), [len(x) for x in blocks])
-            order = np.lexsort((e["id"], key))
-            key, e = key[order], e[order]
-            star = e["high"] >= STAR
-            new = np.concatenate([[True], (key[1:] != key[:-1]) | (e["id"][1:] != e["id"][:-1])])
-            star = np.logical_or.reduceat(star, np.flatnonzero(new))
-            key, e = key[new], e[new]
-            run = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        out = Edges()
+        for part, blocks in by_part(batches):
+            if part < 0:
+                out.add(np.frombuffer(blocks[0], np.int64).reshape(-1, 2))
+                continue
+            e = np.concatenate([np.frombuffer(x, SKETCHED) for x in blocks])
+            e = e[np.lexsort((e["id"], e["key"]))]
+            new = np.concatenate([[True], (e["key"][1:] != e["key"][:-1]) | (e["id"][1:] != e["id"][:-1])])
+            star = np.logical_or.reduceat(e["high"] >= STAR, np.flatnonzero(new))
+            e = e[new]
+            run = np.flatnonzero(np.concatenate([[True], e["key"][1:] != e["key"][:-1]]))
             size = np.diff(np.append(run, len(e)))
-            star = np.logical_or.reduceat(star, run) | (size > 4 * PAIRS)
-            many = np.repeat(star, size)
-            edges.append(np.column_stack([e["id"], np.repeat(e["id"][run], size)])[many])
-            left = np.repeat(size, size) - (np.arange(len(e)) - np.repeat(run, size)) - 1  # entries of the key behind
+            many = np.repeat(np.logical_or.reduceat(star, run) | (size > 4 * PAIRS), size)
+            out.add(np.column_stack([e["id"], np.repeat(e["id"][run], size)])[many])
+            left = np.repeat(size + run, size) - np.arange(len(e)) - 1  # entries of the key behind this one
             left[many] = 0
-            i = np.flatnonzero(left > 0)
-            step = 1
+            i, step = np.flatnonzero(left > 0), 1
+            ids, low, high = (np.ascontiguousarray(e[x]) for x in ("id", "low", "high"))
             while len(i):
                 j = i + step
-                same = ~((e["low"][i] ^ e["low"][j]) | (e["high"][i] ^ e["high"][j])) & ~STAR
+                same = ~((low[i] ^ low[j]) | (high[i] ^ high[j])) & ~STAR
                 hit = np.bitwise_count(same) >= ALIKE
-                edges.append(np.column_stack([e["id"][j[hit]], e["id"][i[hit]]]))
+                out.add(np.column_stack([ids[j[hit]], ids[i[hit]]]))
                 step += 1
                 i = i[left[i] >= step]
-        found = np.concatenate(edges) if edges else np.zeros((0, 2), np.int64)
-        found = np.unique(found[found[:, 0] != found[:, 1]], axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["u", "v"])
+        yield out.batch()
 
-    dealt = entries.repartition(targets, F.col("part"), F.when(F.col("part") < 0, F.xxhash64("block")))
-    return dealt.mapInArrow(run, "u long, v long")
+    return dealt(entries, targets).mapInArrow(run, "u long, v long")
 
 
 def _forest(u: list[int], v: list[int]) -> dict[int, int]:
@@ -178,23 +206,18 @@ def _forest(u: list[int], v: list[int]) -> dict[int, int]:
     return {x: find(x) for x in list(up)}
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 40, thin: bool = False) -> DataFrame:
     """(id, component) of every id of ``edges`` (u, v) but the components' own smallest ids: large-star and
-    small-star steps after each partition has replaced its edges by a spanning star. Hubs are aggregated before
+    small-star steps after each partition has replaced its edges by a spanning star (``thin``: it has already). Hubs are aggregated before
     the shuffle and their joins are skew joins; each step is written to the shared folder."""
 
     def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        u, v = [], []
+        out = Edges()
         for b in batches:
-            u += b.column(0).to_pylist()
-            v += b.column(1).to_pylist()
-            if len(u) > 400_000:
-                f = _forest(u, v)
-                u, v = list(f), list(f.values())
-        f = _forest(u, v)
-        yield pa.RecordBatch.from_arrays([pa.array(list(f), pa.int64()), pa.array(list(f.values()), pa.int64())], names=["u", "v"])
-
-    now = kit.cut(edges.select("u", "v").mapInArrow(contract, "u long, v long"))
+            out.add(np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns]))
+        yield out.batch()
+
+    now = kit.cut(edges.select("u", "v") if thin else edges.select("u", "v").mapInArrow(contract, "u long, v long"))
     mark = None
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -342,16 +365,19 @@ def finer(chunks: DataFrame, num: int, den: int, targets: int, parts: int) -> Da
                 yield packed(x, np.column_stack([np.full(len(x), chunk, np.int64), n]), targets)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = unpacked(batches, 3)
-        at = np.flatnonzero(np.concatenate([[True], e[1:, 0] != e[:-1, 0]])) if len(e) else np.zeros(0, np.int64)
-        n = np.repeat(np.add.reduceat(e[:, 2], at), np.diff(np.append(at, len(e)))) if len(e) else e[:, 2]
-        e = np.column_stack([e[:, 1], e[:, 0], n])[n > 1]
-        e = e[np.argsort(e[:, 0], kind="stable")]
-        at = np.flatnonzero(np.concatenate([[True], e[1:, 0] != e[:-1, 0]])) if len(e) else np.zeros(0, np.int64)
-        stop = np.append(at[1:], len(e))
-        yield pa.RecordBatch.from_arrays([pa.array(e[at, 0].view(np.int64)), pa.array([e[i:j, 1:].tobytes() for i, j in zip(at, stop)], pa.binary())], names=["chunk", "block"])
+        for _, blocks in by_part(batches):
+            e = np.concatenate([np.frombuffer(x, np.uint64) for x in blocks]).reshape(-1, 3)
+            e = e[np.argsort(e[:, 0], kind="stable")]
+            at = np.flatnonzero(np.concatenate([[True], e[1:, 0] != e[:-1, 0]]))
+            n = np.repeat(np.add.reduceat(e[:, 2], at), np.diff(np.append(at, len(e))))
+            e = np.column_stack([e[:, 1], e[:, 0], n])[n > 1]
+            e = e[np.argsort(e[:, 0], kind="stable")]
+            at = np.flatnonzero(np.concatenate([[True], e[1:, 0] != e[:-1, 0]])) if len(e) else np.zeros(0, np.int64)
+            stop = np.append(at[1:], len(e))
+            yield pa.RecordBatch.from_arrays([pa.array(e[at, 0].view(np.int64)), pa.array([e[i:j, 1:].tobytes() for i, j in zip(at, stop)], pa.binary())], names=["chunk", "block"])
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kit.trim()
         for b in batches:
             for ids, bodies, blocks in zip(*[c.to_pylist() for c in b.columns]):
                 known = np.frombuffer(b"".join(blocks), np.uint64).reshape(-1, 2)
@@ -367,9 +393,8 @@ def finer(chunks: DataFrame, num: int, den: int, targets: int, parts: int) -> Da
                 if len(x := np.concatenate(out)):
                     yield combined(kit.mix(x), np.concatenate(owner), targets)
 
-    asked = chunks.select("chunk", "bodies").mapInArrow(ask, PACKED).repartition(targets, "part")
-    told = asked.mapInArrow(answer, "chunk long, block binary").groupBy("chunk").agg(F.collect_list("block").alias("blocks"))
-    return components(star_edges(kit.beside(chunks, told, "chunk").select("ids", "bodies", "blocks").mapInArrow(keys, PACKED), parts))
+    told = dealt(chunks.select("chunk", "bodies").mapInArrow(ask, PACKED), parts).mapInArrow(answer, "chunk long, block binary").groupBy("chunk").agg(F.collect_list("block").alias("blocks"))
+    return components(star_edges(kit.beside(chunks, told, "chunk").select("ids", "bodies", "blocks").mapInArrow(keys, PACKED), parts), thin=True)
 
 
 def blocks_of(sizes: DataFrame, block_bytes: int) -> DataFrame:
@@ -387,7 +412,7 @@ def link_groups(members: DataFrame, to_sets: Callable[[list[bytes]], list[np.nda
     spark = members.sparkSession
     sized = members.withColumn("_own", F.pmod(F.xxhash64("id", F.lit(7)), F.col("_blocks")).cast("int"))
     other = F.when(F.col("_blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("_blocks") - 1))
-    dealt = sized.withColumn("_other", F.explode(other)).select("grp", F.least("_own", "_other").alias("_a"), F.greatest("_own", "_other").alias("_b"), "_own", (F.col("_blocks") > 1).alias("_large"), "id", "body")
+    pairs = sized.withColumn("_other", F.explode(other)).select("grp", F.least("_own", "_other").alias("_a"), F.greatest("_own", "_other").alias("_b"), "_own", (F.col("_blocks") > 1).alias("_large"), "id", "body")
 
     def settle(rows: list[tuple]) -> tuple[list[int], list[int], list[bool]]:
         rows = list({r[5]: r for r in sorted(rows, key=lambda r: r[5])}.values())
@@ -408,8 +433,9 @@ def link_groups(members: DataFrame, to_sets: Callable[[list[bytes]], list[np.nda
             u.clear(), v.clear(), w.clear()
             return b
 
-        for b in batches:
-            for row in zip(*[c.to_pylist() for c in b.columns[:6]], to_sets(b.column(6).to_pylist())):
+        kit.trim()
+        for *of, bodies in (x for b in batches for x in ([c.to_pylist() for c in b.slice(i, 1000).columns] for i in range(0, b.num_rows, 1000))):
+            for row in zip(*of, to_sets(bodies)):
                 if held and row[:3] != held[0][:3]:
                     for c, x in zip((u, v, w), settle(held)):
                         c += x
@@ -423,7 +449,7 @@ def link_groups(members: DataFrame, to_sets: Callable[[list[bytes]], list[np.nda
         yield out()
 
     n = kit.parts(spark)
-    edges = kit.cut(dealt.repartition(n, "grp", "_a", "_b").sortWithinPartitions("grp", "_a", "_b").mapInArrow(run, "u long, v long, large boolean"))
+    edges = kit.cut(pairs.repartition(n, "grp", "_a", "_b").sortWithinPartitions("grp", "_a", "_b").mapInArrow(run, "u long, v long, large boolean"))
     done = edges.where("not large").select(F.col("u").alias("id"), F.col("v").alias("component"))
     if edges.where("large").limit(1).count():
         done = done.unionByName(components(edges.where("large")))
