@@ -2,14 +2,16 @@
 
 Vectors are scaled to length one and rotated at random; each half is scored against its own random codebook.
 A filter is a pair of code words, its score the sum of both; a vector is list-decoded to all filters whose
-score exceeds a threshold, which about ``lists`` of them do. Vectors that meet in a filter are compared in blocks
+score exceeds a threshold, which about ``lists`` of them do. Books and lists grow with the number of vectors
+(``sized``), so that a filter holds about as many vectors whatever the input. Vectors that meet in a filter are compared in blocks
 by cosine in double precision. A pair is counted in the first filter that both pass, so no pair is emitted
 or counted twice: tasks give link counts and spanning edges only. Filters that many vectors pass are dealt
 into blocks, and every pair of blocks is a task of its own.
 
 Equal vectors are one class with a weight. Vectors that are null, empty, zero, or hold null or non-finite
 components link with nothing, and vectors of different lengths do not link with each other. Repeated
-rows and ids are vectors of their own; null ids are kept; an empty table gives an empty result.
+rows and ids are vectors of their own; null ids are kept; an empty table gives an empty result; other columns are
+never read. A link is missed where its vectors share no filter: of pairs at cosine 0.9 exactly, 0.99 are found.
 """
 
 from __future__ import annotations
@@ -50,10 +52,19 @@ class Code:
             i = np.flatnonzero(p > self.least - q.max())
             j = np.flatnonzero(q > self.least - p.max())
             r, c = np.nonzero(p[i][:, None] + q[j][None] > self.least)
-            out.append((i[r] * self.words + j[c]).astype(np.int32))
+            out.append(i[r] * self.words + j[c])
         return out
 
 
+def sized(vectors: int, held: int = 256) -> tuple[int, float]:
+    """(words of a book, filters of a vector) for about ``held`` vectors a filter. Twice as many words need 1.41 times as
+    many filters of a vector for the same recall (0.99 at cosine 0.9 with 64 numbers, drawn pairs; more with 256)."""
+    words, lists = 128, 80.0
+    while vectors * lists > held * words**2:
+        words, lists = 2 * words, lists * 2**0.5
+    return words, lists
+
+
 def _bodies(docs: DataFrame) -> DataFrame:
     """(vec_id, _cls, _body): valid vectors as 32-bit floats (64-bit where the column is), null for others."""
     wide = "double" in docs.schema["embedding"].dataType.simpleString()
@@ -73,76 +84,22 @@ def _bodies(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(run, "vec_id long, _cls long, _body binary")
 
 
-def near(docs: DataFrame, share: float = 0.9, words: int = 128, lists: float = 80.0) -> DataFrame:
-    """For each vector its links with cosine >= ``share``, its component and whether it is the one kept."""
-    spark = docs.sparkSession
-    kind = np.float64 if "double" in docs.schema["embedding"].dataType.simpleString() else np.float32
-    size = np.dtype(kind).itemsize
-    rows = kit.cut(_bodies(docs))
-    classes = kit.cut(rows.where("_cls is not null").groupBy("_cls").agg(F.count("*").alias("_w"), F.min("_body").alias("_body")))
-    codes: dict[int, Code] = {}
-
-    def decode(bodies: list[bytes]) -> list[np.ndarray]:
-        out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(bodies)
-        for n in {len(x) for x in bodies}:
-            k = [i for i, x in enumerate(bodies) if len(x) == n]
-            dim = n // size
-            code = codes.setdefault(dim, Code(dim, words, lists))
-            x = np.frombuffer(b"".join(bodies[i] for i in k), kind).reshape(-1, dim).astype(np.float64)
-            x /= np.abs(x).max(1, keepdims=True)
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            for i, f in zip(k, code.lists(x)):
-                out[i] = f
-        return out
-
-    def passes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = np.zeros(words**2, np.int64)
-        for b in batches:
-            for f in decode(b.column(0).to_pylist()):
-                count[f] += 1
-        k = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(count[k])], names=["f", "n"])
-
-    # one row for each filter at most: words ** 2 of them, whatever the input
-    sizes = {r["f"]: r["n"] for r in classes.select("_body").mapInArrow(passes, "f int, n long").groupBy("f").agg(F.sum("n").alias("n")).where("n > 1").collect()}
-
-    def settle(held: list[tuple]) -> tuple[list, list, list]:
-        u, v, n = [], [], []
-        by: dict[int, list[tuple]] = {}
-        for r in held:
-            by.setdefault(r[7], []).append(r)
-        for width, rs in by.items():
-            a, b, c = _links(rs, width, kind, share)
-            u += a
-            v += b
-            n += c
-        return u, v, n
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            cls, body = [], []
-            for v in b.column(1):
-                x = v.values.to_numpy(zero_copy_only=False).astype(kind) if v.is_valid and v.values.null_count == 0 else np.zeros(0, kind)
-                ok = len(x) and np.isfinite(x).all() and 0 < np.linalg.norm(x.astype(np.float64)) < np.inf
-                raw = (x + kind(0)).tobytes() if ok else None
-                body.append(raw)
-                cls.append(int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True) if ok else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cls, pa.int64()), pa.array(body, pa.binary())], names=["vec_id", "_cls", "_body"])
-
-    return docs.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(run, "vec_id long, _cls long, _body binary")
-
+def near(docs: DataFrame, share: float = 0.9, held: int = 256) -> DataFrame:
+    """For each vector its links with cosine >= ``share``, its component and whether it is the one kept.
 
-def near(docs: DataFrame, share: float = 0.9, words: int = 128, lists: float = 80.0) -> DataFrame:
-    """For each vector its links with cosine >= ``share``, its component and whether it is the one kept."""
+    ``held``: about how many vectors a filter holds. Filters that hold more than two blocks are known on the driver
+    (the 100,000 largest at most) and dealt into blocks."""
     spark = docs.sparkSession
     kind = np.float64 if "double" in docs.schema["embedding"].dataType.simpleString() else np.float32
     size = np.dtype(kind).itemsize
     rows = kit.cut(_bodies(docs))
     classes = kit.cut(rows.where("_cls is not null").groupBy("_cls").agg(F.count("*").alias("_w"), F.min("_body").alias("_body")))
+    words, lists = sized(classes.count(), held)
+    index = np.int32 if words**2 < 2**31 else np.int64
     codes: dict[int, Code] = {}
 
     def decode(bodies: list[bytes]) -> list[np.ndarray]:
-        out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(bodies)
+        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(bodies)
         for n in {len(x) for x in bodies}:
             k = [i for i, x in enumerate(bodies) if len(x) == n]
             dim = n // size
@@ -155,15 +112,14 @@ def near(docs: DataFrame, share: float = 0.9, words: int = 128, lists: float = 8
         return out
 
     def passes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = np.zeros(words**2, np.int64)
+        kit.trim()
         for b in batches:
-            for f in decode(b.column(0).to_pylist()):
-                count[f] += 1
-        k = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(count[k])], names=["f", "n"])
+            if got := decode(b.column(0).to_pylist()):
+                f, n = np.unique(np.concatenate(got), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(n)], names=["f", "n"])
 
-    # one row for each filter at most: words ** 2 of them, whatever the input
-    sizes = {r["f"]: r["n"] for r in classes.select("_body").mapInArrow(passes, "f int, n long").groupBy("f").agg(F.sum("n").alias("n")).where("n > 1").collect()}
+    counts = classes.select("_body").mapInArrow(passes, "f long, n long").groupBy("f").agg(F.sum("n").alias("n"))
+    sizes = {r["f"]: r["n"] for r in counts.where(F.col("n") > 2 * BLOCK).orderBy(F.desc("n"), "f").limit(100_000).collect()}
 
     def settle(held: list[tuple]) -> tuple[list, list, list]:
         u, v, n = [], [], []
@@ -171,19 +127,17 @@ def near(docs: DataFrame, share: float = 0.9, words: int = 128, lists: float = 8
         for r in held:
             by.setdefault(r[7], []).append(r)
         for width, rs in by.items():
-            a, b, c = _links(rs, width, kind, share)
+            a, b, c = _links(rs, width, kind, index, share)
             u += a
             v += b
             n += c
         return u, v, n
 
-    def _dim_bytes(r: tuple) -> int:
-        return r[7]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         out: tuple[list, list, list] = ([], [], [])
-        for b in batches:
+        kit.trim()
+        for b in (b.slice(i, 2000) for b in batches for i in range(0, b.num_rows, 2000)):
             for row in zip(*[c.to_pylist() for c in b.columns]):
                 if held and row[:3] != held[0][:3]:
                     for c, x in zip(out, settle(held)):
@@ -196,25 +150,23 @@ def near(docs: DataFrame, share: float = 0.9, words: int = 128, lists: float = 8
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["u", "v", "n"])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        kit.trim()
+        for b in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
             bodies = b.column(2).to_pylist()
             lists_of = decode(bodies)
             out: list[list] = [[] for _ in range(8)]
             for cls, w, body, fs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), bodies, lists_of):
-                whole = body + fs.tobytes()
-                for f in fs.tolist():
-                    n = sizes.get(f, 0)
-                    if n < 2:
-                        continue
-                    blocks = -(-n // BLOCK) if n > 2 * BLOCK else 1
+                for k, f in enumerate(fs.tolist()):
+                    whole = body + fs[:k].astype(index).tobytes()  # with the filters before this one
+                    blocks = -(-sizes[f] // BLOCK) if f in sizes else 1
                     own = (cls * 2654435761 >> 7) % blocks
                     for o in range(blocks):
                         for c, v in zip(out, (f, min(own, o), max(own, o), own, cls, w, whole, len(body))):
                             c.append(v)
-            types = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32())
+            types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["f", "a", "b", "own", "cls", "w", "body", "width"])
 
-    dealt = classes.mapInArrow(deal, "f int, a int, b int, own int, cls long, w long, body binary, width int")
+    dealt = classes.mapInArrow(deal, "f long, a int, b int, own int, cls long, w long, body binary, width int")
     n = 4 * kit.parts(spark)
     found = kit.cut(dealt.repartition(n, "f", "a", "b").sortWithinPartitions("f", "a", "b").mapInArrow(run, "u long, v long, n long"))
     direct = found.where("v is null").groupBy("u").agg(F.sum("n").alias("_n"))
@@ -228,14 +180,14 @@ def near(docs: DataFrame, share: float = 0.9, words: int = 128, lists: float = 8
     return got.select("vec_id", count.cast("long").alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _links(rows: list[tuple], width: int, kind: type, share: float) -> tuple[list, list, list]:
+def _links(rows: list[tuple], width: int, kind: type, index: type, share: float) -> tuple[list, list, list]:
     """Link counts (u, null, n) and spanning edges (u, v, 0) among the vectors of one filter, or between two blocks of it."""
-    f, cross = rows[0][0], rows[0][1] != rows[0][2]
+    cross = rows[0][1] != rows[0][2]
     rows.sort(key=lambda r: (r[3], r[4]))
     x = np.stack([np.frombuffer(r[6][:width], kind) for r in rows]).astype(np.float64)
     x = x / np.abs(x).max(1, keepdims=True)
     norm = np.linalg.norm(x, axis=1)
-    earlier = [(lambda g: g[g < f])(np.frombuffer(r[6][width:], np.int32)) for r in rows]
+    earlier = [np.frombuffer(r[6][width:], index) for r in rows]
     weight, own, n = np.array([r[5] for r in rows], np.int64), np.array([r[3] for r in rows]), len(rows)
     count, comp = np.zeros(n, np.int64), np.arange(n)
     for i in range(0, n, 1024):

@@ -242,6 +242,28 @@ def test_caps_recall(spark):
     assert all(got[i] <= want[i] for i in got) and sum(got.values()) >= 0.98 * want.sum()
 
 
+@pytest.mark.parametrize("dim", [64, 256])
+def test_caps_recall_of_pairs_at_the_threshold(dim):
+    rng = np.random.default_rng(5)
+    x, z = rng.normal(size=(2, 800, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    for vectors in (50_000, 5_000_000):  # books of 128 and of 2048 words
+        code = caps.Code(dim, *caps.sized(vectors))
+        met = [len(np.intersect1d(p, q)) > 0 for p, q in zip(code.lists(x), code.lists(0.9 * x + 0.19**0.5 * z))]
+        assert np.mean(met) >= 0.97
+
+
+def test_caps_give_the_same_whatever_the_books(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(200, 32))
+    x = np.concatenate([x, x[:100] + 0.2 * rng.normal(size=(100, 32))]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), "x", 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, _cls string, _w int")
+    a, b = ({tuple(r) for r in caps.near(df, held=h).collect()} for h in (256, 1))
+    assert len(a) == 300 and len(a - b) <= 4
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(i, i + 1) for i in range(400, 460)] + [(1000, i) for i in range(1001, 1200)]
