@@ -27,14 +27,14 @@ from . import kit, links
 U = np.uint64
 SHINGLE = 5
 #: A pair at similarity 0.8 shares no band in at most so many cases, if its minima are independent.
-MISSED = 2.2e-4
+MISSED = 4e-4
 
 
 class Bands:
     """Rows and bands for a number of lines: a row more for every 16 times as many lines keeps chance pairs of a line as few."""
 
     def __init__(self, lines: float, share: float):
-        self.rows = 4 + max(0, math.ceil(math.log(max(lines, 1) / 2**24, 16)))
+        self.rows = 5 + max(0, math.ceil(math.log(max(lines, 1) / 2**22, 16)))
         self.bands = max(1, math.ceil(math.log(MISSED) / math.log(1 - share**self.rows)))
         self.bins = max(64, self.rows * self.bands)
         self.probe = np.random.default_rng(77).integers(0, self.bins, (48, self.bins))

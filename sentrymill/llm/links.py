@@ -71,7 +71,9 @@ class Edges:
         self.v: list[int] = []
 
     def add(self, e: np.ndarray) -> None:
-        e = np.unique(e[e[:, 0] != e[:, 1]], axis=0)
+        e = e[e[:, 0] != e[:, 1]]
+        e = e[np.lexsort((e[:, 1], e[:, 0]))]
+        e = e[np.concatenate([[True], (e[1:] != e[:-1]).any(1)])] if len(e) else e
         self.u += e[:, 0].tolist()
         self.v += e[:, 1].tolist()
         if len(self.u) > 400_000:
@@ -122,7 +124,7 @@ def combined(keys: np.ndarray, ids: np.ndarray, targets: int) -> pa.RecordBatch:
 #: A key of a sketched entry (with its part), the id, and two bits of each of 64 minima; the last one's second bit marks stars.
 SKETCHED = np.dtype([("key", "<u4"), ("id", "<i8"), ("low", "<u8"), ("high", "<u8")])
 STAR = U(1 << 63)
-ALIKE = 40  # of 63 minima; at similarity 0.8 fewer than that agree in about 5 of a million pairs
+ALIKE = 42  # of 63 minima; at similarity 0.8 fewer than that agree in about 1 of 10,000 pairs
 PAIRS = 64  # beyond so many ids of one key in a batch, and four times as many in all, they are tied without a look
 
 
@@ -179,7 +181,8 @@ def alike_edges(entries: DataFrame, targets: int) -> DataFrame:
                 j = i + step
                 same = ~((low[i] ^ low[j]) | (high[i] ^ high[j])) & ~STAR
                 hit = np.bitwise_count(same) >= ALIKE
-                out.add(np.column_stack([ids[j[hit]], ids[i[hit]]]))
+                if hit.any():
+                    out.add(np.column_stack([ids[j[hit]], ids[i[hit]]]))
                 step += 1
                 i = i[left[i] >= step]
         yield out.batch()
