@@ -22,8 +22,15 @@ NON_PUBLIC_V6 = (
 )
 _OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 V4 = rf"^{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}\z"
-SHORTENERS = ("bit.ly", "goo.gl", "is.gd", "ow.ly", "t.co", "tinyurl.com")
-PRIVATE_SUFFIXES = (".local", ".localhost", ".internal", ".lan", ".home", ".corp", ".intranet", ".arpa", ".test", ".example", ".invalid")
+# Hosts of link shorteners.
+SHORTENERS = (
+    "bit.ly", "tinyurl.com", "goo.gl", "t.co", "ow.ly", "is.gd", "buff.ly", "cutt.ly",
+    "rb.gy", "shorturl.at", "rebrand.ly", "t.ly", "tiny.cc", "s.id", "shorte.st", "adf.ly",
+)
+# Endings of names that lead nowhere public.
+PRIVATE_SUFFIXES = (".local", ".internal", ".localdomain", ".lan", ".home", ".corp", ".test", ".invalid", ".example", ".onion")
+# Blocks that no lookup service is asked about, beside multicast.
+UNASKED_V4 = ("0.0.0.0/32", "10.0.0.0/8", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.168.0.0/16", "224.0.0.0/4")
 
 
 def ipv4_number(ip: Column) -> Column:
@@ -64,6 +71,12 @@ def is_public(ip: Column, v6: bool = True) -> Column:
     return out.when(ip.contains(":"), F.pandas_udf(_public_v6, T.BooleanType())(ip)).otherwise(F.lit(False)) if v6 else out.otherwise(F.lit(False))
 
 
+def askable(ip: Column) -> Column:
+    """Whether lookup services may be asked about an IPv4 address."""
+    n = ipv4_number(ip)
+    return F.coalesce(~in_blocks(n, UNASKED_V4), F.lit(False))
+
+
 def in_set(ip: Column, entries: tuple[str, ...]) -> Column:
     """Whether an address is one of the entries: exact texts, or IPv4 blocks. Entries that are neither match as text."""
     exact, blocks = [], []
@@ -92,7 +105,7 @@ def host_verdict(host: Column) -> Column:
         .when(h.rlike(V4) | h.contains(":"), F.when(is_public(h), "ip").otherwise("private or reserved address"))
         .when(h.rlike(r"^(0x[0-9a-f]+|[0-9.]+)\z"), "numeric host")
         .when((h == "localhost") | suffix, "private name")
-        .when(h.isin(*SHORTENERS), "link shortener")
+        .when(F.regexp_replace(h, r"^www\.", "").isin(*SHORTENERS), "link shortener")
         .when(~h.contains("."), "not a full name")
         .otherwise("domain")
     )

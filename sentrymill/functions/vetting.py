@@ -12,10 +12,17 @@ from .net import host_verdict
 # Floors, ages in days, kinds and origins that the vetting rules name.
 MIN_BYTES, URL_DAYS, SAMPLE_DAYS = 64, 3, 10
 FETCHED = ("quarantine_fetch",)
+SAMPLE_ORIGINS = ("quarantine_fetch", "cowrie_download", "cowrie_file_download")
 BENIGN = ("SSH key",)
-MALWARE_TAGS = ("miner", "botnet", "dropper", "proxyware", "scanner", "packed")
-# Report labels of families.
-LABELS = {"XMRig": "elf.xmrig", "Coinminer": "elf.coinminer", "RedTail": "elf.redtail", "Mirai": "elf.mirai", "Gafgyt": "elf.bashlite"}
+MALWARE_TAGS = ("miner", "dropper", "botnet", "scanner", "proxyware", "ransomware", "rootkit")
+# Report labels of families, which are compared without case.
+LABELS = {"mirai": "elf.mirai", "gafgyt": "elf.bashlite", "redtail": "elf.redtail", "xmrig": "elf.xmrig", "mozi": "elf.mozi", "tsunami": "elf.tsunami"}
+
+
+def sanitised(tags: Column) -> Column:
+    """Tags of letters, digits, dots, hyphens and spaces: trimmed, distinct, sorted."""
+    clean = F.transform(tags, lambda t: F.trim(F.regexp_replace(t, r"[^A-Za-z0-9.\- ]", "")))
+    return F.array_sort(F.array_distinct(F.filter(clean, lambda t: t != "")))
 
 
 def is_sha256(c: Column) -> Column:
@@ -50,7 +57,7 @@ def url_reason(url: Column, origin: Column, status: Column, sha256: Column, size
 
 
 def ioc_reason(reason: Column, sha256: Column, family: Column) -> Column:
-    return F.when(reason.isNotNull(), reason).when(~is_sha256(sha256), "malformed digest").when(~F.coalesce(family.isin(*LABELS), F.lit(False)), "no family label")
+    return F.when(reason.isNotNull(), reason).when(~is_sha256(sha256), "malformed digest").when(~F.coalesce(F.lower(F.trim(family)).isin(*LABELS), F.lit(False)), "no family label")
 
 
 def iocs(url: Column, sha256: Column) -> Column:
@@ -64,7 +71,7 @@ def iocs(url: Column, sha256: Column) -> Column:
 
 
 def sample_reason(origin: Column, size: Column, kind: Column, family: Column, tags: Column, captured_at: Column, now: Column, days: int = SAMPLE_DAYS) -> Column:
-    signal = (F.coalesce(family, F.lit("")) != "") | F.arrays_overlap(tags, F.array(*map(F.lit, MALWARE_TAGS))) | (F.coalesce(origin.isin(*FETCHED), F.lit(False)) & (kind != "unknown"))
+    signal = (F.coalesce(family, F.lit("")) != "") | F.arrays_overlap(tags, F.array(*map(F.lit, MALWARE_TAGS))) | (F.coalesce(origin.isin(*SAMPLE_ORIGINS), F.lit(False)) & (kind != "unknown"))
     return (
         F.when(origin == "cowrie_tty", "terminal recording")
         .when(F.coalesce(size, F.lit(0)) < MIN_BYTES, "too small")
@@ -72,12 +79,3 @@ def sample_reason(origin: Column, size: Column, kind: Column, family: Column, ta
         .when(captured_at.isNull() | (_age_days(captured_at, now) > min(days, SAMPLE_DAYS)), "too old")
         .when(~F.coalesce(signal, F.lit(False)), "nothing that marks it as malware")
     )
-
-
-def within_budget(eligible: Column, budget: int, order: list[Column]) -> Column:
-    """Numbers eligible rows and keeps the first ``budget``; rows that are skipped cost nothing.
-
-    The order is total over a candidate list that is bounded by vetting; use it after the vetting filters."""
-    from pyspark.sql.window import Window
-
-    return F.when(eligible, F.sum(F.when(eligible, 1).otherwise(0)).over(Window.orderBy(*order)) <= budget).otherwise(False)

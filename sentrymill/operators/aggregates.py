@@ -140,5 +140,17 @@ def dedup(events: DataFrame, existing: DataFrame | None, keys: list[str]) -> Dat
     return fresh if existing is None else fresh.join(existing.select(*keys).distinct(), keys, "left_anti")
 
 
+def replace_source(table: DataFrame, rows: DataFrame, source: str) -> DataFrame:
+    """The table with all rows of one source replaced."""
+    return table.where(F.col("source") != source).unionByName(rows.where(F.col("source") == source))
+
+
+def upsert_touched(stored: DataFrame, events: DataFrame, batch: DataFrame) -> DataFrame:
+    """Stored actors, those that a batch touches rebuilt from all events; others are neither read again nor changed."""
+    touched = batch.where("actor_id <> ''").select("actor_id").distinct()
+    rebuilt = actors(events.join(touched, "actor_id", "left_semi"))
+    return stored.join(touched, "actor_id", "left_anti").unionByName(rebuilt)
+
+
 def long(c: Column) -> Column:
     return c.cast(T.LongType())

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.projection import ARTIFACTS_SQL, EVENTS_SQL, GEO_SQL, NOW
+from ..sources.projection import ARTIFACTS_SQL, EVENTS_SQL, GEO_SQL, LEDGER_SQL, NOW, REPORTS_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -35,7 +35,7 @@ def sql_of(text: str, more: str = "") -> str:
     text = text.replace("{stamp}", "'%Y-%m-%d %H:%M:%S.%f'")
     more = more.replace("{stamp}", "'%Y-%m-%d %H:%M:%S.%f'")
     text, more = counted(text), counted(more)
-    return f"WITH hp AS ({EVENTS_SQL}), art AS ({ARTIFACTS_SQL}), geo AS ({GEO_SQL}){', ' + more if more else ''} {text}"
+    return f"WITH hp AS ({EVENTS_SQL}), art AS ({ARTIFACTS_SQL}), geo AS ({GEO_SQL}), led AS ({LEDGER_SQL}), rep AS ({REPORTS_SQL}){', ' + more if more else ''} {text}"
 
 
 def query(name: str, sql: str = "", ctes: str = ""):

@@ -49,11 +49,10 @@ def unreferenced(spark, e, d):
     return a.where(F.col("ts") < cut).select("local_path").distinct().join(a.where(F.col("ts") >= cut).select("local_path"), "local_path", "left_anti")
 
 
-@query("country_fallback", "SELECT coalesce(json_extract_string(payload, '$.cc'), '??') AS cc, count(*) AS ips, CAST(sum(hits) AS BIGINT) AS hits FROM (SELECT src_ip AS ip, count(*) AS hits FROM hp WHERE src_ip <> '' AND src_ip NOT LIKE '100.64.%' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50) LEFT JOIN (SELECT * FROM geo WHERE length(ip) % 2 = 0) USING (ip) GROUP BY 1")
+@query("country_fallback", "SELECT coalesce(json_extract_string(payload, '$.cc'), '??') AS cc, count(*) AS ips, CAST(sum(hits) AS BIGINT) AS hits FROM (SELECT src_ip AS ip, count(*) AS hits FROM hp WHERE src_ip <> '' AND src_ip NOT LIKE '100.64.%' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50) LEFT JOIN geo USING (ip) GROUP BY 1")
 def country_fallback(spark, e, d):
     from ..functions import net
 
     each = e.where(F.col("src_ip") != "").groupBy(F.col("src_ip").alias("ip")).agg(F.count("*").alias("hits"))
     top = each.where(net.is_public(F.col("ip"))).orderBy(F.desc("hits"), "ip").limit(50)
-    g = projection.geo(spark, e).where("length(ip) % 2 = 0")
-    return g.join(F.broadcast(top), "ip", "right").groupBy(F.coalesce(F.get_json_object("payload", "$.cc"), F.lit("??")).alias("cc")).agg(F.count("*").alias("ips"), F.sum("hits").alias("hits"))
+    return projection.geo(spark, e).join(F.broadcast(top), "ip", "right").groupBy(F.coalesce(F.get_json_object("payload", "$.cc"), F.lit("??")).alias("cc")).agg(F.count("*").alias("ips"), F.sum("hits").alias("hits"))

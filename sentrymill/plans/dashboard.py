@@ -109,7 +109,8 @@ def recent_rates(spark, e, d):
 @query("top_actors_by_recent_rate", "SELECT actor_id, round(rate, 6) AS rate, n AS event_count FROM (SELECT actor_id, count(*) / 24.0 AS rate FROM hp WHERE ts >= {d1} AND actor_id <> '' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 8) JOIN (SELECT actor_id, count(*) AS n FROM hp GROUP BY 1) USING (actor_id)")
 def top_recent(spark, e, d):
     top = A.recent_rates(e, D1, 24).orderBy(F.desc("rate"), "actor_id").limit(8)
-    return e.groupBy("actor_id").agg(F.count("*").alias("event_count")).join(F.broadcast(top), "actor_id").select("actor_id", F.round("rate", 6).alias("rate"), "event_count")
+    own = e.join(F.broadcast(top.select("actor_id")), "actor_id", "left_semi")  # eight rows; others are not counted
+    return own.groupBy("actor_id").agg(F.count("*").alias("event_count")).join(F.broadcast(top), "actor_id").select("actor_id", F.round("rate", 6).alias("rate"), "event_count")
 
 
 @query("count_sessions", "SELECT count(DISTINCT session_id) AS n FROM hp WHERE source = 'cowrie' AND session_id <> ''")
@@ -198,25 +199,22 @@ def due(spark, e, d):
     return projection.artifacts(spark, e).where("status in ('capturing', 'failed') and attempt_count < 5").orderBy("created_at", "id").limit(100).select("id", "url")
 
 
-@query("ledger_stats", "SELECT count(DISTINCT sha256) AS payloads, count(DISTINCT CASE WHEN sha256 IN (SELECT sha256 FROM led) THEN sha256 END) AS uploaded, count(DISTINCT CASE WHEN sha256 NOT IN (SELECT sha256 FROM led) THEN sha256 END) AS pending FROM art WHERE status = 'fetched'", "led AS (SELECT DISTINCT sha256 FROM art WHERE id % 11 = 0)")
+@query("ledger_stats", "SELECT count(DISTINCT sha256) AS payloads, count(DISTINCT CASE WHEN sha256 IN (SELECT sha256 FROM led) THEN sha256 END) AS uploaded, count(DISTINCT CASE WHEN sha256 NOT IN (SELECT sha256 FROM led) THEN sha256 END) AS pending FROM art WHERE status = 'fetched'")
 def ledger(spark, e, d):
-    a = projection.artifacts(spark, e)
-    led = a.where("id % 11 = 0").select("sha256").distinct().withColumn("up", F.lit(1))
-    got = a.where("status = 'fetched'").select("sha256").distinct().join(led, "sha256", "left")
+    led = projection.ledger(spark, e).select("sha256", F.lit(1).alias("up"))
+    got = projection.artifacts(spark, e).where("status = 'fetched'").select("sha256").distinct().join(led, "sha256", "left")
     return got.agg(F.count("*").alias("payloads"), F.count("up").alias("uploaded"), F.count_if(F.col("up").isNull()).alias("pending"))
 
 
-@query("unshared_payloads", "SELECT DISTINCT sha256 FROM art WHERE status = 'fetched' AND sha256 NOT IN (SELECT sha256 FROM art WHERE id % 11 = 0)")
+@query("unshared_payloads", "SELECT DISTINCT sha256 FROM art WHERE status = 'fetched' AND sha256 NOT IN (SELECT sha256 FROM led)")
 def unshared(spark, e, d):
-    a = projection.artifacts(spark, e)
-    return a.where("status = 'fetched'").select("sha256").distinct().join(a.where("id % 11 = 0").select("sha256"), "sha256", "left_anti")
+    return projection.artifacts(spark, e).where("status = 'fetched'").select("sha256").distinct().join(projection.ledger(spark, e), "sha256", "left_anti")
 
 
-@query("upload_sources", "SELECT u.sha256, min(a.src_ip) AS src_ip, count(*) AS sightings FROM (SELECT DISTINCT sha256 FROM art WHERE id % 3 = 0) u LEFT JOIN art a USING (sha256) GROUP BY 1")
+@query("upload_sources", "SELECT u.sha256, u.status, min(a.src_ip) AS src_ip, count(a.id) AS sightings FROM led u LEFT JOIN art a USING (sha256) GROUP BY 1, 2")
 def upload_sources(spark, e, d):
-    a = projection.artifacts(spark, e)
-    per = a.groupBy("sha256").agg(F.min("src_ip").alias("src_ip"), F.count("*").alias("sightings"))
-    return a.where("id % 3 = 0").select("sha256").distinct().join(per, "sha256", "left")
+    per = projection.artifacts(spark, e).groupBy("sha256").agg(F.min("src_ip").alias("src_ip"), F.count("*").alias("sightings"))
+    return projection.ledger(spark, e).select("sha256", "status").join(per, "sha256", "left").withColumn("sightings", F.coalesce("sightings", F.lit(0)))
 
 
 @query("recent_events", "SELECT id, strftime(ts, {stamp}) AS ts, source, kind, src_ip, username, command, actor_id FROM hp ORDER BY hp.ts DESC, id DESC LIMIT 120")

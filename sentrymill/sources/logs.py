@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.net import V4
+from ..functions.net import V4, in_set
 
 _S, _NS = r"[\t\n\f\r ]", r"[^\t\n\f\r ]"
 _HEAD = rf"^({_NS}+){_S}+{_NS}+{_S}+sshd\[[0-9]+\]:{_S}+"
@@ -66,12 +66,10 @@ def journal(lines: DataFrame) -> DataFrame:
 def sensor_lines(lines: DataFrame) -> DataFrame:
     """JSON lines to raw fields; a line of the wrong shape has a null ``eventid``. Oversized lines are dropped."""
     parsed = lines.where(F.octet_length("value") <= LINE_CAP).select("value", F.from_json("value", SENSOR_SCHEMA, {"mode": "PERMISSIVE"}).alias("j"))
-    kinds = F.expr("schema_of_json('{}')")  # documentation of intent: types are checked on the text below
     wrong = F.lit(False)
     for f in ("eventid", "timestamp", "src_ip", "session"):  # known fields must be strings
         wrong = wrong | F.col("value").rlike(rf'"{f}"\s*:\s*[0-9\[\{{]')
-    del kinds
-    return parsed.where(~wrong).select(*[F.col(f"j.{f}").alias(f) for f in FIELDS])
+    return parsed.where(~wrong).select(*[F.substring(f"j.{f}", 1, FIELD_CAP).alias(f) for f in FIELDS])
 
 
 def number(text: Column) -> Column:
@@ -96,16 +94,34 @@ def sensor(lines: DataFrame) -> DataFrame:
 
 
 def bindings(lines: DataFrame) -> DataFrame:
-    """What side records say of a session: its fingerprint, duration and architecture, the last record winning."""
+    """What side records say of a session: its fingerprint, the first record winning, and its duration and architecture, the last."""
     r = sensor_lines(lines).withColumn("ts", instant(F.col("timestamp"))).where("coalesce(session, '') <> ''")
     last = lambda v, cond: F.max_by(v, F.when(cond, F.col("ts")))
     return r.groupBy(F.col("session").alias("session_id")).agg(
-        last(F.col("hassh"), (F.col("eventid") == "cowrie.client.kex") & (F.col("hassh") != "")).alias("hassh"),
+        F.min_by("hassh", F.when((F.col("eventid") == "cowrie.client.kex") & (F.col("hassh") != ""), F.col("ts"))).alias("hassh"),
         last(number(F.col("duration_ms")), (F.col("eventid") == "cowrie.session.closed") & (number(F.col("duration_ms")) > 0)).alias("duration_ms"),
         last(F.col("arch"), (F.col("eventid") == "cowrie.session.params") & (F.col("arch") != "")).alias("arch"),
     )
 
 
+def journal_files(spark: SparkSession, path: str) -> DataFrame:
+    """Events of journal files below a path or glob: live, rotated or exported as text, compressed or not."""
+    return journal(spark.read.text(path)).where("kind is not null")
+
+
+def sensor_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(events, session bindings) of sensor logs below a path or glob, for instance ``cowrie.json*`` with all rotated files."""
+    lines = spark.read.text(path)
+    return sensor(lines), bindings(lines)
+
+
+def without_admins(events: DataFrame, admins: tuple[str, ...]) -> DataFrame:
+    """Journal logins accepted from an administrator's address go; what else comes from there belongs to no actor."""
+    own = in_set(F.col("src_ip"), admins)
+    kept = events.where(~(own & (F.col("source") == "journal") & (F.col("kind") == "accepted")))
+    return kept.withColumn("actor_id", F.when(own, "").otherwise(F.col("actor_id")))
+
+
 def stamped(events: DataFrame, bound: DataFrame) -> DataFrame:
     """Events with their session's fingerprint where they have none, and the actor that follows from it.
 

@@ -65,7 +65,17 @@ FROM hp WHERE sha256 <> ''
 """
 
 GEO_SQL = r"""
-SELECT DISTINCT src_ip AS ip, concat('{"ok":true,"country":"Land ', CAST(length(src_ip) % 5 AS STRING), '","cc":"L', CAST(length(src_ip) % 5 AS STRING), '"}') AS payload FROM hp WHERE src_ip <> ''
+SELECT DISTINCT src_ip AS ip, concat('{"ok":true,"country":"Land ', CAST(length(src_ip) % 5 AS STRING), '","cc":"L', CAST(length(src_ip) % 5 AS STRING), '"}') AS payload FROM hp WHERE src_ip <> '' AND src_ip NOT LIKE '%7'
+"""
+
+#: Payloads that were shared, and addresses that were reported.
+LEDGER_SQL = r"""
+SELECT sha256, CASE WHEN max(id) % 2 = 0 THEN 'inserted' ELSE 'known' END AS status, max(created_at) AS uploaded_at
+FROM art WHERE sha256 LIKE '%1' OR sha256 LIKE '%4' OR sha256 LIKE '%7' GROUP BY sha256
+"""
+
+REPORTS_SQL = r"""
+SELECT src_ip AS ip, max(ts) AS reported_at, count(*) AS n FROM hp WHERE src_ip LIKE '%3' OR src_ip LIKE '%8' GROUP BY src_ip
 """
 
 
@@ -80,3 +90,11 @@ def artifacts(spark: SparkSession, hp: DataFrame) -> DataFrame:
 
 def geo(spark: SparkSession, hp: DataFrame) -> DataFrame:
     return spark.sql(GEO_SQL.replace("{\"ok\"", "{{\"ok\"").replace("\"}'", "\"}}'").replace("FROM hp", "FROM {hp}"), hp=hp)
+
+
+def ledger(spark: SparkSession, hp: DataFrame) -> DataFrame:
+    return spark.sql(LEDGER_SQL.replace("FROM art", "FROM {art}"), art=artifacts(spark, hp))
+
+
+def reports(spark: SparkSession, hp: DataFrame) -> DataFrame:
+    return spark.sql(REPORTS_SQL.replace("FROM hp", "FROM {hp}"), hp=hp)

@@ -2,7 +2,7 @@
 
 Every batch is idempotent: events are deduplicated by identity against what is stored, so a batch that ran twice leaves
 the same tables. A fingerprint that arrives after its session's events moves them, because actors are derived from
-bindings when read; only sessions and actors that a batch touches are rebuilt."""
+bindings when read, so actors are derived from events at read time and need no rewrite."""
 
 from __future__ import annotations
 
@@ -17,7 +17,7 @@ IDENTITY = ["ts", "source", "kind", "src_ip", "session_id", "username", "command
 
 
 class Tables:
-    """Event and binding tables below one folder. Events are appended by day; bindings keep the last of each session."""
+    """Event and binding tables below one folder. Events are appended by day; of a session's fingerprints the first stays."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -43,7 +43,7 @@ class Tables:
 
     def events(self) -> DataFrame:
         """Stored events with the actor that their session's latest bindings give."""
-        bound = self.read("bindings").groupBy("session_id").agg(F.max_by("hassh", F.when(F.col("hassh").isNotNull(), F.col("batch"))).alias("hassh"))
+        bound = self.read("bindings").groupBy("session_id").agg(F.min_by("hassh", F.when(F.col("hassh").isNotNull(), F.col("batch"))).alias("hassh"))
         e = self.read("events")
         return logs.stamped(e.withColumn("id", F.xxhash64(*IDENTITY)), bound)
 
