@@ -5,7 +5,7 @@ hashed over UTF-8 bytes into one weight table; transitions between the languages
 learned. Forward-backward gives every word a distribution over languages, so code-switched text is labelled
 word by word; a document's language is the one with the largest mean over its words with letters.
 
-The model is fitted on at most ``per_lang`` documents of each language outside the held-out third (chosen by
+The model is fitted on about ``per_lang`` documents of each language outside the held-out third (chosen by
 a hash of doc_id), from training chains that switch language between segments. A segment begins at any word
 of those documents, in proportion to their words, but a document counts as at most ``most`` words: no text is
 cut and no long one takes the training over. Every text is labelled whole.
@@ -15,7 +15,6 @@ Repeated ids and rows are kept; columns other than doc_id, text and (for learnin
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +32,24 @@ _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[65:91] = _ASCII_LETTER[97:123] = True
 
 
+def _index(kind: int, value: np.ndarray) -> np.ndarray:
+    h = (value * np.uint32(2654435761) + np.uint32(kind * 40503 + 12345)) * np.uint32(2246822519)
+    return np.maximum(h >> np.uint32(32 - BITS), 1).astype(np.int32)
+
+
+def rest_features(words: kit.Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bounds, indexes): the n-grams of each word that ``word_features`` has no slot for, those behind its first bytes."""
+    low = np.frombuffer(words.data, np.uint8).astype(np.uint32)
+    low[(low >= 65) & (low <= 90)] += 32
+    more = np.maximum(words.end[at] - words.start[at] - HEAD, 0)
+    bounds = np.concatenate([[0], np.cumsum(more)])
+    b = np.repeat(words.start[at] + HEAD - 1 - bounds[:-1], more) + np.arange(bounds[-1])
+    with np.errstate(over="ignore"):
+        pair = low[b] << np.uint32(8) | low[b + 1]
+        both = np.column_stack([_index(1, pair), _index(2, low[b - 1] << np.uint32(16) | pair)])
+    return 2 * bounds, both.ravel()
+
+
 def word_features(words: kit.Words, at: np.ndarray) -> np.ndarray:
     """Indexes into the weight table, a column for each feature slot; index 0 stands for none."""
     buf = np.frombuffer(words.data, np.uint8)
@@ -49,8 +66,7 @@ def word_features(words: kit.Words, at: np.ndarray) -> np.ndarray:
     cols = []
 
     def slot(kind: int, value: np.ndarray, ok: np.ndarray) -> None:
-        h = (value * np.uint32(2654435761) + np.uint32(kind * 40503 + 12345)) * np.uint32(2246822519)
-        cols.append(np.where(ok, (h >> np.uint32(32 - BITS)) | np.uint32(1), 0).astype(np.int32))
+        cols.append(np.where(ok, _index(kind, value), 0).astype(np.int32))
 
     with np.errstate(over="ignore"):
         for i in range(HEAD - 1):
@@ -89,13 +105,17 @@ class Chain:
         n = len(langs)
         self.langs, self.table, self.trans = langs, np.zeros((1 << BITS, n), np.float32), np.eye(n, dtype=np.float32)
 
-    def emit(self, feats: np.ndarray) -> np.ndarray:
+    def emit(self, feats: np.ndarray, rest: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
         out = np.zeros((len(feats), len(self.langs)), np.float32)
         for c in feats.T:
             out += self.table[c]
+        bounds, index = rest
+        of = np.repeat(np.arange(len(feats)), np.diff(bounds))
+        for k in range(out.shape[1] if len(of) else 0):
+            out[:, k] += np.bincount(of, self.table[index, k], len(feats)).astype(np.float32)
         return out
 
-    def fit(self, feats: np.ndarray, row: np.ndarray, label: np.ndarray, doc: np.ndarray, most: int, seed: int = 5, steps: int = 260, chains: int = 48, length: int = 64) -> None:
+    def fit(self, feats: np.ndarray, rest: tuple[np.ndarray, np.ndarray], row: np.ndarray, label: np.ndarray, doc: np.ndarray, most: int, seed: int = 5, steps: int = 260, chains: int = 48, length: int = 64) -> None:
         """Adagrad on the conditional likelihood of chains spliced from runs of words of one language each.
 
         Each word has its row in ``feats``, its language and its document; a document's words are neighbours."""
@@ -114,12 +134,16 @@ class Chain:
                     rows[c, at : at + m] = s[(lo + np.arange(m)) % len(s)]
                     at += m
             y = label[rows]
-            f = feats[row[rows.ravel()]]
-            e = self.emit(f).reshape(chains, length, n)
+            w = row[rows.ravel()]
+            f, size = feats[w], np.diff(rest[0])[w]
+            bounds = np.concatenate([[0], np.cumsum(size)])
+            more = rest[1][np.repeat(rest[0][w] - bounds[:-1], size) + np.arange(bounds[-1])]
+            e = self.emit(f, (bounds, more)).reshape(chains, length, n)
             p, pair = self._marginals(e)
             g = -p
             g[np.arange(chains)[:, None], np.arange(length)[None], y] += 1
-            idx, gr = f.ravel(), np.repeat(g.reshape(-1, n), f.shape[1], 0)
+            g2d = g.reshape(-1, n)
+            idx, gr = np.concatenate([f.ravel(), more]), np.concatenate([np.repeat(g2d, f.shape[1], 0), np.repeat(g2d, size, 0)])
             u, inv = np.unique(idx, return_inverse=True)
             acc = np.stack([np.bincount(inv, gr[:, k], len(u)) for k in range(n)], 1).astype(np.float32) / chains
             acc[u == 0] = 0
@@ -218,8 +242,8 @@ def learn(docs: DataFrame, per_lang: int = 400, most: int = 1000) -> Chain | Non
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not counts:
         return None
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(21)), F.lit(10_000_000))
-    cuts = F.coalesce(*[F.when(F.col("lang") == k, math.ceil(10_000_000 * min(1.0, per_lang / n))) for k, n in counts.items()])
+    draw = F.xxhash64("doc_id", F.lit(21)) / F.lit(2.0**64) + 0.5
+    cuts = F.coalesce(*[F.when(F.col("lang") == k, min(1.0, per_lang / n)) for k, n in counts.items()])
     rows = known.where(draw < cuts).select("lang", "text").collect()
     rows.sort(key=lambda r: (r["lang"], r["text"]))
     words = kit.Words([r["text"] for r in rows], lower=True)
@@ -232,7 +256,7 @@ def learn(docs: DataFrame, per_lang: int = 400, most: int = 1000) -> Chain | Non
     label = np.array([code.get(r["lang"], -1) for r in rows])[of]
     _, at, row = np.unique(words.hash[use], return_index=True, return_inverse=True)
     model = Chain(langs)
-    model.fit(word_features(words, use[at]), row, label, of, most)
+    model.fit(word_features(words, use[at]), rest_features(words, use[at]), row, label, of, most)
     return model
 
 
@@ -245,7 +269,7 @@ def predict(docs: DataFrame, model: Chain | None) -> DataFrame:
             words = kit.Words(texts, lower=True)
             if model and len(words.start):
                 _, at, inv = np.unique(words.hash, return_index=True, return_inverse=True)
-                p = model.marginals(model.emit(word_features(words, at))[inv], words.first)
+                p = model.marginals(model.emit(word_features(words, at), rest_features(words, at))[inv], words.first)
                 real = has_letter(words)
                 p[~real] = 0
                 acc = np.concatenate([np.zeros((1, p.shape[1])), np.cumsum(p, 0, dtype=float)])
