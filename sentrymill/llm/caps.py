@@ -84,17 +84,19 @@ def _bodies(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(run, "vec_id long, _cls long, _body binary")
 
 
-def near(docs: DataFrame, share: float = 0.9, held: int = 256) -> DataFrame:
+def near(docs: DataFrame, share: float = 0.9, words: int | None = None, lists: float | None = None, held: int = 256) -> DataFrame:
     """For each vector its links with cosine >= ``share``, its component and whether it is the one kept.
 
-    ``held``: about how many vectors a filter holds. Filters that hold more than two blocks are known on the driver
+    ``words`` and ``lists``: words of a book and filters of a vector, from the number of vectors where they are not given;
+    ``held``: about how many vectors a filter then holds. Filters that hold more than two blocks are known on the driver
     (the 100,000 largest at most) and dealt into blocks."""
     spark = docs.sparkSession
     kind = np.float64 if "double" in docs.schema["embedding"].dataType.simpleString() else np.float32
     size = np.dtype(kind).itemsize
     rows = kit.cut(_bodies(docs))
     classes = kit.cut(rows.where("_cls is not null").groupBy("_cls").agg(F.count("*").alias("_w"), F.min("_body").alias("_body")))
-    words, lists = sized(classes.count(), held)
+    fitted = sized(classes.count(), held)
+    words, lists = words or fitted[0], lists or fitted[1]
     index = np.int32 if words**2 < 2**31 else np.int64
     codes: dict[int, Code] = {}
 

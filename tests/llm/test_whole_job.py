@@ -8,7 +8,7 @@ import random
 import numpy as np
 import pytest
 
-from sentrymill.llm import fingerprints, langid, lines, links, packing
+from sentrymill.llm import fingerprints, jaccard, langid, lines, links, packing, substrings
 
 DATA = "/root/testdata/sf0.1"
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the provided tables")
@@ -84,3 +84,67 @@ def test_recall_of_line_pairs_at_the_threshold():
     x, y = lines.sketches(one), lines.sketches(two)
     alike = np.bitwise_count(~((x[:, 0] ^ y[:, 0]) | (x[:, 1] ^ y[:, 1])) & ~links.STAR) >= links.ALIKE
     assert (band & alike).mean() >= 0.9995
+
+
+def test_unrelated_sets_share_no_key():
+    rng = np.random.default_rng(3)
+    for num in (80, 90):
+        classes = jaccard.SizeClasses(num, 100)
+        keys = [jaccard.signatures(np.unique(rng.integers(0, 2**64, rng.integers(1, 500), dtype=np.uint64)), classes) for _ in range(1500)]
+        every = np.concatenate([np.unique(k) for k in keys])
+        assert len(np.unique(every)) == len(every)
+
+
+def test_linked_sets_share_a_key():
+    rng = np.random.default_rng(4)
+    for num in (80, 90):
+        classes = jaccard.SizeClasses(num, 100)
+        for _ in range(1500):
+            a = np.unique(rng.integers(0, 2**64, rng.integers(1, 400), dtype=np.uint64))
+            less, more = rng.integers(0, len(a) // 4 + 1), rng.integers(0, len(a) // 4 + 1)
+            b = np.unique(np.concatenate([a[rng.permutation(len(a))[less:]], rng.integers(0, 2**64, more, dtype=np.uint64)]))
+            both = len(a) - less
+            if 100 * both >= num * (len(a) + len(b) - both):
+                assert len(np.intersect1d(jaccard.signatures(a, classes), jaccard.signatures(b, classes)))
+
+
+def test_groups_told_apart_by_rare_shingles(spark):
+    rng = random.Random(5)
+    word = lambda: "w%d" % rng.randrange(10**6)
+    shared = [word() for _ in range(60)]
+    rows = []
+    for i in range(60):  # texts around one passage, and near copies of some
+        own = [word() for _ in range(25)]
+        rows.append((2 * i, " ".join(own + shared)))
+        rows.append((2 * i + 1, " ".join((own[:-1] + [word()] if i % 3 else [word() for _ in range(25)]) + shared)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    one, two = ({tuple(r) for r in jaccard.join(df, 5, 80, 100, block=b).select("doc_id", "component_id").collect()} for b in (10**9, 2000))
+    sets = {d: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for d, t in rows for w in [t.split()]}
+    near = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    up = {d: d for d in sets}
+    for _ in sets:
+        for a, b in near:
+            up[b] = up[a] = min(up[a], up[b])
+    assert one == two == set(up.items())
+
+
+def test_pipeline_keeps_one_of_equal_rows(spark):
+    import corpus_pipeline
+
+    text = " ".join("v%d" % i for i in range(60))
+    rows = [(1, text, "a"), (1, text, "b"), (2, text, "c"), (3, "", "d"), (3, "", "d"), (4, None, "e"), (None, "x y z other words", "f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _k string")
+    kept = corpus_pipeline.dedup_documents(spark, df, "")
+    assert kept.columns == df.columns
+    got = sorted(((r[0], r[1]) for r in kept.collect()), key=str)
+    assert got == sorted([(1, text), (3, ""), (3, ""), (4, None), (None, "x y z other words")], key=str)
+    cut = corpus_pipeline.cut_passages(spark, kept, "")
+    assert text in [r["text"] for r in cut.collect()]
+
+
+def test_hot_windows_over_many_batches(spark):
+    passage = " ".join("p%d" % i for i in range(50))
+    df = spark.createDataFrame([(i, f"a{i} {passage} b{i} {'filler%d ' % i * 3}") for i in range(300)], "doc_id long, text string").repartition(7)
+    for hot in (5, 10**6):
+        seen, cut = substrings.repeats(df, 35, hot=hot)
+        assert {r["_gone"] for r in substrings._trim(cut, 35, False).collect()} == {50} and cut.count() == 300
