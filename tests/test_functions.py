@@ -153,3 +153,16 @@ def test_providers(spark):
     assert got["otx"]["verdict"] == "suspicious" and got["otx"]["score"] == 40 and got["otx"]["asn"] == "AS1" and got["otx"]["as_owner"] == "Net Co" and got["otx"]["stale"] and got["otx"]["tags"] == ["a", "b"]
     assert got["greynoise"]["tags"] == ["riot", "N"] and got["ipqualityscore"]["verdict"] == "suspicious" and got["ipqualityscore"]["asn"] == "AS7"
     assert got["shodan"]["verdict"] == "suspicious" and got["shodan"]["tags"] == ["port:22"] and got["ipinfo"]["verdict"] == "suspicious" and got["ipinfo"]["asn"] == "AS9"
+
+
+def test_elf_families():
+    masked = lambda key, *words: b"".join(bytes(c ^ key for c in w) + b"\0" for w in words)
+    cases = {
+        b"..Mozi.m": "Mozi", b"x Mozi y": "Mozi", b"xMozilla": "", b"Mozilla/5.0": "",
+        b"Applet Not Found /bin/busybox": "Mirai", masked(0x22, b"nameserver", b"assword"): "Mirai", masked(0x54, b"listening"): "",
+        b"GayFgt": "Gafgyt", b"HOLD JUNK /BIN/BUSYBOX": "Gafgyt", b"HOLD JUNK": "",
+        b"GETSPOOFS PAN  PRIVMSG": "Tsunami", b"GETSPOOFS PRIVMSG": "",
+        b"XMRig/6 libuv/1 RandomX": "XMRig", b"randomx": "", b"c3pool": "Coinminer", b"komari redtail": "RedTail",
+    }
+    assert {k: payload.classify(b"\x7fELF" + k)[1] for k in cases} == cases
+    assert "botnet" in payload.classify(b"\x7fELF Mozi.a")[2]
