@@ -142,23 +142,43 @@ def iocs(spark, e, d):
     return indicators(e).select("kind", "value", "hits", A.stamp("a").alias("first_ts"), A.stamp("b").alias("last_ts"), "sources", "actors")
 
 
-@query("ioc_csv", "SELECT kind, CASE WHEN substr(value, 1, 1) IN ('=', '+', '-', '@') THEN concat('''', value) ELSE value END AS value, strftime(min(ts), '%Y-%m-%dT%H:%M:%SZ') AS first_seen, strftime(max(ts), '%Y-%m-%dT%H:%M:%SZ') AS last_seen, count(*) AS hits FROM io WHERE kind IN ('ip', 'url') GROUP BY 1, 2, substr(value, 1, 1)", IOCS)
+@query("ioc_csv", "SELECT kind, CASE WHEN substr(value, 1, 1) IN ('=', '+', '-', '@') THEN concat('''', value) ELSE value END AS value, first_seen, last_seen, hits, sources, actors FROM (SELECT kind, value, strftime(min(ts), '%Y-%m-%dT%H:%M:%SZ') AS first_seen, strftime(max(ts), '%Y-%m-%dT%H:%M:%SZ') AS last_seen, count(*) AS hits, string_agg(DISTINCT source, '|' ORDER BY source) AS sources, count(DISTINCT nullif(regexp_replace(actor_id, '^(journal|cowrie):', ''), '')) AS actors FROM io GROUP BY kind, value)", IOCS)
 def ioc_csv(spark, e, d):
     iso = "yyyy-MM-dd'T'HH:mm:ss'Z'"
-    return indicators(e).where("kind in ('ip', 'url')").select("kind", X.csv_safe(F.col("value")).alias("value"), F.date_format("a", iso).alias("first_seen"), F.date_format("b", iso).alias("last_seen"), "hits")
+    return indicators(e).select("kind", X.csv_safe(F.col("value")).alias("value"), F.date_format("a", iso).alias("first_seen"), F.date_format("b", iso).alias("last_seen"), "hits", "sources", "actors")
 
 
 _UUID = "concat(substr(s, 1, 8), '-', substr(s, 9, 4), '-5', substr(s, 14, 3), '-', substr('89ab', CAST(strpos('0123456789abcdef', substr(s, 17, 1)) - 1 AS INT) % 4 + 1, 1), substr(s, 18, 3), '-', substr(s, 21, 12))"
 
 
-@query("stix_indicators", f"SELECT concat('indicator--', {_UUID}) AS id, CASE kind WHEN 'ip' THEN concat('[ipv4-addr:value = ''', value, ''']') WHEN 'url' THEN concat('[url:value = ''', value, ''']') WHEN 'hash' THEN concat('[file:hashes.''SHA-256'' = ''', value, ''']') ELSE concat('[user-account:account_login = ''', value, ''']') END AS pattern FROM (SELECT kind, value, sha1(concat(kind, '|', value)) AS s FROM io WHERE kind <> 'tunnel' GROUP BY 1, 2)", IOCS)
+_TUNNEL = "concat('[network-traffic:dst_ref.type = ''ipv4-addr'' AND network-traffic:dst_ref.value = ''', split_part(value, ':', 1), ''' AND network-traffic:dst_port = ', split_part(value, ':', 2), ']')"
+
+
+def pattern_of(kind, value):
+    """The pattern of an indicator; values are escaped, addresses told apart by their form."""
+    esc = lambda c: F.regexp_replace(c, r"([\\'])", r"\\$1")
+    form = lambda c: F.when(c.rlike(net.V4), "ipv4-addr").when(c.contains(":"), "ipv6-addr")
+    host = F.regexp_replace(F.regexp_replace(value, ":[0-9]+$", ""), r"[\[\]]", "")
+    port = F.regexp_extract(value, ":([0-9]+)$", 1)
+    with_port = F.when(port != "", F.concat(F.lit(" AND network-traffic:dst_port = "), port)).otherwise("")
+    end = F.lit("]")
+    quoted = lambda head, c, tail: F.concat(F.lit(f"{head} = '"), esc(c), F.lit("'"), tail)
+    return (
+        F.when(kind == "ip", F.concat(F.lit("["), F.coalesce(form(value), F.lit("ipv4-addr")), quoted(":value", value, end)))
+        .when(kind == "url", quoted("[url:value", value, end))
+        .when(kind == "hash", quoted("[file:hashes.'SHA-256'", F.lower(value), end))
+        .when(kind == "user", quoted("[user-account:account_login", value, end))
+        .otherwise(F.concat(F.lit("[network-traffic:dst_ref.type = '"), F.coalesce(form(host), F.lit("domain-name")), quoted("' AND network-traffic:dst_ref.value", host, with_port), end))
+    )
+
+
+@query("stix_indicators", f"SELECT concat('indicator--', {_UUID}) AS id, CASE kind WHEN 'ip' THEN concat('[ipv4-addr:value = ''', value, ''']') WHEN 'url' THEN concat('[url:value = ''', value, ''']') WHEN 'hash' THEN concat('[file:hashes.''SHA-256'' = ''', value, ''']') WHEN 'user' THEN concat('[user-account:account_login = ''', value, ''']') ELSE {_TUNNEL} END AS pattern FROM (SELECT kind, value, sha1(concat(kind, '|', value)) AS s FROM io GROUP BY 1, 2)", IOCS)
 def stix(spark, e, d):
     s = F.sha1(F.concat("kind", F.lit("|"), "value"))
-    i = indicators(e).where("kind <> 'tunnel'").select("kind", "value", s.alias("s"))
+    i = indicators(e).select("kind", "value", s.alias("s"))
     variant = F.substring(F.lit("89ab"), (F.instr(F.lit("0123456789abcdef"), F.substring("s", 17, 1)) - 1) % 4 + 1, F.lit(1))
     uuid = F.concat(F.substring("s", 1, 8), F.lit("-"), F.substring("s", 9, 4), F.lit("-5"), F.substring("s", 14, 3), F.lit("-"), variant, F.substring("s", 18, 3), F.lit("-"), F.substring("s", 21, 12))
-    pattern = F.when(F.col("kind") == "ip", F.concat(F.lit("[ipv4-addr:value = '"), "value", F.lit("']"))).when(F.col("kind") == "url", F.concat(F.lit("[url:value = '"), "value", F.lit("']"))).when(F.col("kind") == "hash", F.concat(F.lit("[file:hashes.'SHA-256' = '"), "value", F.lit("']"))).otherwise(F.concat(F.lit("[user-account:account_login = '"), "value", F.lit("']")))
-    return i.select(F.concat(F.lit("indicator--"), uuid).alias("id"), pattern.alias("pattern"))
+    return i.select(F.concat(F.lit("indicator--"), uuid).alias("id"), pattern_of(F.col("kind"), F.col("value")).alias("pattern"))
 
 
 _NODES = "no AS (SELECT id, unnest(list_filter([CASE WHEN actor_id <> '' THEN concat('actor:', actor_id) END, CASE WHEN src_ip <> '' THEN concat('ip:', src_ip) END, CASE WHEN hassh <> '' THEN concat('hassh:', hassh) END, CASE WHEN trim(username) <> '' THEN concat('user:', trim(username)) END], lambda x: x IS NOT NULL)) AS node FROM hp WHERE ts >= {d7}), nw AS (SELECT node, split_part(node, ':', 1) AS kind, count(*) AS weight FROM no GROUP BY 1, 2), kp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY weight DESC, node) AS r FROM nw) WHERE r <= 60)"
