@@ -13,12 +13,12 @@ than doc_id and text are never read.
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,12 +43,32 @@ class Bands:
 EMPTY = np.uint32(0xFFFFFFFF)
 
 
+#: White space other than blank and line feed, which few texts hold.
+ODD = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+
+
 def normal(line: str) -> str:
     return " ".join(line.lower().split())
 
 
+def normals(text: str) -> list[str]:
+    """``normal`` of each line; lines of a text with single blanks only need not be taken apart."""
+    low = text.lower()
+    if "  " in low or any(c in low for c in ODD):
+        return [" ".join(x.split()) for x in low.split("\n")]
+    return [x.strip(" ") for x in low.split("\n")]
+
+
 def line_id(norm: str) -> int:
-    return int.from_bytes(hashlib.blake2b(norm.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+    x = xxhash.xxh3_64_intdigest(norm.encode("utf-8", "surrogatepass"))
+    return x - (x >> 63 << 64)
+
+
+def distinct(texts: list[str | None]) -> list[str]:
+    """The different lines of some texts, without blank ones, in order."""
+    some = {n for t in texts if t for n in normals(t)}
+    some.discard("")
+    return sorted(some)
 
 
 def _codes(norms: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -134,9 +154,8 @@ def _bands(docs: DataFrame, plan: Bands, targets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in kit.slices(batches):
-            norms = {n for t in texts if t for n in map(normal, set(t.split("\n"))) if n}
-            if norms:
-                some = sorted(norms)
+            some = distinct(texts)
+            if some:
                 ids = np.array([line_id(n) for n in some], np.int64)
                 sig = signatures(some, plan)
                 yield links.sketched(band_keys(sig, plan).ravel(), np.repeat(ids, plan.bands), np.repeat(sketches(sig), plan.bands, axis=0), targets)
@@ -149,16 +168,7 @@ def _occurrences(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts, no_id, keys in kit.slices(batches):
-            seen: dict[str, int | None] = {}
-            out = []
-            for t in texts:
-                row = []
-                for line in t.split("\n") if t is not None else ():
-                    if line not in seen:
-                        n = normal(line)
-                        seen[line] = line_id(n) if n else None
-                    row.append(seen[line])
-                out.append(row)
+            out = [[line_id(n) if n else None for n in normals(t)] if t is not None else [] for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(no_id, pa.int64()), pa.array(keys, pa.int64()), pa.array([len(r) for r in out], pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "_id", "_k", "_n", "_lines"])
 
     return docs.mapInArrow(run, "doc_id long, _id long, _k long, _n long, _lines array<long>")
@@ -169,7 +179,7 @@ def _bodies(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in kit.slices(batches):
-            norms = sorted({n for t in texts if t for n in map(normal, set(t.split("\n"))) if n})
+            norms = distinct(texts)
             yield pa.RecordBatch.from_arrays([pa.array([line_id(n) for n in norms], pa.int64()), pa.array([n.encode("utf-8", "surrogatepass") for n in norms], pa.binary())], names=["id", "body"])
 
     return docs.select("_k", "text").mapInArrow(run, "id long, body binary")
