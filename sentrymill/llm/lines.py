@@ -158,7 +158,7 @@ def _bands(docs: DataFrame, plan: Bands, targets: int) -> DataFrame:
             if some:
                 ids = np.array([line_id(n) for n in some], np.int64)
                 sig = signatures(some, plan)
-                yield links.sketched(band_keys(sig, plan).ravel(), np.repeat(ids, plan.bands), np.repeat(sketches(sig), plan.bands, axis=0), targets)
+                yield links.sketched(band_keys(sig, plan), ids, sketches(sig), targets)
 
     return docs.select("_k", "text").mapInArrow(run, links.PACKED)
 

@@ -129,11 +129,13 @@ PAIRS = 64  # beyond so many ids of one key in a batch, and four times as many i
 
 
 def sketched(keys: np.ndarray, ids: np.ndarray, sketch: np.ndarray, targets: int) -> pa.RecordBatch:
-    """Packs (key, id, sketch) entries of one batch. Ids of a key that very many hold become edges at once (part -1)."""
-    full = kit.mix(keys)
-    part = (full >> U(33)) % U(targets)
-    order = np.lexsort((ids, full, part))
-    part, full, ids, sketch = part[order].astype(np.int64), full[order], ids[order], sketch[order]
+    """Packs (key, id, sketch) entries of one batch, whose rows of ``keys`` belong to one id each. Ids of a key that very
+    many hold become edges at once (part -1)."""
+    full = kit.mix(keys.ravel())
+    order = np.argsort(full)
+    row = order // keys.shape[1]
+    full, ids, sketch = full[order], ids[row], sketch[row]
+    part = ((full >> U(32)) * U(targets) >> U(32)).astype(np.int64)  # in order as well
     e = np.empty(len(ids), SKETCHED)
     e["key"], e["id"], e["low"], e["high"] = full.astype(np.uint32), ids, sketch[:, 0], sketch[:, 1] & ~STAR
     run = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (e["key"][1:] != e["key"][:-1])])) if len(e) else np.zeros(0, np.int64)
