@@ -36,7 +36,7 @@ class Bands:
     def __init__(self, lines: float, share: float):
         self.rows = 5 + max(0, math.ceil(math.log(max(lines, 1) / 2**22, 16)))
         self.bands = max(1, math.ceil(math.log(MISSED) / math.log(1 - share**self.rows)))
-        self.bins = max(64, self.rows * self.bands)
+        self.bins = max(96, self.rows * self.bands)
         self.probe = np.random.default_rng(77).integers(0, self.bins, (48, self.bins))
 
 
@@ -144,9 +144,9 @@ def band_keys(sig: np.ndarray, plan: Bands) -> np.ndarray:
 
 
 def sketches(sig: np.ndarray) -> np.ndarray:
-    """Two bits of each of the first 64 minima of every line, as two words."""
-    some = np.ascontiguousarray(sig[:, :64])
-    return np.column_stack([np.packbits((some >> np.uint32(b) & np.uint32(1)).astype(np.uint8), axis=1).view(np.uint64).ravel() for b in (0, 1)])
+    """One bit of each of the first 96 minima of every line, as a long and a short word."""
+    bits = np.packbits((sig[:, :96] & np.uint32(1)).astype(np.uint8), axis=1)
+    return np.ascontiguousarray(bits).view([("low", "<u8"), ("high", "<u4")]).ravel()
 
 
 def _bands(docs: DataFrame, plan: Bands, targets: int) -> DataFrame:

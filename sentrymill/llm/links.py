@@ -121,13 +121,18 @@ def combined(keys: np.ndarray, ids: np.ndarray, targets: int) -> pa.RecordBatch:
     return out
 
 
-#: A key of a sketched entry (with its part), the id, and two bits of each of 64 minima; the last one's second bit marks stars.
-SKETCHED = np.dtype([("key", "<u4"), ("id", "<i8"), ("low", "<u8"), ("high", "<u8")])
-STAR = U(1 << 63)
-ALIKE = 42  # of 63 minima; at similarity 0.8 fewer than that agree in about 1 of 10,000 pairs
+#: A key of a sketched entry (with its part), the id, and one bit of each of 96 minima; the last one's bit marks stars.
+SKETCHED = np.dtype([("key", "<u4"), ("id", "<i8"), ("low", "<u8"), ("high", "<u4")])
+STAR = np.uint32(1 << 31)
+ALIKE = 73  # of 95 minima; at similarity 0.8 fewer than that agree in about 1 of 20,000 pairs
 PAIRS = 64  # beyond so many ids of one key in a batch, and four times as many in all, they are tied without a look
 
 
+def alike(low: np.ndarray, high: np.ndarray, low2: np.ndarray, high2: np.ndarray) -> np.ndarray:
+    """Which of the pairs of sketches agree in ``ALIKE`` places."""
+    return np.bitwise_count(~(low ^ low2)) + np.bitwise_count(~(high ^ high2) & ~STAR) >= ALIKE
+
+
 def sketched(keys: np.ndarray, ids: np.ndarray, sketch: np.ndarray, targets: int) -> pa.RecordBatch:
     """Packs (key, id, sketch) entries of one batch, whose rows of ``keys`` belong to one id each. Ids of a key that very
     many hold become edges at once (part -1)."""
@@ -137,7 +142,7 @@ def sketched(keys: np.ndarray, ids: np.ndarray, sketch: np.ndarray, targets: int
     full, ids, sketch = full[order], ids[row], sketch[row]
     part = ((full >> U(32)) * U(targets) >> U(32)).astype(np.int64)  # in order as well
     e = np.empty(len(ids), SKETCHED)
-    e["key"], e["id"], e["low"], e["high"] = full.astype(np.uint32), ids, sketch[:, 0], sketch[:, 1] & ~STAR
+    e["key"], e["id"], e["low"], e["high"] = full.astype(np.uint32), ids, sketch["low"], sketch["high"] & ~STAR
     run = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (e["key"][1:] != e["key"][:-1])])) if len(e) else np.zeros(0, np.int64)
     size = np.diff(np.append(run, len(e)))
     ties = np.zeros((0, 2), np.int64)
@@ -167,6 +172,11 @@ def alike_edges(entries: DataFrame, targets: int) -> DataFrame:
                 out.add(np.frombuffer(blocks[0], np.int64).reshape(-1, 2))
                 continue
             e = np.concatenate([np.frombuffer(x, SKETCHED) for x in blocks])
+            e = e[np.argsort(e["key"])]
+            same = e["key"][1:] == e["key"][:-1]
+            e = e[np.append(same, False) | np.append(False, same)]  # most keys are held once
+            if not len(e):
+                continue
             e = e[np.lexsort((e["id"], e["key"]))]
             new = np.concatenate([[True], (e["key"][1:] != e["key"][:-1]) | (e["id"][1:] != e["id"][:-1])])
             star = np.logical_or.reduceat(e["high"] >= STAR, np.flatnonzero(new))
@@ -181,8 +191,7 @@ def alike_edges(entries: DataFrame, targets: int) -> DataFrame:
             ids, low, high = (np.ascontiguousarray(e[x]) for x in ("id", "low", "high"))
             while len(i):
                 j = i + step
-                same = ~((low[i] ^ low[j]) | (high[i] ^ high[j])) & ~STAR
-                hit = np.bitwise_count(same) >= ALIKE
+                hit = alike(low[i], high[i], low[j], high[j])
                 if hit.any():
                     out.add(np.column_stack([ids[j[hit]], ids[i[hit]]]))
                 step += 1

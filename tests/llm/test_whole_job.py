@@ -82,10 +82,18 @@ def test_recall_of_line_pairs_at_the_threshold():
     one, two = (lines.signatures(list(side), plan) for side in zip(*pairs))
     band = (lines.band_keys(one, plan) == lines.band_keys(two, plan)).any(1)
     x, y = lines.sketches(one), lines.sketches(two)
-    alike = np.bitwise_count(~((x[:, 0] ^ y[:, 0]) | (x[:, 1] ^ y[:, 1])) & ~links.STAR) >= links.ALIKE
+    alike = links.alike(x["low"], x["high"], y["low"], y["high"])
     assert (band & alike).mean() >= 0.9995
 
 
+def test_lines_of_a_text_are_normal_lines():
+    rng = random.Random(2)
+    for letters in ("aB  \n\t\r\u2003\u3000\x1c\x85\xa0Σσİß.é", "aB Σ\nİé."):
+        for _ in range(3000):
+            t = "".join(rng.choice(letters) for _ in range(rng.randrange(14)))
+            assert lines.normals(t) == [lines.normal(x) for x in t.split("\n")]
+
+
 def test_unrelated_sets_share_no_key():
     rng = np.random.default_rng(3)
     for num in (80, 90):
