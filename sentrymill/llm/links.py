@@ -172,9 +172,11 @@ def alike_edges(entries: DataFrame, targets: int) -> DataFrame:
                 out.add(np.frombuffer(blocks[0], np.int64).reshape(-1, 2))
                 continue
             e = np.concatenate([np.frombuffer(x, SKETCHED) for x in blocks])
-            e = e[np.argsort(e["key"])]
-            same = e["key"][1:] == e["key"][:-1]
-            e = e[np.append(same, False) | np.append(False, same)]  # most keys are held once
+            key = np.ascontiguousarray(e["key"])
+            order = np.argsort(key)
+            key = key[order]
+            same = key[1:] == key[:-1]
+            e = e[order[np.append(same, False) | np.append(False, same)]]  # most keys are held once
             if not len(e):
                 continue
             e = e[np.lexsort((e["id"], e["key"]))]
