@@ -174,13 +174,17 @@ def _occurrences(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, _id long, _k long, _n long, _lines array<long>")
 
 
-def _bodies(docs: DataFrame) -> DataFrame:
-    """(id, body) of the different lines of each batch."""
+def _bodies(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, body) of the different lines of each batch that are among ``ids``, and of few others."""
+    shared = docs.sparkSession.sparkContext.broadcast(links.sieve(ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
         for _, texts in kit.slices(batches):
             norms = distinct(texts)
-            yield pa.RecordBatch.from_arrays([pa.array([line_id(n) for n in norms], pa.int64()), pa.array([n.encode("utf-8", "surrogatepass") for n in norms], pa.binary())], names=["id", "body"])
+            got = np.array([line_id(n) for n in norms], np.int64)
+            k = np.flatnonzero(links.sifted(got, bits))
+            yield pa.RecordBatch.from_arrays([pa.array(got[k]), pa.array([norms[i].encode("utf-8", "surrogatepass") for i in k.tolist()], pa.binary())], names=["id", "body"])
 
     return docs.select("_k", "text").mapInArrow(run, "id long, body binary")
 
@@ -194,7 +198,7 @@ def line_components(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame
     comps = links.components(links.alike_edges(_bands(docs, plan, 4 * n), n), thin=True)
     kit.release(spark)
     groups = kit.cut(comps.select("id", F.col("component").alias("grp")).unionByName(comps.select(F.col("component").alias("id"), F.col("component").alias("grp")).distinct()))
-    members = kit.cut(kit.beside(_bodies(docs), groups, "id").select("grp", "id", "body").dropDuplicates(["id"]))
+    members = kit.cut(kit.beside(_bodies(docs, groups), groups, "id").select("grp", "id", "body").dropDuplicates(["id"]))
     kit.drop(comps, groups)
     kit.release(spark)
     sizes = links.blocks_of(members.select("grp", (F.length("body") + 8).alias("bytes")), 2_000_000)

@@ -413,6 +413,35 @@ def finer(chunks: DataFrame, num: int, den: int, targets: int, parts: int) -> Da
     return components(star_edges(kit.beside(chunks, told, "chunk").select("ids", "bodies", "blocks").mapInArrow(keys, PACKED), parts), thin=True)
 
 
+#: Bits of a sieve, as a power of two; a bitmap of 16 MB at every size.
+SIEVE, CHUNK = 27, 19
+
+
+def sieve(ids: DataFrame) -> np.ndarray:
+    """A bitmap with the bit of each id set, ids being hashes. Its size is fixed: where ids are very many it lets more others pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            x = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64) >> U(64 - SIEVE)
+            of = (x >> U(CHUNK)).astype(np.int64)
+            for c in np.unique(of).tolist():
+                held.setdefault(c, np.zeros(1 << CHUNK, bool))[x[of == c] & U((1 << CHUNK) - 1)] = True
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([np.packbits(x, bitorder="little").tobytes() for x in held.values()], pa.binary())], names=["part", "block"])
+
+    bits = np.zeros(1 << SIEVE - 3, np.uint8)
+    chunk = F.shiftrightunsigned("id", 64 - SIEVE + CHUNK)
+    for part, block in ids.select("id").repartition(kit.parts(ids.sparkSession), chunk).mapInArrow(run, PACKED).collect():
+        bits[part << CHUNK - 3 : part + 1 << CHUNK - 3] = np.frombuffer(block, np.uint8)
+    return bits
+
+
+def sifted(ids: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which ids may be among those of the sieve."""
+    x = ids.view(np.uint64) >> U(64 - SIEVE)
+    return (bits[x >> U(3)] >> (x & U(7)).astype(np.uint8) & 1).astype(bool)
+
+
 def blocks_of(sizes: DataFrame, block_bytes: int) -> DataFrame:
     """(grp, _blocks) from (grp, bytes): blocks of about ``block_bytes`` that the members of a group are dealt into."""
     return sizes.groupBy("grp").agg(F.greatest(F.lit(1), F.ceil(F.sum("bytes") / block_bytes)).cast("int").alias("_blocks"))

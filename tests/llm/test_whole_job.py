@@ -94,6 +94,14 @@ def test_lines_of_a_text_are_normal_lines():
             assert lines.normals(t) == [lines.normal(x) for x in t.split("\n")]
 
 
+def test_sieve_passes_all_ids_and_few_others(spark):
+    x = np.random.default_rng(4).integers(-(2**63), 2**63 - 1, 4000)
+    bits = links.sieve(spark.createDataFrame([(int(i),) for i in x[:2000]], "id long"))
+    got = links.sifted(x, bits)
+    assert got[:2000].all() and got[2000:].sum() < 5
+    assert not links.sieve(spark.createDataFrame([], "id long")).any()
+
+
 def test_unrelated_sets_share_no_key():
     rng = np.random.default_rng(3)
     for num in (80, 90):
