@@ -67,7 +67,8 @@ def test_bins_that_are_nearly_full_meet_again(spark):
     assert got[1] is None and got[2] is not None and got[2] == got[3]
 
 
-def test_recall_of_line_pairs_at_the_threshold():
+@pytest.mark.parametrize("size", [1e6, 7e6, 4e8])
+def test_recall_of_line_pairs_at_the_threshold(size):
     rng = random.Random(1)
     draw = lambda: rng.choice("abcdefghijklmnopqrstuvwxyz")
     pairs = []
@@ -78,7 +79,7 @@ def test_recall_of_line_pairs_at_the_threshold():
         x, y = (set(lines.shingle_set(t).tolist()) for t in (a, "".join(b)))
         if 0.8 <= len(x & y) / len(x | y) < 0.83:
             pairs.append((a, "".join(b)))
-    plan = lines.Bands(1e6, 0.8)
+    plan = lines.Bands(size, 0.8)
     one, two = (lines.signatures(list(side), plan) for side in zip(*pairs))
     band = (lines.band_keys(one, plan) == lines.band_keys(two, plan)).any(1)
     x, y = lines.sketches(one), lines.sketches(two)
@@ -86,6 +87,14 @@ def test_recall_of_line_pairs_at_the_threshold():
     assert (band & alike).mean() >= 0.9995
 
 
+def test_bands_grow_without_leaps():
+    plans = [lines.Bands(2 ** (k / 4), 0.8) for k in range(60, 180)]
+    for p, q in zip(plans, plans[1:]):
+        assert p.bands <= q.bands <= 1.1 * p.bands + 1
+        miss = (1 - 0.8**q.rows) ** (q.bands - q.long) * (1 - 0.8 ** (q.rows + 1)) ** q.long
+        assert miss <= 1.01 * lines.MISSED
+
+
 def test_lines_of_a_text_are_normal_lines():
     rng = random.Random(2)
     for letters in ("aB  \n\t\r\u2003\u3000\x1c\x85\xa0Σσİß.é", "aB Σ\nİé."):
