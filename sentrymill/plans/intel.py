@@ -107,12 +107,23 @@ for _p, _to in X.TEMPLATE:
     _T = f"regexp_replace({_T}, {_lit(_p)}, {_lit(_to)}, 'g')"
 
 
-@query("ttp_harvest", f"SELECT template, count(*) AS hits, count(DISTINCT nullif(actor_id, '')) AS actors, strftime(min(ts), {{stamp}}) AS first_ts, strftime(max(ts), {{stamp}}) AS last_ts FROM (SELECT *, {_T} AS template FROM hp WHERE kind = 'command' AND command <> '' AND ts >= {{d7}}) GROUP BY 1")
+_TEMPLATED = TAGGED + f", tt AS (SELECT *, {_T} AS template FROM tg WHERE kind = 'command' AND command <> '' AND ts >= {{d7}})"
+SAMPLES = 4
+
+
+@query("ttp_harvest", f"SELECT * FROM (SELECT template, count(*) AS hits, count(DISTINCT nullif(actor_id, '')) AS actors, strftime(min(ts), {{stamp}}) AS first_ts, strftime(max(ts), {{stamp}}) AS last_ts, array_to_string(list_sort(list_distinct(flatten(list(tech)))), ',') AS techniques FROM tt GROUP BY 1) JOIN (SELECT template, string_agg(command, chr(10) ORDER BY a) AS samples FROM (SELECT *, row_number() OVER (PARTITION BY template ORDER BY a) AS r FROM (SELECT template, command, min((ts, id)) AS a FROM tt GROUP BY 1, 2)) WHERE r <= {SAMPLES} GROUP BY 1) USING (template)", _TEMPLATED)
 def harvest(spark, e, d):
+    """Command templates by number of actors, then hits, then last sighting: their techniques and the first commands of each."""
     # distinct commands are few beside events: they are counted first and templated once
-    c = A.since(e, D7).where("kind = 'command' and command <> ''").groupBy("command", "actor_id").agg(F.count("*").alias("n"), F.min("ts").alias("a"), F.max("ts").alias("b"))
-    t = c.withColumn("template", X.template(F.col("command"))).groupBy("template").agg(F.sum("n").alias("hits"), F.count_distinct(F.nullif("actor_id", F.lit(""))).alias("actors"), F.min("a").alias("a"), F.max("b").alias("b"))
-    return t.select("template", "hits", "actors", A.stamp("a").alias("first_ts"), A.stamp("b").alias("last_ts"))
+    c = A.since(e, D7).where("kind = 'command' and command <> ''").groupBy("command", "actor_id").agg(F.count("*").alias("n"), F.min(F.struct("ts", "id")).alias("a"), F.max("ts").alias("b"))
+    c = c.withColumn("template", X.template(F.col("command")))
+    tagged_c = c.withColumn("techniques", X.techniques(F.lit("command"), F.col("command")))
+    shown = [F.when(F.max(F.array_contains("techniques", t)), t) for t in sorted(t[0] for t in X.TECHNIQUES)]
+    t = tagged_c.groupBy("template").agg(F.sum("n").alias("hits"), F.count_distinct(F.nullif("actor_id", F.lit(""))).alias("actors"), F.min("a.ts").alias("a"), F.max("b").alias("b"), F.array_join(F.array_compact(F.array(*shown)), ",").alias("techniques"))
+    early = A.ranked(c.groupBy("template", "command").agg(F.min("a").alias("a")), ["template"], [F.asc("a")], SAMPLES)
+    samples = early.groupBy("template").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("a", "command"))), lambda x: x["command"]), "\n").alias("samples"))
+    got = t.join(samples, "template").orderBy(F.desc("actors"), F.desc("hits"), F.desc("b"), "template")
+    return got.select("template", "hits", "actors", A.stamp("a").alias("first_ts"), A.stamp("b").alias("last_ts"), "techniques", "samples")
 
 
 @query("url_extraction", "SELECT url, count(*) AS hits FROM (SELECT unnest(list_concat(regexp_extract_all(command, 'https?://[^\\s\"''<>]+'), list_transform(regexp_extract_all(command, '/dev/tcp/[^/\\s]+/[0-9]+'), lambda x: concat('http://', split_part(x, '/', 4), ':', split_part(x, '/', 5), '/')))) AS url FROM hp WHERE command <> '') GROUP BY 1")
@@ -120,7 +131,7 @@ def url_extraction(spark, e, d):
     return e.where("command <> ''").groupBy("command").agg(F.count("*").alias("n")).select(F.explode(X.urls(F.col("command"))).alias("url"), "n").groupBy("url").agg(F.sum("n").alias("hits"))
 
 
-IOCS = "io AS (SELECT 'ip' AS kind, src_ip AS value, ts, source, actor_id FROM hp WHERE src_ip <> '' UNION ALL SELECT 'user', username, ts, source, actor_id FROM hp WHERE username <> '' UNION ALL SELECT 'hash', lower(sha256), ts, source, actor_id FROM hp WHERE sha256 <> '' UNION ALL SELECT 'url', unnest(list_concat(regexp_extract_all(command, 'https?://[^\\s\"''<>]+'), list_transform(regexp_extract_all(command, '/dev/tcp/[^/\\s]+/[0-9]+'), lambda x: concat('http://', split_part(x, '/', 4), ':', split_part(x, '/', 5), '/')))), ts, source, actor_id FROM hp WHERE command <> '' UNION ALL SELECT 'tunnel', concat(dst_ip, ':', CAST(dst_port AS STRING)), ts, source, actor_id FROM hp WHERE kind = 'tunnel' AND dst_ip <> '')"
+IOCS = "io AS (SELECT 'ip' AS kind, src_ip AS value, ts, source, actor_id, id, command AS sample FROM hp WHERE src_ip <> '' UNION ALL SELECT 'user', username, ts, source, actor_id, id, command FROM hp WHERE username <> '' UNION ALL SELECT 'hash', lower(sha256), ts, source, actor_id, id, command FROM hp WHERE sha256 <> '' UNION ALL SELECT 'url', unnest(list_concat(regexp_extract_all(command, 'https?://[^\\s\"''<>]+'), list_transform(regexp_extract_all(command, '/dev/tcp/[^/\\s]+/[0-9]+'), lambda x: concat('http://', split_part(x, '/', 4), ':', split_part(x, '/', 5), '/')))), ts, source, actor_id, id, command FROM hp WHERE command <> '' UNION ALL SELECT 'tunnel', concat(dst_ip, ':', CAST(dst_port AS STRING)), ts, source, actor_id, id, concat(dst_ip, ':', CAST(dst_port AS STRING)) FROM hp WHERE kind = 'tunnel' AND dst_ip <> '')"
 
 
 def indicators(e):
@@ -142,10 +153,14 @@ def iocs(spark, e, d):
     return indicators(e).select("kind", "value", "hits", A.stamp("a").alias("first_ts"), A.stamp("b").alias("last_ts"), "sources", "actors")
 
 
-@query("ioc_csv", "SELECT kind, CASE WHEN substr(value, 1, 1) IN ('=', '+', '-', '@') THEN concat('''', value) ELSE value END AS value, first_seen, last_seen, hits, sources, actors FROM (SELECT kind, value, strftime(min(ts), '%Y-%m-%dT%H:%M:%SZ') AS first_seen, strftime(max(ts), '%Y-%m-%dT%H:%M:%SZ') AS last_seen, count(*) AS hits, string_agg(DISTINCT source, '|' ORDER BY source) AS sources, count(DISTINCT nullif(regexp_replace(actor_id, '^(journal|cowrie):', ''), '')) AS actors FROM io GROUP BY kind, value)", IOCS)
+_GUARD = lambda c: f"CASE WHEN substr({c}, 1, 1) IN ('=', '+', '-', '@', chr(9), chr(13)) THEN concat('\'\'', {c}) ELSE {c} END AS {c}"
+
+
+@query("ioc_csv", f"SELECT kind, {_GUARD('value')}, first_seen, last_seen, hits, sources, actors, {_GUARD('sample_command')} FROM (SELECT kind, value, strftime(min(ts), '%Y-%m-%dT%H:%M:%SZ') AS first_seen, strftime(max(ts), '%Y-%m-%dT%H:%M:%SZ') AS last_seen, count(*) AS hits, string_agg(DISTINCT source, '|' ORDER BY source) AS sources, count(DISTINCT nullif(regexp_replace(actor_id, '^(journal|cowrie):', ''), '')) AS actors, coalesce(arg_min(sample, (ts, id)) FILTER (WHERE sample <> ''), '') AS sample_command FROM io GROUP BY kind, value)", IOCS)
 def ioc_csv(spark, e, d):
     iso = "yyyy-MM-dd'T'HH:mm:ss'Z'"
-    return indicators(e).select("kind", X.csv_safe(F.col("value")).alias("value"), F.date_format("a", iso).alias("first_seen"), F.date_format("b", iso).alias("last_seen"), "hits", "sources", "actors")
+    sample = X.csv_safe(F.coalesce("sample", F.lit("")))
+    return indicators(e).select("kind", X.csv_safe(F.col("value")).alias("value"), F.date_format("a", iso).alias("first_seen"), F.date_format("b", iso).alias("last_seen"), "hits", "sources", "actors", sample.alias("sample_command"))
 
 
 _UUID = "concat(substr(s, 1, 8), '-', substr(s, 9, 4), '-5', substr(s, 14, 3), '-', substr('89ab', CAST(strpos('0123456789abcdef', substr(s, 17, 1)) - 1 AS INT) % 4 + 1, 1), substr(s, 18, 3), '-', substr(s, 21, 12))"
