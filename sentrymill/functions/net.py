@@ -77,16 +77,39 @@ def askable(ip: Column) -> Column:
     return F.coalesce(~in_blocks(n, UNASKED_V4), F.lit(False))
 
 
+def _in_v6(blocks: tuple[str, ...]):
+    """An Arrow function: whether an address text is in one of the IPv6 blocks."""
+
+    def within(ip: pd.Series) -> pd.Series:
+        nets = [ipaddress.ip_network(b) for b in blocks]
+
+        def one(text: str | None) -> bool:
+            try:
+                a = ipaddress.ip_address(text)
+            except ValueError:
+                return False
+            return a.version == 6 and any(a in n for n in nets)
+
+        return ip.map(one)
+
+    return F.pandas_udf(within, T.BooleanType())
+
+
 def in_set(ip: Column, entries: tuple[str, ...]) -> Column:
-    """Whether an address is one of the entries: exact texts, or IPv4 blocks. Entries that are neither match as text."""
-    exact, blocks = [], []
+    """Whether an address is one of the entries: exact texts or blocks. Entries that are neither match as text; Python runs
+    for IPv6 texts only, and only if an entry is a block of those."""
+    exact, blocks, wide = [], [], []
     for e in entries:
         try:
-            net = ipaddress.ip_network(e, strict=False)
-            (blocks if net.version == 4 and "/" in e else exact).append(str(net) if "/" in e else e)
+            net = ipaddress.ip_network(e, strict=False) if "/" in e else None
         except ValueError:
+            net = None
+        if net is None:
             exact.append(e)
-    return F.coalesce(ip.isin(*exact) if exact else F.lit(False), F.lit(False)) | F.coalesce(in_blocks(ipv4_number(ip), tuple(blocks)), F.lit(False))
+        else:
+            (blocks if net.version == 4 else wide).append(str(net))
+    found = F.coalesce(ip.isin(*exact) if exact else F.lit(False), F.lit(False)) | F.coalesce(in_blocks(ipv4_number(ip), tuple(blocks)), F.lit(False))
+    return F.when(ip.contains(":"), found | _in_v6(tuple(wide))(ip)).otherwise(found) if wide else found
 
 
 def join_host_port(host: Column, port: Column) -> Column:

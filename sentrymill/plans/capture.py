@@ -8,7 +8,7 @@ from pyspark.sql.window import Window as W
 from ..functions import commands as X
 from ..operators import aggregates as A
 from ..sources import projection
-from .base import query
+from .base import D1, D7, query
 from .intel import _VET, ACTORS, vetted
 
 _URLS = "uu AS (SELECT id, ts, src_ip, unnest(list_concat(regexp_extract_all(command, 'https?://[^\\s\"''<>]+'), list_transform(regexp_extract_all(command, '/dev/tcp/[^/\\s]+/[0-9]+'), lambda x: concat('http://', split_part(x, '/', 4), ':', split_part(x, '/', 5), '/')))) AS url FROM hp WHERE kind = 'command' AND command <> '')"
@@ -33,17 +33,17 @@ def backoff(spark, e, d):
     return a.select("id", "attempt_count", F.least(F.lit(3600), 30 * F.pow(F.lit(2), F.col("attempt_count"))).cast("long").alias("wait_s"))
 
 
-@query("report_plan", "SELECT actor_id, CAST(place AS INT) AS place FROM (SELECT actor_id, row_number() OVER (ORDER BY event_count DESC, actor_id) AS place FROM vt WHERE reason IS NULL OR reason = 'probe score below floor') WHERE place <= 25", ACTORS + ", " + _VET)
+@query("report_plan", "SELECT actor_id, CAST(place AS INT) AS place FROM (SELECT actor_id, row_number() OVER (ORDER BY event_count DESC, actor_id) AS place FROM vt WHERE (reason IS NULL OR reason = 'probe score below floor') AND primary_ip NOT IN (SELECT ip FROM rep WHERE reported_at >= {d1})) WHERE place <= 25", ACTORS + ", " + _VET)
 def report_plan(spark, e, d):
-    # a budgeted list: the top rows are cut before they meet in one task
-    top = vetted(A.actors(e), projection.NOW).where("reason is null or reason = 'probe score below floor'").orderBy(F.desc("event_count"), "actor_id").limit(25)
+    # an address reported within a day waits; the budget cuts the list before its rows meet in one task
+    told = projection.reports(spark, e).where(F.col("reported_at") >= F.lit(D1).cast(e.schema["ts"].dataType)).select(F.col("ip").alias("primary_ip"))
+    fit = vetted(A.actors(e), projection.NOW).where("reason is null or reason = 'probe score below floor'").join(told, "primary_ip", "left_anti")
+    top = fit.orderBy(F.desc("event_count"), "actor_id").limit(25)
     return top.select("actor_id", F.row_number().over(W.orderBy(F.desc("event_count"), "actor_id")).alias("place"))
 
 
 @query("unreferenced_files", "SELECT DISTINCT local_path FROM art WHERE local_path <> '' AND ts < {d7} AND local_path NOT IN (SELECT local_path FROM art WHERE ts >= {d7})")
 def unreferenced(spark, e, d):
-    from .base import D7
-
     a = projection.artifacts(spark, e).where("local_path <> ''")
     cut = F.lit(D7).cast(a.schema["ts"].dataType)
     return a.where(F.col("ts") < cut).select("local_path").distinct().join(a.where(F.col("ts") >= cut).select("local_path"), "local_path", "left_anti")

@@ -1,8 +1,8 @@
-"""Incremental ingest: micro-batches of log lines fold into event, binding and actor-state tables.
+"""Incremental ingest: micro-batches of log lines are folded into event and binding tables.
 
 Every batch is idempotent: events are deduplicated by identity against what is stored, so a batch that ran twice leaves
-the same tables. A fingerprint that arrives after its session's events moves them, because actors are derived from
-bindings when read, so actors are derived from events at read time and need no rewrite."""
+the same tables. Actors are derived from events and bindings when read, so a fingerprint that arrives after its session's
+events moves them all without a rewrite."""
 
 from __future__ import annotations
 
@@ -41,17 +41,22 @@ class Tables:
         logs.bindings(lines).withColumn("batch", F.lit(batch)).write.mode("append").parquet(f"{self.root}/bindings")
         lines.unpersist()
 
-    def events(self) -> DataFrame:
-        """Stored events with the actor that their session's latest bindings give."""
-        bound = self.read("bindings").groupBy("session_id").agg(F.min_by("hassh", F.when(F.col("hassh").isNotNull(), F.col("batch"))).alias("hassh"))
-        e = self.read("events")
+    def events(self) -> DataFrame | None:
+        """Stored events with the actor that their session's first fingerprint gives; None before the first batch."""
+        e, bound = self.read("events"), self.read("bindings")
+        if e is None or bound is None:
+            return None
+        bound = bound.groupBy("session_id").agg(F.min_by("hassh", F.when(F.col("hassh").isNotNull(), F.col("batch"))).alias("hassh"))
         return logs.stamped(e.withColumn("id", F.xxhash64(*IDENTITY)), bound)
 
     def purge(self, before: str) -> None:
         """Drops whole days; actors' states and ledgers are kept elsewhere and stay."""
+        stored = self.read("events")
+        if stored is None:
+            return
         path = self.spark._jvm.org.apache.hadoop.fs.Path
         fs = path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration())
-        for r in self.read("events").select("dt").distinct().where(F.col("dt") < F.lit(before).cast("date")).collect():
+        for r in stored.select("dt").distinct().where(F.col("dt") < F.lit(before).cast("date")).collect():
             fs.delete(path(f"{self.root}/events/dt={r['dt']}"), True)
 
 
