@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import caps, fingerprints, jaccard, langid, lines, ngrams, packing, sentencepieces, substrings, toxicity
+from . import caps, fim, fingerprints, jaccard, langid, lines, ngrams, packing, sentencepieces, substrings, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_packing": packing.op9_packing,
         "op10_pieces": sentencepieces.op10_pieces,
+        "op11_fim": fim.op11_fim,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_fim": fim.SQL}
