@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import caps, fim, fingerprints, jaccard, langid, lines, ngrams, packing, sentencepieces, substrings, toxicity
+from . import caps, fim, fingerprints, jaccard, langid, lines, ngrams, packing, sentencepieces, substrings, toxicity, trie
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,8 +22,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_packing": packing.op9_packing,
         "op10_pieces": sentencepieces.op10_pieces,
         "op11_fim": fim.op11_fim,
+        "op12_trie": trie.op12_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_fim": fim.SQL}
+    return {"op11_fim": fim.SQL, "op12_trie": trie.SQL}

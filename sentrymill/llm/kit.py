@@ -5,9 +5,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
 import time
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.scratch import cut, drop, parts, shared_dir
+
 U = np.uint64
 #: The words of the contracts are runs of bytes other than these.
 SPACE = np.zeros(256, bool)
@@ -29,37 +29,6 @@ _PINV = U(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset and all runs in one process (tests)."""
-    have = spark.conf.get("spark.checkpoint.dir", None)
-    if not have:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        have = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="sentrymill-")
-        shared_dir.own = have
-    return have.rstrip("/")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: what follows no longer depends on its lineage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._sentrymill_path = path
-    return out
-
-
-def drop(*tables: DataFrame) -> None:
-    """Deletes tables made by ``cut`` that nothing reads any more."""
-    for df in tables:
-        path = getattr(df, "_sentrymill_path", None)
-        if path:
-            jvm = df.sparkSession._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -91,10 +60,6 @@ def fresh(name: str, df: DataFrame) -> str:
     return name
 
 
-def parts(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def crc_mod(col: str, n: int):
     """crc32 of a column as text, modulo n; a null counts as the empty string."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % n
