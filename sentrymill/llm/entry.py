@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import caps, fim, fingerprints, jaccard, langid, lines, ngrams, packing, sentencepieces, substrings, toxicity, trie
+from . import caps, fim, fingerprints, jaccard, langid, lines, ngrams, packing, quality, sentencepieces, substrings, toxicity, trie
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_pieces": sentencepieces.op10_pieces,
         "op11_fim": fim.op11_fim,
         "op12_trie": trie.op12_trie,
+        "op13_quality": quality.op13_quality,
     }
 
 
