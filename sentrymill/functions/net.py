@@ -39,6 +39,31 @@ def ipv4_number(ip: Column) -> Column:
     return F.when(ip.rlike(V4), ((part(1) * 256 + part(2)) * 256 + part(3)) * 256 + part(4))
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once a row, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def address_hex(ip: Column) -> Column:
+    """An address of either kind in 32 hex digits, IPv4 (also as ::ffff:a.b.c.d) under 96 zero bits; null for any other text."""
+    groups = lambda half: F.when(half == "", F.array().cast("array<string>")).otherwise(F.split(half, ":"))
+    digits = lambda half: F.array_join(F.transform(half, lambda g: F.lpad(g, 4, "0")), "")
+    mapped = lambda wide: F.when(wide.startswith("0" * 20 + "ffff"), F.concat(F.lit("0" * 24), F.substring(wide, 25, 8))).otherwise(wide)
+
+    def joined(sides: Column) -> Column:
+        left, right, gap = F.get(sides, 0), F.coalesce(F.get(sides, 1), F.array().cast("array<string>")), 8 - F.size(F.flatten(sides))
+        fits = F.when(F.size(sides) == 1, gap == 0).otherwise((F.size(sides) == 2) & (gap > 0)) & F.forall(F.flatten(sides), lambda g: g.rlike(r"^[0-9a-f]{1,4}\z"))
+        return F.when(fits, F.concat(digits(left), F.repeat(F.lit("0000"), F.greatest(gap, F.lit(0))), digits(right)))
+
+    def dotted(text: Column) -> Column:
+        """The text with a dotted end written as two groups."""
+        hexed = lambda low: F.when(low.isNull(), text).otherwise(F.concat(F.regexp_extract(text, "^(.*:)", 1), F.substring(low, 1, 4), F.lit(":"), F.substring(low, 5, 4)))
+        return let(F.lpad(F.lower(F.hex(ipv4_number(F.substring_index(text, ":", -1)))), 8, "0"), hexed)
+
+    wide = let(F.transform(F.split(let(F.lower(ip), dotted), "::"), groups), joined)
+    return F.when(ip.contains(":"), let(wide, mapped)).otherwise(F.lpad(F.lower(F.hex(ipv4_number(ip))), 32, "0"))
+
+
 def in_blocks(number: Column, blocks: tuple[str, ...]) -> Column:
     """Whether a number lies in one of the IPv4 blocks (a bounded list of literals)."""
     out = F.lit(False)
