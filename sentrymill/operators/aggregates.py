@@ -87,26 +87,23 @@ def label(state: DataFrame) -> DataFrame:
     )
 
 
-STATE = ("actor_id", "source", "first_seen", "last_seen", "event_count", "mask", "first", "client")
-
-
 def actor_state(events: DataFrame) -> DataFrame:
     """The part of an actor that merges: counts, bounds, signal bits, first address and banner with their places."""
     known = events.where("actor_id <> ''")
     order = F.struct("ts", "id")
     return known.groupBy("actor_id").agg(
         F.first("source").alias("source"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count("*").alias("event_count"),
-        F.bit_or(C.flags(F.col("kind"), F.col("sha256"), F.col("command"))).alias("mask"),
+        F.bit_or(C.flags(F.col("kind"), F.col("sha256"), F.col("command"))).alias("mask"), F.max("hassh").alias("hassh"),
         F.min(F.struct("ts", "id", "src_ip")).alias("first"), F.min(F.when(F.col("ssh_client") != "", F.struct("ts", "id", "ssh_client"))).alias("client"),
     )
 
 
-def fold(state: DataFrame, delta: DataFrame) -> DataFrame:
-    """Merges stored state with that of new events; equal to rebuilding from all events."""
-    both = state.unionByName(delta)
+def fold(rows: DataFrame, delta: DataFrame | None = None, keep: tuple[str, ...] | list[str] = ()) -> DataFrame:
+    """Merges stored states with those of new events; equal to rebuilding from all events. Columns in ``keep`` are the same in all rows of an actor."""
+    both = rows if delta is None else rows.unionByName(delta)
     return both.groupBy("actor_id").agg(
         F.first("source").alias("source"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("event_count").alias("event_count"),
-        F.bit_or("mask").alias("mask"), F.min("first").alias("first"), F.min("client").alias("client"),
+        F.bit_or("mask").alias("mask"), F.max("hassh").alias("hassh"), F.min("first").alias("first"), F.min("client").alias("client"), *[F.first(c).alias(c) for c in keep],
     )
 
 
@@ -145,12 +142,5 @@ def replace_source(table: DataFrame, rows: DataFrame, source: str) -> DataFrame:
     return table.where(F.col("source") != source).unionByName(rows.where(F.col("source") == source))
 
 
-def upsert_touched(stored: DataFrame, events: DataFrame, batch: DataFrame) -> DataFrame:
-    """Stored actors, those that a batch touches rebuilt from all events; others are neither read again nor changed."""
-    touched = batch.where("actor_id <> ''").select("actor_id").distinct()
-    rebuilt = actors(events.join(touched, "actor_id", "left_semi"))
-    return stored.join(touched, "actor_id", "left_anti").unionByName(rebuilt)
-
-
 def long(c: Column) -> Column:
     return c.cast(T.LongType())

@@ -314,16 +314,27 @@ def pool(spark, e, d):
     return active.unionByName(loud).distinct()
 
 
-@query("journal_parse", "SELECT kind, src_ip, username, src_port, strftime(date_trunc('second', ts), {stamp}) AS ts FROM hp WHERE source = 'journal' AND username <> '?'")
-def journal_parse(spark, e, d):
-    j = e.where("source = 'journal' and username <> '?'")
+def journal_lines(e):
+    """The journal's events as the lines that a daemon would write."""
     what = F.when(F.col("kind") == "invalid_user", "Invalid user ").when(F.col("kind") == "failed_password", "Failed password for ").when(F.col("kind") == "failed_publickey", "Failed publickey for invalid user ").otherwise("Accepted publickey for ")
-    lines = j.select(F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'+0000'"), F.lit(" host sshd[17]: "), what, "username", F.lit(" from "), "src_ip", F.lit(" port "), F.col("src_port").cast("string"), F.lit(" ssh2")).alias("value"))
-    return logs.journal(lines).where("kind is not null").select("kind", "src_ip", "username", "src_port", A.stamp("ts").alias("ts"))
+    return e.where("source = 'journal'").select(F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'+0000'"), F.lit(" host sshd[17]: "), what, "username", F.lit(" from "), "src_ip", F.lit(" port "), F.col("src_port").cast("string"), F.lit(" ssh2")).alias("value"))
+
+
+def sensor_log(e):
+    """The sensor's events as JSON lines, each kind under all event ids that stand for it in turn."""
+    ids = {}
+    for k, v in logs.KINDS.items():
+        ids.setdefault(v, []).append(k)
+    names = F.create_map(*[x for v, ks in ids.items() for x in (F.lit(v), F.array(*map(F.lit, ks)))])[F.col("kind")]
+    eventid = F.get(names, (F.col("id") % F.size(names)).cast("int")).alias("eventid")
+    return e.where("source = 'cowrie'").select(F.to_json(F.struct(eventid, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"), "src_ip", "src_port", "username", "password", F.col("session_id").alias("session"), "hassh", F.col("ssh_client").alias("version"), F.col("command").alias("input"), F.col("sha256").alias("shasum"), "dst_ip", F.col("dst_port").cast("string").alias("dst_port"))).alias("value"))
+
+
+@query("journal_parse", "SELECT kind, src_ip, username, src_port, strftime(date_trunc('second', ts), {stamp}) AS ts FROM hp WHERE source = 'journal'")
+def journal_parse(spark, e, d):
+    return logs.journal(journal_lines(e)).where("kind is not null").select("kind", "src_ip", "username", "src_port", A.stamp("ts").alias("ts"))
 
 
 @query("sensor_parse", "SELECT kind, src_ip, username, password, session_id, command, sha256, dst_ip, dst_port, strftime(ts, {stamp}) AS ts FROM hp WHERE source = 'cowrie'")
 def sensor_parse(spark, e, d):
-    ids = F.create_map(*[F.lit(x) for k, v in logs.KINDS.items() if k not in ("cowrie.command.failed", "cowrie.session.file_download.failed", "cowrie.direct-tcpip.redirect", "cowrie.direct-tcpip.tunnel") for x in (v, k)])
-    c = e.where("source = 'cowrie'").select(F.to_json(F.struct(ids[F.col("kind")].alias("eventid"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"), "src_ip", "src_port", "username", "password", F.col("session_id").alias("session"), "hassh", F.col("ssh_client").alias("version"), F.col("command").alias("input"), F.col("sha256").alias("shasum"), "dst_ip", F.col("dst_port").cast("string").alias("dst_port"))).alias("value"))
-    return logs.sensor(c).select("kind", "src_ip", "username", "password", "session_id", "command", "sha256", "dst_ip", "dst_port", A.stamp("ts").alias("ts"))
+    return logs.sensor(sensor_log(e)).select("kind", "src_ip", "username", "password", "session_id", "command", "sha256", "dst_ip", "dst_port", A.stamp("ts").alias("ts"))

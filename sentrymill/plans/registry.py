@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import capture, dashboard, intel, places, reads  # noqa: F401  (they register their queries)
+from . import capture, dashboard, intel, places, reads, stored  # noqa: F401  (they register their queries)
 from .base import QUERIES, SQL
 
 

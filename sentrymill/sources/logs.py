@@ -8,14 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.net import V4, in_set
 
 _S, _NS = r"[\t\n\f\r ]", r"[^\t\n\f\r ]"
-_HEAD = rf"^({_NS}+){_S}+{_NS}+{_S}+sshd\[[0-9]+\]:{_S}+"
-# The journal messages that make an event, tried in this order.
-JOURNAL = (
-    ("invalid_user", rf"{_HEAD}Invalid user ({_NS}+) from ({_NS}+)"),
-    ("failed_password", rf"{_HEAD}Failed password for (?:invalid user )?({_NS}+).*?from ({_NS}+)"),
-    ("failed_publickey", rf"{_HEAD}Failed publickey for (?:invalid user )?({_NS}+).*?from ({_NS}+)"),
-    ("accepted", rf"{_HEAD}Accepted publickey for ({_NS}+) from ({_NS}+)"),
-)
+# The beginnings of journal messages that make an event, and the kinds they stand for.
+JOURNAL = {"Invalid user": "invalid_user", "Failed password for": "failed_password", "Failed publickey for": "failed_publickey", "Accepted publickey for": "accepted"}
+# One pattern for all of them, so that a line is matched once: time, message, user, address; the address follows the user at once, or anywhere behind it in a failure.
+_LINE = rf"^({_NS}+){_S}+{_NS}+{_S}+sshd\[[0-9]+\]:{_S}+(?:(Invalid user|Accepted publickey for) ({_NS}+) from ({_NS}+)|(Failed password for|Failed publickey for) (?:invalid user )?({_NS}+)[^\n]*?from ({_NS}+))[\s\S]*$"
 V6 = r"^[0-9A-Fa-f:]*:[0-9A-Fa-f:.]*(%[0-9A-Za-z]+)?\z"
 LOOKS_LIKE = ("sshd[", "Invalid user", "Failed password", "Failed publickey", "Accepted publickey")
 # Sensor event ids and the kinds they stand for.
@@ -25,7 +21,9 @@ KINDS = {
     "cowrie.session.file_download.failed": "file_download", "cowrie.direct-tcpip.request": "tunnel", "cowrie.direct-tcpip.redirect": "tunnel", "cowrie.direct-tcpip.tunnel": "tunnel",
 }
 FIELDS = ("eventid", "timestamp", "src_ip", "src_port", "dst_ip", "dst_port", "username", "password", "session", "hassh", "version", "fingerprint", "input", "url", "shasum", "filename", "outfile", "destfile", "duration_ms", "arch")
-SENSOR_SCHEMA = ", ".join(f"{f} string" for f in FIELDS)
+#: Fields whose value must be a text; the others may be numbers.
+TEXTS = tuple(f for f in FIELDS if f not in ("src_port", "dst_port", "duration_ms"))
+SENSOR_SCHEMA = ", ".join(f"{f} {'variant' if f in TEXTS else 'string'}" for f in FIELDS) + ", _bad string"
 LINE_CAP, FIELD_CAP = 2 << 20, 64 << 10
 
 
@@ -48,12 +46,12 @@ def instant(text: Column) -> Column:
 def journal(lines: DataFrame) -> DataFrame:
     """``value`` lines to events; lines that are none give a null ``kind`` and ``skipped`` if they look like one."""
     df = lines.select(F.trim(clean(F.col("value"))).alias("raw"))
-    kind, parts = F.lit(None).cast("string"), [F.lit("")] * 3
-    for name, pattern in reversed(JOURNAL):
-        hit = F.col("raw").rlike(pattern)
-        kind = F.when(hit, name).otherwise(kind)
-        parts = [F.when(hit, F.regexp_extract("raw", pattern, i + 1)).otherwise(p) for i, p in enumerate(parts)]
-    got = df.select("raw", kind.alias("kind"), parts[0].alias("_ts"), parts[1].alias("_user"), parts[2].alias("src_ip"))
+    # what the match holds, joined by a mark that no line has; a line that does not match has no mark
+    joined = F.regexp_replace(F.translate("raw", "\x01\x02", "\x03\x03"), _LINE, "\x02$1\x01$2$5\x01$3$6\x01$4$7")
+    # a row a line, made by a generator: filters on what is parsed are not pushed below it, so that a line is matched once
+    df = df.select("raw", F.explode(F.array(F.split(joined, "\x01"))).alias("_p")).withColumn("_p", F.when(F.get("_p", F.lit(0)).startswith("\x02"), F.col("_p")))
+    kinds, part = F.create_map(*[F.lit(x) for kv in JOURNAL.items() for x in kv]), lambda i: F.coalesce(F.get("_p", F.lit(i)), F.lit(""))
+    got = df.select("raw", F.try_element_at(kinds, part(1)).alias("kind"), F.substring(part(0), 2, 64).alias("_ts"), part(2).alias("_user"), part(3).alias("src_ip"))
     got = got.withColumn("ts", instant(F.col("_ts"))).withColumn("username", safe_user(F.col("_user")))
     ok = F.col("kind").isNotNull() & F.col("ts").isNotNull() & (F.col("_user") != "") & (F.col("src_ip").rlike(V4) | F.col("src_ip").rlike(V6))
     looks = F.lit(False)
@@ -64,44 +62,77 @@ def journal(lines: DataFrame) -> DataFrame:
 
 
 def sensor_lines(lines: DataFrame) -> DataFrame:
-    """JSON lines to raw fields; a line of the wrong shape has a null ``eventid``. Oversized lines are dropped."""
-    parsed = lines.where(F.octet_length("value") <= LINE_CAP).select("value", F.from_json("value", SENSOR_SCHEMA, {"mode": "PERMISSIVE"}).alias("j"))
-    wrong = F.lit(False)
-    for f in ("eventid", "timestamp", "src_ip", "session"):  # known fields must be strings
-        wrong = wrong | F.col("value").rlike(rf'"{f}"\s*:\s*[0-9\[\{{]')
-    return parsed.where(~wrong).select(*[F.substring(f"j.{f}", 1, FIELD_CAP).alias(f) for f in FIELDS])
+    """JSON lines to raw fields, and ``ok``: whether the line is an object whose known fields have their types. Oversized lines
+    (too many bytes, or a null value from the follower) and lines of another shape have null fields; ``there`` is false for blank ones."""
+    fits = (F.octet_length("value") <= LINE_CAP) & F.col("value").rlike(r"^\s*\{")
+    df = lines.select(F.coalesce(F.trim("value") != "", F.lit(True)).alias("there"), F.when(fits, F.from_json("value", SENSOR_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})).alias("j"))
+    kind = lambda f: F.coalesce(F.schema_of_variant(f"j.{f}"), F.lit("VOID"))
+    typed = F.col("j").isNotNull() & F.col("j._bad").isNull()
+    for f in TEXTS:
+        typed = typed & kind(f).isin("STRING", "VOID")
+    df = df.withColumn("ok", F.coalesce(typed, F.lit(False)))
+    return df.select("there", "ok", *[F.when(F.col("ok"), F.try_variant_get(f"j.{f}", "$", "string") if f in TEXTS else F.col(f"j.{f}")).alias(f) for f in FIELDS])
+
+
+def clipped(text: Column, cap: int = FIELD_CAP) -> Column:
+    """At most ``cap`` bytes of a text, cut where a character begins."""
+    data = text.cast("binary")
+    inside = lambda k: F.hex(F.substring(data, cap + 1 - k, 1)).rlike("^[89AB]")
+    cut = lambda k: F.substring(data, 1, cap - k).cast("string")
+    return F.when(F.octet_length(text) <= cap, text).when(~inside(0), cut(0)).when(~inside(1), cut(1)).when(~inside(2), cut(2)).otherwise(cut(3))
 
 
 def number(text: Column) -> Column:
     return F.coalesce(text.try_cast("double").try_cast("int"), F.lit(0))
 
 
-def sensor(lines: DataFrame) -> DataFrame:
-    """Events of a sensor log: needs an address, a known kind and a valid time."""
-    r = sensor_lines(lines)
-    blank = lambda c: F.coalesce(c, F.lit(""))
-    pick = lambda *cs: F.coalesce(*[F.nullif(F.trim(blank(F.col(c))), F.lit("")) for c in cs], F.lit(""))
+def _blank(c: str | Column) -> Column:
+    return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
+
+
+def sensor_records(lines: DataFrame) -> DataFrame:
+    """Every line as the event that it is or null columns, whether it is one (``event``), and whether it was ``skipped``: there, but no
+    event. An event needs an address, a known kind and a valid time. Side records (fingerprints, durations) keep their fields."""
+    first = lambda *cs: F.coalesce(*[F.nullif(_blank(c), F.lit("")) for c in cs], F.lit(""))
     kinds = F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv])
-    e = r.withColumn("kind", F.try_element_at(kinds, blank(F.col("eventid")))).withColumn("ts", instant(F.col("timestamp")))
-    e = e.where("kind is not null and ts is not null and coalesce(src_ip, '') <> ''")
-    filed, tunnel = F.col("kind").isin("file_upload", "file_download"), F.col("kind") == "tunnel"
-    return e.select(
-        "ts", F.lit("cowrie").alias("source"), "kind", "src_ip", number(F.col("src_port")).alias("src_port"), blank(F.col("username")).alias("username"), blank(F.col("password")).alias("password"),
-        blank(F.col("session")).alias("session_id"), blank(F.col("hassh")).alias("hassh"), pick("version", "fingerprint").alias("ssh_client"),
-        F.when(filed, pick("input", "url")).otherwise(pick("input")).alias("command"), blank(F.col("shasum")).alias("sha256"), pick("filename", "outfile", "destfile").alias("filename"),
-        F.when(tunnel, blank(F.col("dst_ip"))).otherwise("").alias("dst_ip"), F.when(tunnel, number(F.col("dst_port"))).otherwise(0).alias("dst_port"),
+    r = sensor_lines(lines).withColumn("kind", F.try_element_at(kinds, _blank("eventid"))).withColumn("ts", instant(F.trim("timestamp")))
+    r = r.withColumn("event", F.coalesce(F.col("kind").isNotNull() & F.col("ts").isNotNull() & (_blank("src_ip") != ""), F.lit(False)))
+    filed, tunnel, typed = F.col("kind").isin("file_upload", "file_download"), F.col("kind") == "tunnel", F.trim(_blank("input"))
+    return r.select(
+        "event", (F.col("there") & ~F.col("event")).alias("skipped"), "eventid", "duration_ms", "arch", F.lower(F.trim(_blank("shasum"))).alias("closed_sha256"),
+        "ts", F.lit("cowrie").alias("source"), "kind", "src_ip", number(F.trim("src_port")).alias("src_port"), clipped(_blank("username")).alias("username"), clipped(_blank("password")).alias("password"),
+        _blank("session").alias("session_id"), _blank("hassh").alias("hassh"), clipped(first("version", "fingerprint")).alias("ssh_client"),
+        clipped(F.when(filed & (typed == ""), F.trim(_blank("url"))).otherwise(typed)).alias("command"), F.trim(_blank("shasum")).alias("sha256"), clipped(first("filename", "outfile", "destfile")).alias("filename"),
+        F.when(tunnel, clipped(F.trim(_blank("dst_ip")))).otherwise("").alias("dst_ip"), F.when(tunnel, number(F.trim("dst_port"))).otherwise(0).alias("dst_port"),
     )
 
 
+EVENT_COLUMNS = ("ts", "source", "kind", "src_ip", "src_port", "username", "password", "session_id", "hassh", "ssh_client", "command", "sha256", "filename", "dst_ip", "dst_port")
+
+
+def sensor(lines: DataFrame) -> DataFrame:
+    """Events of a sensor log."""
+    return sensor_records(lines).where("event").select(*EVENT_COLUMNS)
+
+
+def bindings_of(records: DataFrame) -> DataFrame:
+    """What side records say of a session: fingerprint, duration and architecture, of each the first seen."""
+    r = records.where("session_id <> ''")
+    first = lambda v, eventid, there: F.min_by(v, F.when((F.col("eventid") == eventid) & there, F.col("ts")))
+    hassh, arch, ms = F.trim("hassh"), F.trim("arch"), number(F.col("duration_ms")).cast("long")
+    return r.groupBy("session_id").agg(
+        first(hassh, "cowrie.client.kex", hassh != "").alias("hassh"), first(ms, "cowrie.session.closed", ms > 0).alias("duration_ms"), first(arch, "cowrie.session.params", arch != "").alias("arch"), F.min("ts").alias("observed_at"),
+    ).where("hassh is not null or duration_ms is not null or arch is not null")
+
+
 def bindings(lines: DataFrame) -> DataFrame:
-    """What side records say of a session: its fingerprint, the first record winning, and its duration and architecture, the last."""
-    r = sensor_lines(lines).withColumn("ts", instant(F.col("timestamp"))).where("coalesce(session, '') <> ''")
-    last = lambda v, cond: F.max_by(v, F.when(cond, F.col("ts")))
-    return r.groupBy(F.col("session").alias("session_id")).agg(
-        F.min_by("hassh", F.when((F.col("eventid") == "cowrie.client.kex") & (F.col("hassh") != ""), F.col("ts"))).alias("hassh"),
-        last(number(F.col("duration_ms")), (F.col("eventid") == "cowrie.session.closed") & (number(F.col("duration_ms")) > 0)).alias("duration_ms"),
-        last(F.col("arch"), (F.col("eventid") == "cowrie.session.params") & (F.col("arch") != "")).alias("arch"),
-    )
+    return bindings_of(sensor_records(lines))
+
+
+def recordings_of(records: DataFrame) -> DataFrame:
+    """(sha256, session_id, ts) of closed recordings: which session a recording's file belongs to, the first record winning."""
+    closed = records.where("eventid = 'cowrie.log.closed' and closed_sha256 <> '' and session_id <> '' and ts is not null")
+    return closed.groupBy(F.col("closed_sha256").alias("sha256")).agg(F.min_by("session_id", F.struct("ts", "session_id")).alias("session_id"), F.min("ts").alias("ts"))
 
 
 def journal_files(spark: SparkSession, path: str) -> DataFrame:

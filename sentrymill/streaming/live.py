@@ -1,69 +1,48 @@
-"""Incremental ingest: micro-batches of log lines are folded into event and binding tables.
+"""Incremental ingest: growing logs are followed, each micro-batch of lines is parsed once and folded into the store.
 
-Every batch is idempotent: events are deduplicated by identity against what is stored, so a batch that ran twice leaves
-the same tables. Actors are derived from events and bindings when read, so a fingerprint that arrives after its session's
-events moves them all without a rewrite."""
+A batch is taken once, however often it runs; what it held is counted while it is parsed, without another pass."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import aggregates as A
+from ..operators import scratch
 from ..sources import logs
+from .store import Store
+from .tail import follow
 
-IDENTITY = ["ts", "source", "kind", "src_ip", "session_id", "username", "command"]
-
-
-class Tables:
-    """Event and binding tables below one folder. Events are appended by day; of a session's fingerprints the first stays."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+def counts(observed: dict) -> dict[str, int]:
+    return {k: int(v or 0) for k, v in observed.items()}
 
-    def read(self, name: str, empty: DataFrame | None = None) -> DataFrame | None:
-        try:
-            return self.spark.read.parquet(f"{self.root}/{name}")
-        except Exception as e:  # the table does not exist before the first batch
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return empty
 
-    def ingest(self, lines: DataFrame, batch: int) -> None:
-        lines = lines.persist()
-        fresh = logs.sensor(lines).withColumn("dt", F.to_date("ts")).withColumn("id", F.monotonically_increasing_id())
-        days = [r["dt"] for r in fresh.select("dt").distinct().collect()]
-        stored = self.read("events")
-        if stored is not None:
-            stored = stored.where(F.col("dt").isin(days))  # partitions of the batch's days only
-        A.dedup(fresh, stored, IDENTITY).drop("id").withColumn("batch", F.lit(batch)).write.mode("append").partitionBy("dt").parquet(f"{self.root}/events")
-        logs.bindings(lines).withColumn("batch", F.lit(batch)).write.mode("append").parquet(f"{self.root}/bindings")
-        lines.unpersist()
+def take(store: Store, lines: DataFrame, stream: str = "", batch: int = 0, source: str = "cowrie") -> dict[str, int]:
+    """Parses ``value`` lines of a sensor log (or a journal) once, folds them into the store, and says how many lines it saw, kept and skipped."""
+    seen = Observation()
+    if source == "journal":
+        records = logs.journal(lines).withColumn("event", F.col("kind").isNotNull())
+    else:
+        records = logs.sensor_records(lines)
+    records = scratch.cut(records.observe(seen, F.count(F.lit(1)).alias("lines"), F.count_if("event").alias("events"), F.count_if("skipped").alias("skipped")))
+    columns = [c for c in logs.EVENT_COLUMNS if c in records.columns]
+    fresh = store.ingest(records.where("event").select(*columns), logs.bindings_of(records) if source == "cowrie" else None, stream, batch)
+    scratch.drop(records)
+    return counts(seen.get) | {"taken": int(fresh)}
 
-    def events(self) -> DataFrame | None:
-        """Stored events with the actor that their session's first fingerprint gives; None before the first batch."""
-        e, bound = self.read("events"), self.read("bindings")
-        if e is None or bound is None:
-            return None
-        bound = bound.groupBy("session_id").agg(F.min_by("hassh", F.when(F.col("hassh").isNotNull(), F.col("batch"))).alias("hassh"))
-        return logs.stamped(e.withColumn("id", F.xxhash64(*IDENTITY)), bound)
 
-    def purge(self, before: str) -> None:
-        """Drops whole days; actors' states and ledgers are kept elsewhere and stay."""
-        stored = self.read("events")
-        if stored is None:
-            return
-        path = self.spark._jvm.org.apache.hadoop.fs.Path
-        fs = path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration())
-        for r in stored.select("dt").distinct().where(F.col("dt") < F.lit(before).cast("date")).collect():
-            fs.delete(path(f"{self.root}/events/dt={r['dt']}"), True)
+def start(spark: SparkSession, path: str, store: Store, checkpoint: str, seconds: int | None = None, source: str = "cowrie", report: Callable[[dict], None] | None = None) -> StreamingQuery:
+    """Follows growing log files below a path or glob; ``seconds`` None takes what is there and ends. ``report`` gets each batch's counts."""
 
+    def batch(lines: DataFrame, i: int) -> None:
+        got = take(store, lines.select("value"), f"{source}:{path}", i, source)
+        if report:
+            report(got)
 
-def start(spark: SparkSession, folder: str, tables: Tables, checkpoint: str, seconds: int | None = None) -> StreamingQuery:
-    """Follows a folder of finished log files; ``seconds`` None takes what is there and ends."""
-    stream = spark.readStream.text(folder)
-    w = stream.writeStream.foreachBatch(lambda df, i: tables.ingest(df, i)).option("checkpointLocation", checkpoint)
+    w = follow(spark, path).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (w.trigger(processingTime=f"{seconds} seconds") if seconds else w.trigger(availableNow=True)).start()
 
 
