@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregates as A
 from ..operators import scratch
-from ..streaming import live
+from ..streaming import journal_state, live
 from ..streaming.store import Store
 from .base import D3, D7, query
 from .intel import ACTORS, journal_lines, sensor_log
@@ -127,3 +127,20 @@ def skipped_lines(spark, e, d):
         got = live.take(store(spark), both, source=source)
         out.append((source, got["lines"], got["events"], got["skipped"]))
     return spark.createDataFrame(out, "source string, lines long, events long, skipped long")
+
+
+@query(
+    "live_journal",
+    "SELECT src_ip, '' AS username, count(*) AS n, strftime(min(ts), {stamp}) AS first_seen, strftime(max(ts), {stamp}) AS last_seen FROM hp WHERE source = 'journal' GROUP BY 1 UNION ALL SELECT src_ip, username, count(*), '', '' FROM hp WHERE source = 'journal' AND username NOT IN ('', '?') GROUP BY 1, 2",
+)
+def live_journal(spark, e, d):
+    """Totals and names of journal addresses, rolled up by a stream that stopped and went on, with some events coming twice."""
+    folder = f"{scratch.shared_dir(spark)}/live-{uuid.uuid4().hex}"
+    live = journal_state.Live(spark, f"{folder}/tables", 4)
+    rows = e.where("source = 'journal'").select(F.col("ts").cast("timestamp").alias("ts"), "kind", "src_ip", "src_port", "username", F.col("id").cast("string").alias("raw"))
+    cut = F.lit(D7).cast("timestamp")
+    for part in (rows.where(F.col("ts") < cut), rows.where((F.col("ts") >= cut) | (F.col("username") == "root"))):
+        part.write.mode("append").parquet(f"{folder}/in")
+        live.start(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"), f"{folder}/state").awaitTermination()
+    totals = live.totals().select("src_ip", F.lit("").alias("username"), F.col("event_count").alias("n"), A.stamp("first_seen").alias("first_seen"), A.stamp("last_seen").alias("last_seen"))
+    return totals.unionByName(live.users().select("src_ip", "username", "n", F.lit("").alias("first_seen"), F.lit("").alias("last_seen")))
