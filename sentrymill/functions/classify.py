@@ -32,7 +32,7 @@ def deploys(command: Column) -> Column:
     c = F.lower(command)
     fetch = _any(c, ("curl ", "wget ", "wget;", "tftp "))
     sink = _any(c, ("|sh", "| sh", "|bash", "| bash", ">", "/tmp/"))
-    run = c.rlike(r"(^ *|[;&|(\x60] *)\./")
+    run = c.rlike(r"(^ *|[;&|(`] *)\./")
     return F.coalesce((fetch & sink) | _any(c, ("chmod +x", "chmod 777")) | run | (c.contains("/tmp/") & _any(c, ("sh ", "bash ", "exec "))), F.lit(False))
 
 

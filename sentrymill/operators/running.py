@@ -99,8 +99,8 @@ def numbered(df: DataFrame, group: list[str], order: list[Column], name: str, ke
     return out
 
 
-def digested(df: DataFrame, group: list[str], order: str, text: str, name: str, between: str = ",", head: str = "", tail: str = "", chunk: int = 1 << 16) -> DataFrame:
-    """One row a group: the lowercase SHA-256 of its texts joined in order, between ``head`` and ``tail``.
+def digested(df: DataFrame, group: list[str], order: str, text: str, name: str, between: str = ",", head: str = "", tail: str = "", chunk: int = 1 << 16, digest: str = "sha256") -> DataFrame:
+    """One row a group: the lowercase digest (SHA-256 if not told otherwise) of its texts joined in order, between ``head`` and ``tail``.
 
     Partitions of a range join their texts to chunks first; a group's chunks are then read in turn, one batch at a time, as
     the digest demands. ``order`` must tell the rows of a group apart; null texts count as empty."""
@@ -135,11 +135,11 @@ def digested(df: DataFrame, group: list[str], order: str, text: str, name: str,
             yield done()
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mark, digest = None, None
+        mark, so_far = None, None
 
         def done():
-            digest.update(tail.encode())
-            return pa.RecordBatch.from_arrays([*mark, pa.array([digest.hexdigest()])], names=[*group, name])
+            so_far.update(tail.encode())
+            return pa.RecordBatch.from_arrays([*mark, pa.array([so_far.hexdigest()])], names=[*group, name])
 
         for b in batches:
             if not b.num_rows:
@@ -153,10 +153,10 @@ def digested(df: DataFrame, group: list[str], order: str, text: str, name: str,
                     yield done()
                     mark = None
                 if mark is None:
-                    mark, digest = [c[i : i + 1] for c in columns], hashlib.sha256(head.encode())
+                    mark, so_far = [c[i : i + 1] for c in columns], hashlib.new(digest, head.encode())
                 else:
-                    digest.update(between_bytes)
-                digest.update(t.as_buffer())
+                    so_far.update(between_bytes)
+                so_far.update(t.as_buffer())
         if mark is not None:
             yield done()
 

@@ -10,10 +10,10 @@ from ..functions import commands as X
 from ..functions import net
 from ..functions.deobf import deobfuscated
 from ..operators import aggregates as A
-from ..sources import logs, projection
+from ..sources import exports, logs, projection
 from .base import D1, D7, query
 
-_D = "(regexp_matches(lower(command), '(^ *|[;&|(\x60] *)\\./') OR contains(lower(command), 'chmod +x') OR contains(lower(command), 'chmod 777') OR ((contains(lower(command), 'curl ') OR contains(lower(command), 'wget ') OR contains(lower(command), 'wget;') OR contains(lower(command), 'tftp ')) AND (contains(lower(command), '|sh') OR contains(lower(command), '| sh') OR contains(lower(command), '|bash') OR contains(lower(command), '| bash') OR contains(command, '>') OR contains(lower(command), '/tmp/'))) OR (contains(lower(command), '/tmp/') AND (contains(lower(command), 'sh ') OR contains(lower(command), 'bash ') OR contains(lower(command), 'exec '))))"
+_D = "(regexp_matches(lower(command), '(^ *|[;&|(`] *)\\./') OR contains(lower(command), 'chmod +x') OR contains(lower(command), 'chmod 777') OR ((contains(lower(command), 'curl ') OR contains(lower(command), 'wget ') OR contains(lower(command), 'wget;') OR contains(lower(command), 'tftp ')) AND (contains(lower(command), '|sh') OR contains(lower(command), '| sh') OR contains(lower(command), '|bash') OR contains(lower(command), '| bash') OR contains(command, '>') OR contains(lower(command), '/tmp/'))) OR (contains(lower(command), '/tmp/') AND (contains(lower(command), 'sh ') OR contains(lower(command), 'bash ') OR contains(lower(command), 'exec '))))"
 FLAGS = f"((CASE WHEN kind IN ('connect','invalid_user','failed_password','failed_publickey') THEN 1 ELSE 0 END) + (CASE WHEN kind = 'tunnel' THEN 2 ELSE 0 END) + (CASE WHEN kind IN ('file_download','file_upload') OR sha256 <> '' THEN 4 ELSE 0 END) + (CASE WHEN kind = 'command' AND {_D} THEN 8 ELSE 0 END) + (CASE WHEN kind IN ('accepted','invalid_user','failed_password','failed_publickey') THEN 16 ELSE 0 END) + (CASE WHEN kind = 'command' THEN 32 ELSE 0 END))"
 _B = lambda bit: f"(m & {bit}) <> 0"
 ACTORS = (
@@ -145,7 +145,12 @@ def indicators(e):
     )
     urls = F.when(F.col("command") != "", F.transform(X.urls(F.col("command")), lambda u: F.struct(F.lit("url").alias("kind"), u.alias("value"), F.col("command").alias("sample")))).otherwise(F.array().cast("array<struct<kind:string,value:string,sample:string>>"))
     each = e.select("ts", "id", "source", F.regexp_replace("actor_id", "^(journal|cowrie):", "").alias("actor"), F.explode(F.concat(F.array_compact(found), urls)).alias("i")).select("ts", "id", "source", "actor", "i.*")
-    return each.groupBy("kind", "value").agg(F.count("*").alias("hits"), F.min("ts").alias("a"), F.max("ts").alias("b"), F.array_join(F.array_sort(F.collect_set("source")), "|").alias("sources"), F.count_distinct(F.nullif("actor", F.lit(""))).alias("actors"), F.min_by("sample", F.when(F.col("sample") != "", F.struct("ts", "id"))).alias("sample"))
+    # sightings are added up by actor first: a common indicator's rows never meet in one task
+    part = each.groupBy("kind", "value", "actor", "source").agg(F.count("*").alias("n"), F.min("ts").alias("a"), F.max("ts").alias("b"), F.min(F.when(F.col("sample") != "", F.struct("ts", "id", "sample"))).alias("s"))
+    return part.groupBy("kind", "value").agg(
+        F.sum("n").alias("hits"), F.min("a").alias("a"), F.max("b").alias("b"), F.array_join(F.array_sort(F.collect_set("source")), "|").alias("sources"),
+        F.array_sort(F.collect_set(F.nullif("actor", F.lit("")))).alias("actor_list"), F.min("s")["sample"].alias("sample"),
+    ).withColumn("actors", F.size("actor_list").cast("long"))
 
 
 @query("ioc_collect", "SELECT kind, value, count(*) AS hits, strftime(min(ts), {stamp}) AS first_ts, strftime(max(ts), {stamp}) AS last_ts, string_agg(DISTINCT source, '|' ORDER BY source) AS sources, count(DISTINCT nullif(regexp_replace(actor_id, '^(journal|cowrie):', ''), '')) AS actors FROM io GROUP BY 1, 2", IOCS)
@@ -156,11 +161,11 @@ def iocs(spark, e, d):
 _GUARD = lambda c: f"CASE WHEN substr({c}, 1, 1) IN ('=', '+', '-', '@', chr(9), chr(13)) THEN concat('\'\'', {c}) ELSE {c} END AS {c}"
 
 
-@query("ioc_csv", f"SELECT kind, {_GUARD('value')}, first_seen, last_seen, hits, sources, actors, {_GUARD('sample_command')} FROM (SELECT kind, value, strftime(min(ts), '%Y-%m-%dT%H:%M:%SZ') AS first_seen, strftime(max(ts), '%Y-%m-%dT%H:%M:%SZ') AS last_seen, count(*) AS hits, string_agg(DISTINCT source, '|' ORDER BY source) AS sources, count(DISTINCT nullif(regexp_replace(actor_id, '^(journal|cowrie):', ''), '')) AS actors, coalesce(arg_min(sample, (ts, id)) FILTER (WHERE sample <> ''), '') AS sample_command FROM io GROUP BY kind, value)", IOCS)
+@query("ioc_csv", f"SELECT kind, {_GUARD('value')}, first_seen, last_seen, hits, {_GUARD('sources')}, {_GUARD('actors')}, {_GUARD('sample_command')} FROM (SELECT kind, value, strftime(min(ts), '%Y-%m-%dT%H:%M:%SZ') AS first_seen, strftime(max(ts), '%Y-%m-%dT%H:%M:%SZ') AS last_seen, count(*) AS hits, string_agg(DISTINCT source, '|' ORDER BY source) AS sources, coalesce(string_agg(DISTINCT nullif(regexp_replace(actor_id, '^(journal|cowrie):', ''), ''), '|' ORDER BY nullif(regexp_replace(actor_id, '^(journal|cowrie):', ''), '')), '') AS actors, coalesce(arg_min(sample, (ts, id)) FILTER (WHERE sample <> ''), '') AS sample_command FROM io GROUP BY kind, value)", IOCS)
 def ioc_csv(spark, e, d):
     iso = "yyyy-MM-dd'T'HH:mm:ss'Z'"
     sample = X.csv_safe(F.coalesce("sample", F.lit("")))
-    return indicators(e).select("kind", X.csv_safe(F.col("value")).alias("value"), F.date_format("a", iso).alias("first_seen"), F.date_format("b", iso).alias("last_seen"), "hits", "sources", "actors", sample.alias("sample_command"))
+    return indicators(e).select("kind", X.csv_safe(F.col("value")).alias("value"), F.date_format("a", iso).alias("first_seen"), F.date_format("b", iso).alias("last_seen"), "hits", X.csv_safe(F.col("sources")).alias("sources"), X.csv_safe(F.array_join("actor_list", "|")).alias("actors"), sample.alias("sample_command"))
 
 
 _UUID = "concat(substr(s, 1, 8), '-', substr(s, 9, 4), '-5', substr(s, 14, 3), '-', substr('89ab', CAST(strpos('0123456789abcdef', substr(s, 17, 1)) - 1 AS INT) % 4 + 1, 1), substr(s, 18, 3), '-', substr(s, 21, 12))"
@@ -169,31 +174,20 @@ _UUID = "concat(substr(s, 1, 8), '-', substr(s, 9, 4), '-5', substr(s, 14, 3), '
 _TUNNEL = "concat('[network-traffic:dst_ref.type = ''ipv4-addr'' AND network-traffic:dst_ref.value = ''', split_part(value, ':', 1), ''' AND network-traffic:dst_port = ', split_part(value, ':', 2), ']')"
 
 
-def pattern_of(kind, value):
-    """The pattern of an indicator; values are escaped, addresses told apart by their form."""
-    esc = lambda c: F.regexp_replace(c, r"([\\'])", r"\\$1")
-    form = lambda c: F.when(c.rlike(net.V4), "ipv4-addr").when(c.contains(":"), "ipv6-addr")
-    host = F.regexp_replace(F.regexp_replace(value, ":[0-9]+$", ""), r"[\[\]]", "")
-    port = F.regexp_extract(value, ":([0-9]+)$", 1)
-    with_port = F.when(port != "", F.concat(F.lit(" AND network-traffic:dst_port = "), port)).otherwise("")
-    end = F.lit("]")
-    quoted = lambda head, c, tail: F.concat(F.lit(f"{head} = '"), esc(c), F.lit("'"), tail)
-    return (
-        F.when(kind == "ip", F.concat(F.lit("["), F.coalesce(form(value), F.lit("ipv4-addr")), quoted(":value", value, end)))
-        .when(kind == "url", quoted("[url:value", value, end))
-        .when(kind == "hash", quoted("[file:hashes.'SHA-256'", F.lower(value), end))
-        .when(kind == "user", quoted("[user-account:account_login", value, end))
-        .otherwise(F.concat(F.lit("[network-traffic:dst_ref.type = '"), F.coalesce(form(host), F.lit("domain-name")), quoted("' AND network-traffic:dst_ref.value", host, with_port), end))
-    )
-
-
 @query("stix_indicators", f"SELECT concat('indicator--', {_UUID}) AS id, CASE kind WHEN 'ip' THEN concat('[ipv4-addr:value = ''', value, ''']') WHEN 'url' THEN concat('[url:value = ''', value, ''']') WHEN 'hash' THEN concat('[file:hashes.''SHA-256'' = ''', value, ''']') WHEN 'user' THEN concat('[user-account:account_login = ''', value, ''']') ELSE {_TUNNEL} END AS pattern FROM (SELECT kind, value, sha1(concat(kind, '|', value)) AS s FROM io GROUP BY 1, 2)", IOCS)
 def stix(spark, e, d):
-    s = F.sha1(F.concat("kind", F.lit("|"), "value"))
-    i = indicators(e).select("kind", "value", s.alias("s"))
-    variant = F.substring(F.lit("89ab"), (F.instr(F.lit("0123456789abcdef"), F.substring("s", 17, 1)) - 1) % 4 + 1, F.lit(1))
-    uuid = F.concat(F.substring("s", 1, 8), F.lit("-"), F.substring("s", 9, 4), F.lit("-5"), F.substring("s", 14, 3), F.lit("-"), variant, F.substring("s", 18, 3), F.lit("-"), F.substring("s", 21, 12))
-    return i.select(F.concat(F.lit("indicator--"), uuid).alias("id"), pattern_of(F.col("kind"), F.col("value")).alias("pattern"))
+    return exports.objects(indicators(e)).select("id", "pattern")
+
+
+_OBJECTS = IOCS + f", ag AS (SELECT kind, value, count(*) AS hits, min(ts) AS a, max(ts) AS b, string_agg(DISTINCT source, ',' ORDER BY source) AS sources, coalesce(arg_min(sample, (ts, id)) FILTER (WHERE sample <> ''), '') AS sample FROM io GROUP BY kind, value), ob AS (SELECT row_number() OVER (ORDER BY hits DESC, b DESC, value, kind) AS place, concat('indicator--', {_UUID}) AS id, concat('Observed ', kind, ' ''', value, ''' across ', sources, ' sources from ', strftime(a, '%Y-%m-%dT%H:%M:%SZ'), ' to ', strftime(b, '%Y-%m-%dT%H:%M:%SZ'), '. Count: ', hits, '.', CASE WHEN sample = '' THEN '' WHEN strlen(sample) <= 256 THEN concat(' Sample: ', sample) ELSE concat(' Sample: ', substr(sample, 1, 256), '…') END) AS description, strftime(a, '%Y-%m-%dT%H:%M:%SZ') AS created, strftime(b, '%Y-%m-%dT%H:%M:%SZ') AS modified FROM (SELECT *, sha1(concat(kind, '|', value)) AS s FROM ag))"
+
+
+@query("stix_bundle", f"SELECT place, id, description, created, modified FROM ob UNION ALL SELECT 0, concat('bundle--', {_UUID}), '', '', '' FROM (SELECT sha1(concat('sentrymill-bundle-', string_agg(concat(id, '|'), '' ORDER BY place))) AS s FROM ob)", _OBJECTS)
+def stix_bundle(spark, e, d):
+    """The bundle's objects in their order, and the id that follows from all of them."""
+    placed = exports.objects(indicators(e))
+    own = spark.createDataFrame([(0, exports.bundle_id(placed), "", "", "")], "place long, id string, description string, created string, modified string")
+    return placed.select("place", "id", "description", "created", "modified").unionByName(own)
 
 
 _NODES = "no AS (SELECT id, unnest(list_filter([CASE WHEN actor_id <> '' THEN concat('actor:', actor_id) END, CASE WHEN src_ip <> '' THEN concat('ip:', src_ip) END, CASE WHEN hassh <> '' THEN concat('hassh:', hassh) END, CASE WHEN trim(username) <> '' THEN concat('user:', trim(username)) END], lambda x: x IS NOT NULL)) AS node FROM hp WHERE ts >= {d7}), nw AS (SELECT node, split_part(node, ':', 1) AS kind, count(*) AS weight FROM no GROUP BY 1, 2), kp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY weight DESC, node) AS r FROM nw) WHERE r <= 60)"
