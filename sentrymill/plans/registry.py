@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import archive, capture, dashboard, intel, lookups, places, reads, stored  # noqa: F401  (they register their queries)
+from . import archive, capture, dashboard, evidence, intel, lookups, places, reads, stored  # noqa: F401  (they register their queries)
 from .base import QUERIES, SQL
 
 
