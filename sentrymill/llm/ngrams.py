@@ -30,7 +30,8 @@ from . import kit
 U = np.uint64
 START, END = U(0x1F83D9ABFB41BD6B), U(0x5BE0CD19137E2179)
 WORD, PAIR = 0, 1
-BUCKETS = 24
+#: One for contexts never seen and one for each power of two that a count can reach.
+BUCKETS = 65
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, _counts binary"
 
 
@@ -161,7 +162,7 @@ def _before(word: np.ndarray, docs: int) -> np.ndarray:
 
 def bucket(context: np.ndarray) -> np.ndarray:
     """0 for contexts never seen, then by powers of two."""
-    return np.minimum(np.where(context > 0, np.floor(np.log2(np.maximum(context, 1))) + 1, 0), BUCKETS - 1).astype(np.int64)
+    return np.where(context > 0, np.floor(np.log2(np.maximum(context, 1))) + 1, 0).astype(np.int64)
 
 
 def _cells(counted: DataFrame, n: int, docs: int) -> DataFrame:
