@@ -49,7 +49,8 @@ def winnow(texts: list[str], k: int = 16, window: int = 48) -> list[tuple[np.nda
             whole = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4")
             h = U(n)
             for c in whole:
-                h = kit.mix(np.array([h * U(0x100000001B3) + U(c)], np.uint64))[0]
+                with np.errstate(over="ignore"):  # products are meant to wrap
+                    h = kit.mix(np.array([h * U(0x100000001B3) + U(c)], np.uint64))[0]
             out.append((np.array([h >> U(32)], np.uint32), np.zeros(1, np.uint32)))
             at += n
             continue
