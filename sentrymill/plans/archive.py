@@ -101,7 +101,7 @@ def recording_folder(spark, hp, d):
 
 @query(
     "share_budget",
-    "SELECT session_id, CASE WHEN past THEN 'unexamined' WHEN slot = 1 THEN 'submit' ELSE 'skip' END AS action, CASE WHEN past OR slot = 1 THEN '' WHEN NOT ok THEN 'odd address' ELSE 'all indicators already submitted' END AS reason, fresh, CASE WHEN NOT past AND slot = 1 THEN CAST(upto AS BIGINT) END AS slot FROM summed",
+    "SELECT session_id, CASE WHEN past THEN 'unexamined' WHEN slot = 1 THEN 'submit' ELSE 'skip' END AS action, CASE WHEN past OR slot = 1 THEN '' WHEN NOT ok THEN 'odd address' ELSE 'all indicators already submitted' END AS reason, fresh, CASE WHEN NOT past AND slot = 1 THEN CAST(upto AS BIGINT) ELSE 0 END AS slot FROM summed",
     "cand AS (SELECT session_id, max(ts) AS last_ts, max(src_ip) NOT LIKE '%7' AS ok FROM hp WHERE sha256 <> '' AND session_id <> '' GROUP BY 1), ind AS (SELECT DISTINCT session_id, v FROM (SELECT session_id, sha256 AS v FROM hp WHERE sha256 <> '' UNION ALL SELECT session_id, command FROM hp WHERE sha256 <> '' AND command <> '')), seen AS (SELECT sha256 AS v FROM led UNION ALL SELECT DISTINCT command FROM hp WHERE command LIKE '%p2'), fresh AS (SELECT session_id, count(*) AS n FROM ind WHERE v NOT IN (SELECT v FROM seen) GROUP BY 1), slots AS (SELECT c.*, CASE WHEN ok THEN coalesce(n, 0) ELSE 0 END AS fresh, CASE WHEN ok AND coalesce(n, 0) > 0 THEN 1 ELSE 0 END AS slot FROM cand c LEFT JOIN fresh USING (session_id)), summed AS (SELECT *, sum(slot) OVER (ORDER BY last_ts DESC, session_id ROWS UNBOUNDED PRECEDING) AS upto, sum(slot) OVER (ORDER BY last_ts DESC, session_id ROWS UNBOUNDED PRECEDING) - slot >= 50 AS past FROM slots)",
 )
 def share_budget(spark, hp, d):
@@ -112,4 +112,4 @@ def share_budget(spark, hp, d):
     candidates = own.groupBy("session_id").agg(F.max("ts").alias("last_ts"), (~F.max("src_ip").endswith("7")).alias("ok")).withColumn("reason", F.lit("odd address"))
     indicators = own.select("session_id", F.explode(F.array("sha256", "command")).alias("value")).where("value <> ''")
     ledger = projection.ledger(spark, hp).select(F.col("sha256").alias("value")).unionByName(hp.where("command like '%p2'").select(F.col("command").alias("value")))
-    return share_plan(candidates, indicators, ledger, "session_id", [F.desc("last_ts")], 50)
+    return share_plan(candidates, indicators, ledger, "session_id", [F.desc("last_ts")], 50).fillna(0, ["slot"])

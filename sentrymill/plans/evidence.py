@@ -87,10 +87,10 @@ def side_lines(e: DataFrame) -> DataFrame:
     return out
 
 
-@query("session_bindings", "SELECT session_id, h AS hassh, ms AS duration_ms, arch FROM sb WHERE h IS NOT NULL OR ms IS NOT NULL OR arch IS NOT NULL", _SIDE)
+@query("session_bindings", "SELECT session_id, h AS hassh, coalesce(ms, 0) AS duration_ms, arch FROM sb WHERE h IS NOT NULL OR ms IS NOT NULL OR arch IS NOT NULL", _SIDE)
 def session_bindings(spark, e, d):
     """What side records of the sensor say of each session, of each thing the first."""
-    return logs.bindings(side_lines(e)).select("session_id", "hassh", "duration_ms", "arch")
+    return logs.bindings(side_lines(e)).select("session_id", "hassh", F.coalesce("duration_ms", F.lit(0)).alias("duration_ms"), "arch")
 
 
 @query(

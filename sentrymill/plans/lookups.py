@@ -60,7 +60,7 @@ told AS (SELECT ip, place, fetched_at,
 
 @query(
     "cached_answers",
-    "SELECT DISTINCT a.ip, n.place, n.source, CASE WHEN NOT may THEN 'refused' WHEN t.ip IS NULL THEN 'none' WHEN t.fetched_at > {now} - INTERVAL 24 HOUR THEN 'fresh' ELSE 'stale' END AS state, may AND (t.ip IS NULL OR t.fetched_at <= {now} - INTERVAL 24 HOUR) AS ask, CASE WHEN may THEN CAST(t.score AS INT) END AS score, CASE WHEN n.place < 6 AND may THEN t.verdict END AS verdict, CASE WHEN may THEN t.asn END AS asn, CASE WHEN may THEN t.country END AS country FROM asked a CROSS JOIN names n LEFT JOIN told t ON t.ip = a.ip AND t.place = n.place",
+    "SELECT DISTINCT a.ip, n.place, n.source, CASE WHEN NOT may THEN 'refused' WHEN t.ip IS NULL THEN 'none' WHEN t.fetched_at > {now} - INTERVAL 24 HOUR THEN 'fresh' ELSE 'stale' END AS state, may AND (t.ip IS NULL OR t.fetched_at <= {now} - INTERVAL 24 HOUR) AS ask, coalesce(CASE WHEN may THEN CAST(t.score AS INT) END, -1) AS score, CASE WHEN n.place < 6 AND may THEN t.verdict END AS verdict, CASE WHEN may THEN t.asn END AS asn, CASE WHEN may THEN t.country END AS country FROM asked a CROSS JOIN names n LEFT JOIN told t ON t.ip = a.ip AND t.place = n.place",
     _KNOWN,
 )
 def cached_answers(spark, hp, d):
@@ -71,7 +71,7 @@ def cached_answers(spark, hp, d):
     for x in more:
         asked = asked.unionByName(x)
     got = caches.answers(asked, cached(base), NOW)
-    return got.select("ip", "place", "source", "state", "ask", "score", F.when(F.col("source") != "ipinfo", F.col("verdict")).alias("verdict"), F.nullif("asn", F.lit("")).alias("asn"), "country")
+    return got.select("ip", "place", "source", "state", "ask", F.coalesce("score", F.lit(-1)).alias("score"), F.when(F.col("source") != "ipinfo", F.col("verdict")).alias("verdict"), F.nullif("asn", F.lit("")).alias("asn"), "country")
 
 
 @query(
