@@ -189,6 +189,27 @@ def host_kind(spark, e, d):
     return n.select("host", net.host_verdict(F.col("host")).alias("verdict"), "n")
 
 
+#: Hosts that the events stand for, of every kind; both dialects read this text.
+HOSTS_SQL = """
+SELECT CASE id % 12 WHEN 0 THEN concat('dl', CAST(id % 7 AS STRING), '.example.net') WHEN 1 THEN 'BIT.LY' WHEN 2 THEN 'www.tinyurl.com.' WHEN 3 THEN concat('nas', CAST(id % 9 AS STRING), '.lan')
+  WHEN 4 THEN CAST(2130706433 + id % 9 AS STRING) WHEN 5 THEN concat('0x7f', lower(hex(id % 16))) WHEN 6 THEN src_ip WHEN 7 THEN concat('10.1.2.', CAST(id % 256 AS STRING)) WHEN 8 THEN 'localhost'
+  WHEN 9 THEN concat('host', CAST(id % 11 AS STRING)) WHEN 10 THEN '' ELSE concat(lpad('', CAST(240 + id % 20 AS INT), 'a'), '.org') END AS host FROM hp
+"""
+_SHORT = "list_contains(['" + "', '".join(net.SHORTENERS) + "'], regexp_replace(h, '^www\\.', ''))"
+_SUFFIX = "regexp_matches(h, '(" + "|".join(x.replace(".", "\\.") for x in net.PRIVATE_SUFFIXES) + ")$')"
+_QUAD = "list_transform(string_split(h, '.'), lambda x: CAST(x AS BIGINT))"
+_INSIDE = "(q[1] IN (0, 10, 127) OR q[1] >= 224 OR (q[1] = 100 AND q[2] BETWEEN 64 AND 127) OR (q[1] = 169 AND q[2] = 254) OR (q[1] = 172 AND q[2] BETWEEN 16 AND 31) OR (q[1] = 192 AND q[2] = 168))"
+
+
+@query(
+    "host_verdicts",
+    f"SELECT host, CASE WHEN h = '' THEN 'empty host' WHEN strlen(h) > 253 THEN 'host too long' WHEN q IS NOT NULL THEN CASE WHEN {_INSIDE} THEN 'private or reserved address' ELSE 'ip' END WHEN regexp_matches(h, '^(0x[0-9a-f]+|[0-9.]+)$') THEN 'numeric host' WHEN h = 'localhost' OR {_SUFFIX} THEN 'private name' WHEN {_SHORT} THEN 'link shortener' WHEN NOT contains(h, '.') THEN 'not a full name' ELSE 'domain' END AS kind FROM (SELECT host, h, CASE WHEN regexp_matches(h, '^[0-9]{{1,3}}(\\.[0-9]{{1,3}}){{3}}$') THEN {_QUAD} END AS q FROM (SELECT DISTINCT host, lower(trim(regexp_replace(host, '\\.+$', ''))) AS h FROM ({HOSTS_SQL})))",
+)
+def host_verdicts(spark, e, d):
+    hosts = spark.sql(HOSTS_SQL.replace("FROM hp", "FROM {hp}"), hp=e).distinct()
+    return hosts.select("host", net.host_verdict(F.col("host")).alias("kind"))
+
+
 @query("coverage_note", "SELECT count(*) AS total, count(*) AS analysed, 'all events of the window' AS note FROM hp WHERE ts >= {d7}")
 def coverage_note(spark, e, d):
     return A.since(e, D7).agg(F.count("*").alias("total")).select("total", F.col("total").alias("analysed"), F.lit("all events of the window").alias("note"))
