@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -10,6 +11,7 @@ from ..functions import commands as X
 from ..functions import net
 from ..functions.deobf import deobfuscated
 from ..operators import aggregates as A
+from ..operators import scratch
 from ..sources import exports, logs, projection
 from .base import D1, D7, query
 
@@ -238,12 +240,43 @@ def session_replay(spark, e, d):
     return c.withColumn("line", line).groupBy("session_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ts", "id", "line"))), lambda x: x["line"]), "\n").alias("script"))
 
 
-@query("deobfuscated_commands")
+_PIPE = "regexp_extract(command, 'echo ([A-Za-z0-9+/=]{16,}) \\| base64 -d', 1)"
+
+
+@query("deobfuscated_commands", f"SELECT command, count(*) AS hits, decode(from_base64({_PIPE})) AS final, 'echo-pipe-base64' AS kinds FROM hp WHERE kind = 'command' AND {_PIPE} <> '' GROUP BY 1, 3")
 def deobf(spark, e, d):
     c = e.where("kind = 'command' and command <> ''").groupBy("command").agg(F.count("*").alias("hits"))
     return c.withColumn("d", deobfuscated("command")).where(F.size("d.layers") > 0).select("command", "hits", F.col("d.final").alias("final"), F.array_join("d.layers.kind", ",").alias("kinds"))
 
 
+def wrapped(e):
+    """Commands wrapped in every way that is read, one of them twice, and some that are not wrapped."""
+    inner = F.concat(F.lit("uname -a; id "), F.col("k").cast("string"))
+    encoded = lambda c: F.regexp_replace(F.base64(c.cast("binary")), "[\r\n]", "")
+    bytes_of = lambda c, head: F.regexp_replace(F.hex(c.cast("binary")), "(..)", head + "$1")
+    printed = F.concat(F.lit('printf "'), bytes_of(inner, r"\\x"), F.lit('"'))
+    piped = lambda c: F.concat(F.lit("echo -n '"), encoded(c), F.lit("' | base64 -d | bash"))
+    forms = [inner, piped(inner), F.concat(F.lit('bash -c "$(echo '), encoded(inner), F.lit(' | base64 -d)"')), printed, F.concat(F.lit('eval "'), inner, F.lit('"')), bytes_of(inner, "%"), piped(printed)]
+    keys = e.select((F.col("id") % 1000).alias("k"), (F.col("id") % 7).alias("w")).distinct()
+    return keys.select("k", "w", F.element_at(F.array(*forms), (F.col("w") + 1).cast("int")).alias("command"))
+
+
+@query("unwrapped_commands", "SELECT DISTINCT id % 1000 AS k, id % 7 AS w, concat('uname -a; id ', CAST(id % 1000 AS STRING)) AS final, CASE id % 7 WHEN 1 THEN 'echo-pipe-base64' WHEN 2 THEN 'echo-pipe-base64' WHEN 3 THEN 'printf-hex' WHEN 4 THEN 'eval' WHEN 5 THEN 'urlencoded' ELSE 'echo-pipe-base64,printf-hex' END AS kinds FROM hp WHERE id % 7 <> 0")
+def unwrapped(spark, e, d):
+    """What wrapped commands say, and through which layers."""
+    got = wrapped(e).withColumn("d", deobfuscated("command")).where(F.size("d.layers") > 0)
+    return got.select("k", "w", F.col("d.final").alias("final"), F.array_join("d.layers.kind", ",").alias("kinds"))
+
+
+@query("unwrapped_totals", "SELECT count(*) AS scanned, CAST(sum(CASE WHEN w <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS matched FROM (SELECT DISTINCT id % 1000 AS k, id % 7 AS w FROM hp)")
+def unwrapped_totals(spark, e, d):
+    """How many commands a pass read and how many were wrapped, observed while its rows are stored."""
+    seen = Observation()
+    rows = wrapped(e).withColumn("d", deobfuscated("command")).observe(seen, F.count(F.lit(1)).alias("scanned"), F.count_if(F.size("d.layers") > 0).alias("matched"))
+    scratch.drop(scratch.cut(rows.where(F.size("d.layers") > 0)))
+    return spark.createDataFrame([(seen.get["scanned"], seen.get["matched"])], "scanned long, matched long")
+
+
 _PUBLIC = "(NOT (src_ip LIKE '100.64.%'))"
 
 
