@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..functions import caches, providers
+from ..functions import caches, providers, vetting
 from ..operators import aggregates as A
 from ..operators import scratch
 from ..sources.projection import NOW
@@ -111,3 +111,42 @@ def capture_queue(spark, hp, d):
     queue.claim("c", "2024-02-01 00:01:15", 3600, 10)
     queue.claim("d", "2024-02-01 00:06:00", 300, 50)
     return queue.rows().select("url", "status", "attempt_count", F.date_format("next_attempt_at", "yyyy-MM-dd HH:mm:ss").alias("next_attempt_at"), F.split("claimed_by", "/")[0].alias("claimed_by"), "detail")
+
+
+@query(
+    "url_vetting",
+    "SELECT id, CASE id % 11 WHEN 0 THEN 'not an http(s) address' WHEN 1 THEN 'credentials in the address' WHEN 2 THEN 'not fetched by us' WHEN 3 THEN 'fetch did not succeed' WHEN 4 THEN 'no payload' WHEN 5 THEN 'payload too small' WHEN 6 THEN 'link shortener' WHEN 7 THEN 'private or reserved address' WHEN 8 THEN 'too old' WHEN 9 THEN 'unknown fetch time' ELSE '' END AS reason FROM hp WHERE kind = 'file_download'",
+)
+def url_vetting(spark, hp, d):
+    """Why each download's address may not be passed on, if it may not."""
+    k = F.col("id") % 11
+    url = F.when(k == 0, "ftp://a.example.net/x").when(k == 1, "http://u:p@a.example.net/x").when(k == 6, "https://bit.ly/x").when(k == 7, "http://10.0.0.8:8080/x").otherwise(F.concat(F.lit("http://dl"), (F.col("id") % 6).cast("string"), F.lit(".example.net/p")))
+    at = F.when(k == 8, F.lit("2020-01-01").cast(_T)).when(k != 9, F.lit(NOW).cast(_T) - F.expr("interval 1 hour"))
+    reason = vetting.url_reason(url, F.when(k == 2, "cowrie_file_upload").otherwise("quarantine_fetch"), F.when(k == 3, "failed").otherwise("fetched"), F.when(k == 4, "").otherwise("ab"), F.when(k == 5, 3).otherwise(5000), F.lit("ELF"), at, F.lit(NOW).cast(_T))
+    return hp.where("kind = 'file_download'").select("id", F.coalesce(reason, F.lit("")).alias("reason"))
+
+
+@query(
+    "ioc_vetting",
+    "SELECT id, CASE WHEN id % 5 = 0 THEN 'refused before' WHEN id % 5 = 1 THEN 'malformed digest' WHEN id % 5 = 2 THEN 'no family label' ELSE '' END AS reason, concat('url=http://', h, ':8080/x|', CASE WHEN id % 2 = 0 THEN 'ip:port=' ELSE 'domain=' END, h, CASE WHEN id % 2 = 0 THEN ':8080' ELSE '' END, '|sha256=', lower(sha256(CAST(id AS STRING)))) AS offered FROM (SELECT id, CASE WHEN id % 2 = 0 THEN concat('45.67.1.', CAST(id % 250 AS STRING)) ELSE concat('h', CAST(id % 9 AS STRING), '.example.net') END AS h FROM hp WHERE kind = 'file_download')",
+)
+def ioc_vetting(spark, hp, d):
+    """Whether a download's indicators may be passed on, and which they are."""
+    k, sha = F.col("id") % 5, F.sha2(F.col("id").cast("string"), 256)
+    host = F.when(F.col("id") % 2 == 0, F.concat(F.lit("45.67.1."), (F.col("id") % 250).cast("string"))).otherwise(F.concat(F.lit("h"), (F.col("id") % 9).cast("string"), F.lit(".example.net")))
+    url = F.concat(F.lit("http://"), host, F.lit(":8080/x"))
+    reason = vetting.ioc_reason(F.when(k == 0, "refused before"), F.when(k == 1, "xyz").otherwise(sha), F.when(k == 2, "nobody").otherwise(" Mozi "))
+    offered = F.array_join(F.transform(vetting.iocs(url, F.upper(sha)), lambda i: F.concat(i["kind"], F.lit("="), i["value"])), "|")
+    return hp.where("kind = 'file_download'").select("id", F.coalesce(reason, F.lit("")).alias("reason"), offered.alias("offered"))
+
+
+@query(
+    "sample_vetting",
+    "SELECT id, CASE id % 6 WHEN 0 THEN 'terminal recording' WHEN 1 THEN 'too small' WHEN 2 THEN 'key material' WHEN 3 THEN 'too old' WHEN 4 THEN 'nothing that marks it as malware' ELSE '' END AS reason FROM hp WHERE kind IN ('file_download', 'file_upload')",
+)
+def sample_vetting(spark, hp, d):
+    """Why each payload may not be passed on, if it may not."""
+    k = F.col("id") % 6
+    at = F.when(k == 3, F.lit("2020-01-01").cast(_T)).otherwise(F.lit(NOW).cast(_T) - F.expr("interval 1 hour"))
+    reason = vetting.sample_reason(F.when(k == 0, "cowrie_tty").otherwise("elsewhere"), F.when(k == 1, 2).otherwise(9000), F.when(k == 2, "SSH key").otherwise("unknown"), F.when(k == 5, "Mozi").otherwise(""), F.array(F.lit("linux")), at, F.lit(NOW).cast(_T))
+    return hp.where("kind in ('file_download', 'file_upload')").select("id", F.coalesce(reason, F.lit("")).alias("reason"))
