@@ -1,13 +1,11 @@
-"""Addresses and hosts as column expressions: IPv4 stays in generated code, IPv6 goes through one Arrow function."""
+"""Addresses and hosts as column expressions; no Python runs for them."""
 
 from __future__ import annotations
 
 import ipaddress
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Address blocks that are not public, beside what is multicast or unspecified.
 NON_PUBLIC_V4 = (
@@ -73,27 +71,22 @@ def in_blocks(number: Column, blocks: tuple[str, ...]) -> Column:
     return out
 
 
-def _public_v6(ip: pd.Series) -> pd.Series:
-    nets = [ipaddress.ip_network(b) for b in NON_PUBLIC_V6]
-    nets4 = [ipaddress.ip_network(b) for b in NON_PUBLIC_V4]
-
-    def one(text: str | None) -> bool:
-        try:
-            a = ipaddress.ip_address(text)
-        except ValueError:
-            return False
-        if a.version == 6 and a.ipv4_mapped:
-            a = a.ipv4_mapped
-        return not any(a in n for n in (nets if a.version == 6 else nets4))
-
-    return ip.map(one)
+def in_hex_blocks(digits: Column, blocks: tuple[str, ...]) -> Column:
+    """Whether an address in 32 hex digits lies in one of the blocks (a bounded list of literals); IPv4 lies under 96 zero bits."""
+    out = F.lit(False)
+    for b in blocks:
+        net = ipaddress.ip_network(b)
+        out = out | digits.between(f"{int(net.network_address):032x}", f"{int(net.broadcast_address):032x}")
+    return out
 
 
 def is_public(ip: Column, v6: bool = True) -> Column:
-    """Globally routable. Without ``v6`` no Python runs and IPv6 texts are not public."""
-    n = ipv4_number(ip)
-    out = F.when(n.isNotNull(), ~in_blocks(n, NON_PUBLIC_V4))
-    return out.when(ip.contains(":"), F.pandas_udf(_public_v6, T.BooleanType())(ip)).otherwise(F.lit(False)) if v6 else out.otherwise(F.lit(False))
+    """Globally routable. Without ``v6`` IPv6 texts are not public."""
+    if not v6:
+        n = ipv4_number(ip)
+        return F.coalesce(~in_blocks(n, NON_PUBLIC_V4), F.lit(False))
+    inside = lambda digits: F.when(digits.startswith("0" * 24), in_hex_blocks(digits, NON_PUBLIC_V4) | (digits == "0" * 31 + "1")).otherwise(in_hex_blocks(digits, NON_PUBLIC_V6))
+    return F.coalesce(~let(address_hex(ip), inside), F.lit(False))
 
 
 def askable(ip: Column) -> Column:
@@ -104,27 +97,8 @@ def askable(ip: Column) -> Column:
     return F.coalesce(let(address_hex(ip), lambda digits: F.when(digits.startswith("0" * 24), low(digits)).otherwise(wide(digits))), F.lit(False))
 
 
-def _in_v6(blocks: tuple[str, ...]):
-    """An Arrow function: whether an address text is in one of the IPv6 blocks."""
-
-    def within(ip: pd.Series) -> pd.Series:
-        nets = [ipaddress.ip_network(b) for b in blocks]
-
-        def one(text: str | None) -> bool:
-            try:
-                a = ipaddress.ip_address(text)
-            except ValueError:
-                return False
-            return a.version == 6 and any(a in n for n in nets)
-
-        return ip.map(one)
-
-    return F.pandas_udf(within, T.BooleanType())
-
-
 def in_set(ip: Column, entries: tuple[str, ...]) -> Column:
-    """Whether an address is one of the entries: exact texts or blocks. Entries that are neither match as text; Python runs
-    for IPv6 texts only, and only if an entry is a block of those."""
+    """Whether an address is one of the entries: exact texts or blocks. Entries that are neither match as text."""
     exact, blocks, wide = [], [], []
     for e in entries:
         try:
@@ -136,7 +110,7 @@ def in_set(ip: Column, entries: tuple[str, ...]) -> Column:
         else:
             (blocks if net.version == 4 else wide).append(str(net))
     found = F.coalesce(ip.isin(*exact) if exact else F.lit(False), F.lit(False)) | F.coalesce(in_blocks(ipv4_number(ip), tuple(blocks)), F.lit(False))
-    return F.when(ip.contains(":"), found | _in_v6(tuple(wide))(ip)).otherwise(found) if wide else found
+    return F.when(ip.contains(":"), found | F.coalesce(let(address_hex(ip), lambda digits: in_hex_blocks(digits, tuple(wide))), F.lit(False))).otherwise(found) if wide else found
 
 
 def join_host_port(host: Column, port: Column) -> Column:

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .net import host_verdict
+from .net import host_verdict, let
 
 # Floors, ages in days, kinds and origins that the vetting rules name.
 MIN_BYTES, URL_DAYS, SAMPLE_DAYS = 64, 3, 10
@@ -37,9 +37,8 @@ def url_reason(url: Column, origin: Column, status: Column, sha256: Column, size
     u = F.trim(url)
     scheme, host, user = (F.try_parse_url(u, F.lit(p)) for p in ("PROTOCOL", "HOST", "USERINFO"))
     port = F.regexp_extract(F.coalesce(F.try_parse_url(u, F.lit("AUTHORITY")), F.lit("")), r":([^:\]]*)\z", 1)
-    verdict = host_verdict(host)
     age = _age_days(fetched_at, now)
-    return (
+    early = (
         F.when(~F.coalesce(F.lower(scheme).isin("http", "https"), F.lit(False)), "not an http(s) address")
         .when(F.coalesce(host, F.lit("")) == "", "no host")
         .when(user.isNotNull(), "credentials in the address")
@@ -49,11 +48,10 @@ def url_reason(url: Column, origin: Column, status: Column, sha256: Column, size
         .when(F.coalesce(sha256, F.lit("")) == "", "no payload")
         .when(F.coalesce(size, F.lit(0)) < MIN_BYTES, "payload too small")
         .when(F.coalesce(kind.isin(*BENIGN), F.lit(False)), "benign content")
-        .when(~verdict.isin("ip", "domain"), verdict)
-        .when(fetched_at.isNull(), "unknown fetch time")
-        .when(age > min(days, URL_DAYS), "too old")
-        .when(age < -1 / 24, "fetched in the future")
     )
+    named = let(host, lambda h: let(host_verdict(h), lambda v: F.when(~v.isin("ip", "domain"), v)))
+    late = F.when(fetched_at.isNull(), "unknown fetch time").when(age > min(days, URL_DAYS), "too old").when(age < -1 / 24, "fetched in the future")
+    return F.coalesce(early, named, late)
 
 
 def ioc_reason(reason: Column, sha256: Column, family: Column) -> Column:
