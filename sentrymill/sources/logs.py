@@ -70,7 +70,8 @@ def sensor_lines(lines: DataFrame) -> DataFrame:
     typed = F.col("j").isNotNull() & F.col("j._bad").isNull()
     for f in TEXTS:
         typed = typed & kind(f).isin("STRING", "VOID")
-    df = df.withColumn("ok", F.coalesce(typed, F.lit(False)))
+    # a row a line, made by a generator: what is asked of parsed fields is not pushed below it, so that a line is parsed once
+    df = df.select(F.explode(F.array(F.struct("there", F.coalesce(typed, F.lit(False)).alias("ok"), "j"))).alias("r")).select("r.there", "r.ok", "r.j")
     return df.select("there", "ok", *[F.when(F.col("ok"), F.try_variant_get(f"j.{f}", "$", "string") if f in TEXTS else F.col(f"j.{f}")).alias(f) for f in FIELDS])
 
 
