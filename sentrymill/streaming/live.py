@@ -20,11 +20,11 @@ def counts(observed: dict) -> dict[str, int]:
     return {k: int(v or 0) for k, v in observed.items()}
 
 
-def take(store: Store, lines: DataFrame, stream: str = "", batch: int = 0, source: str = "cowrie") -> dict[str, int]:
+def take(store: Store, lines: DataFrame, stream: str = "", batch: int = 0, source: str = "cowrie", fit: bool = False) -> dict[str, int]:
     """Parses ``value`` lines of a sensor log (or a journal) once, folds them into the store, and says how many lines it saw, kept and skipped."""
     seen = Observation()
     if source == "journal":
-        records = logs.journal(lines).withColumn("event", F.col("kind").isNotNull())
+        records = logs.journal(lines, fit).withColumn("event", F.col("kind").isNotNull())
     else:
         records = logs.sensor_records(lines)
     records = scratch.cut(records.observe(seen, F.count(F.lit(1)).alias("lines"), F.count_if("event").alias("events"), F.count_if("skipped").alias("skipped")))
@@ -34,11 +34,11 @@ def take(store: Store, lines: DataFrame, stream: str = "", batch: int = 0, sourc
     return counts(seen.get) | {"taken": int(fresh)}
 
 
-def start(spark: SparkSession, path: str, store: Store, checkpoint: str, seconds: int | None = None, source: str = "cowrie", report: Callable[[dict], None] | None = None) -> StreamingQuery:
+def start(spark: SparkSession, path: str, store: Store, checkpoint: str, seconds: int | None = None, source: str = "cowrie", report: Callable[[dict], None] | None = None, fit: bool = False) -> StreamingQuery:
     """Follows growing log files below a path or glob; ``seconds`` None takes what is there and ends. ``report`` gets each batch's counts."""
 
     def batch(lines: DataFrame, i: int) -> None:
-        got = take(store, lines.select("value"), f"{source}:{path}", i, source)
+        got = take(store, lines.select("value"), f"{source}:{path}", i, source, fit)
         if report:
             report(got)
 

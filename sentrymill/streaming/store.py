@@ -43,8 +43,8 @@ def actor_of(hassh: Column) -> Column:
 
 
 class Store:
-    def __init__(self, spark: SparkSession, root: str, buckets: int = 64, admins: tuple[str, ...] = ()):
-        self.spark, self.buckets, self.admins = spark, buckets, admins
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64, admins: tuple[str, ...] = (), fit: bool = False):
+        self.spark, self.buckets, self.admins, self.fit = spark, buckets, admins, fit
         self.tables = Versions(spark, root, TABLES)
 
     def bucket(self, column: str) -> Column:
@@ -150,7 +150,7 @@ class Store:
         got = events.join(bound.where("coalesce(hassh, '') <> '' and session_id <> ''").select("session_id", F.col("hassh").alias("_h")), "session_id", "left")
         got = got.withColumn("hassh", F.coalesce(F.nullif("hassh", F.lit("")), "_h", F.lit(""))).drop("_h")
         got = got.withColumn("actor_id", F.when(F.col("src_ip") == "", "").otherwise(actor_of(F.col("hassh"))))
-        return (without_admins(got, self.admins) if self.admins else got).select(*events.columns)
+        return (without_admins(got, self.admins, self.fit) if self.admins else got).select(*events.columns)
 
     def late(self, state: dict, late: DataFrame, replaced: dict) -> tuple[DataFrame, DataFrame] | None:
         """Moves stored events of sessions whose fingerprint comes late; (actors to rebuild, all their stored events), None if none moved."""
