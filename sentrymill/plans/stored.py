@@ -111,7 +111,7 @@ def followed_logs(spark, e, d):
     folder, s = f"{scratch.shared_dir(spark).removeprefix('file://')}/logs-{uuid.uuid4().hex}", store(spark)
     for source, lines in (("cowrie", sensor_log(e)), ("journal", journal_lines(e))):
         lines.write.text(f"{folder}/{source}")
-        live.start(spark, f"{folder}/{source}/part-*", s, f"{folder}/state-{source}", source=source).awaitTermination()
+        live.start(spark, f"{folder}/{source}/part-*", s, f"{folder}/state-{source}", source=source, fit=True).awaitTermination()
     return s.actors().select("actor_id", "source", F.col("event_count").alias("n"), A.stamp("first_seen").alias("first_seen"), A.stamp("last_seen").alias("last_seen"))
 
 

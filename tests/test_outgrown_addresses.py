@@ -19,6 +19,7 @@ NAMES = [
     "askable_addresses",
     "cached_answers",
     "country_fallback",
+    "followed_logs",
 ]
 
 
