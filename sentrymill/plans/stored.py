@@ -124,7 +124,7 @@ def skipped_lines(spark, e, d):
     out = []
     for source, lines, spoilt in (("cowrie", sensor_log(e), F.concat(F.lit("["), "value")), ("journal", journal_lines(e), F.regexp_replace("value", "from [0-9.]+", "from nowhere"))):
         both = lines.unionByName(lines.select(spoilt.alias("value"))).unionByName(spark.createDataFrame([("",)], "value string"))
-        got = live.take(store(spark), both, source=source)
+        got = live.take(store(spark), both, source=source, fit=True)
         out.append((source, got["lines"], got["events"], got["skipped"]))
     return spark.createDataFrame(out, "source string, lines long, events long, skipped long")
 

@@ -27,6 +27,7 @@ NAMES = [
     "report_vetting",
     "report_plan",
     "report_suggestions",
+    "skipped_lines",
 ]
 
 
