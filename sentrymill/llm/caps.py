@@ -6,7 +6,8 @@ score exceeds a threshold, which about ``lists`` of them do. Books and lists gro
 (``sized``), so that a filter holds about as many vectors whatever the input. Vectors that meet in a filter are compared in blocks
 by cosine in double precision. A pair is counted in the first filter that both pass, so no pair is emitted
 or counted twice: tasks give link counts and spanning edges only. Filters that many vectors pass are dealt
-into blocks, and every pair of blocks is a task of its own.
+into blocks, and every pair of blocks is a task of its own. A vector goes to each of its filters, many times its own bytes,
+so filters are worked off in rounds, each of which shuffles a bounded multiple of the input; its files are deleted before the next.
 
 Equal vectors are one class with a weight. Vectors that are null, empty, zero, or hold null or non-finite
 components link with nothing, and vectors of different lengths do not link with each other. Repeated
@@ -25,9 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.scratch import together
 from . import kit, links
 
 BLOCK = 2048
+#: Bytes that a round may shuffle: so many, or so many times the bytes of the vectors if that is more.
+ROUND, TIMES = 1 << 30, 1.5
 
 
 class Code:
@@ -84,12 +88,13 @@ def _bodies(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(run, "vec_id long, _cls long, _body binary")
 
 
-def near(docs: DataFrame, share: float = 0.9, words: int | None = None, lists: float | None = None, held: int = 256) -> DataFrame:
+def near(docs: DataFrame, share: float = 0.9, words: int | None = None, lists: float | None = None, held: int = 256, rounds: int | None = None) -> DataFrame:
     """For each vector its links with cosine >= ``share``, its component and whether it is the one kept.
 
     ``words`` and ``lists``: words of a book and filters of a vector, from the number of vectors where they are not given;
     ``held``: about how many vectors a filter then holds. Filters that hold more than two blocks are known on the driver
-    (the 100,000 largest at most) and dealt into blocks."""
+    (the 100,000 largest at most) and dealt into blocks. ``rounds``: among how many rounds the filters are shared, from the bytes that
+    they take where it is not given; the result does not depend on it."""
     spark = docs.sparkSession
     kind = np.float64 if "double" in docs.schema["embedding"].dataType.simpleString() else np.float32
     size = np.dtype(kind).itemsize
@@ -116,11 +121,25 @@ def near(docs: DataFrame, share: float = 0.9, words: int | None = None, lists: f
     def passes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kit.trim()
         for b in batches:
-            if got := decode(b.column(0).to_pylist()):
-                f, n = np.unique(np.concatenate(got), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(n)], names=["f", "n"])
+            got = np.frombuffer(b"".join(b.column(0).to_pylist()), index)
+            if len(got):
+                f, n = np.unique(got, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(f, pa.int64()), pa.array(n)], names=["f", "n"])
 
-    counts = classes.select("_body").mapInArrow(passes, "f long, n long").groupBy("f").agg(F.sum("n").alias("n"))
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kit.trim()
+        for b in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
+            fs = [f.astype(index).tobytes() for f in decode(b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fs, pa.binary())], names=["_cls", "_w", "_body", "_fs"])
+
+    # each vector with its filters, decoded once for all rounds
+    coded = kit.cut(classes.select("_cls", "_w", "_body").mapInArrow(listed, "_cls long, _w long, _body binary, _fs binary"))
+    counts = kit.cut(coded.select("_fs").mapInArrow(passes, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")))
+    blocks = F.when(F.col("n") > 2 * BLOCK, F.ceil(F.col("n") / BLOCK)).otherwise(1)
+    entries = counts.agg(F.sum(F.col("n") * blocks)).collect()[0][0] or 0
+    if rounds is None:
+        own = coded.agg(F.sum(F.length("_body")), F.sum(F.length("_body") + F.length("_fs") / 2 + 48) / F.count("*")).collect()[0]
+        rounds = max(1, int(-(-(entries * (own[1] or 0)) // max(ROUND, TIMES * (own[0] or 0)))))
     sizes = {r["f"]: r["n"] for r in counts.where(F.col("n") > 2 * BLOCK).orderBy(F.desc("n"), "f").limit(100_000).collect()}
 
     def settle(held: list[tuple]) -> tuple[list, list, list]:
@@ -151,15 +170,16 @@ def near(docs: DataFrame, share: float = 0.9, words: int | None = None, lists: f
                 c += x
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["u", "v", "n"])
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def deal(batches: Iterator[pa.RecordBatch], turn: int) -> Iterator[pa.RecordBatch]:
         kit.trim()
+        width = np.dtype(index).itemsize
         for b in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
-            bodies = b.column(2).to_pylist()
-            lists_of = decode(bodies)
             out: list[list] = [[] for _ in range(8)]
-            for cls, w, body, fs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), bodies, lists_of):
-                for k, f in enumerate(fs.tolist()):
-                    whole = body + fs[:k].astype(index).tobytes()  # with the filters before this one
+            for cls, w, body, raw in zip(*[c.to_pylist() for c in b.columns]):
+                fs = np.frombuffer(raw, index)
+                at = np.flatnonzero(kit.mix(fs.astype(np.uint64)) % np.uint64(rounds) == turn) if rounds > 1 else np.arange(len(fs))
+                for k, f in zip(at.tolist(), fs[at].tolist()):
+                    whole = body + raw[: k * width]  # with the filters before this one
                     blocks = -(-sizes[f] // BLOCK) if f in sizes else 1
                     own = (cls * 2654435761 >> 7) % blocks
                     for o in range(blocks):
@@ -168,9 +188,15 @@ def near(docs: DataFrame, share: float = 0.9, words: int | None = None, lists: f
             types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["f", "a", "b", "own", "cls", "w", "body", "width"])
 
-    dealt = classes.mapInArrow(deal, "f long, a int, b int, own int, cls long, w long, body binary, width int")
-    n = 4 * kit.parts(spark)
-    found = kit.cut(dealt.repartition(n, "f", "a", "b").sortWithinPartitions("f", "a", "b").mapInArrow(run, "u long, v long, n long"))
+    n, found = 4 * kit.parts(spark), []
+    for turn in range(rounds):
+        if turn:
+            kit.release(spark)
+        dealt = coded.mapInArrow(lambda batches, turn=turn: deal(batches, turn), "f long, a int, b int, own int, cls long, w long, body binary, width int")
+        found.append(kit.cut(dealt.repartition(n, "f", "a", "b").sortWithinPartitions("f", "a", "b").mapInArrow(run, "u long, v long, n long")))
+        del dealt
+    kit.drop(coded, counts)
+    found = together(found)
     direct = found.where("v is null").groupBy("u").agg(F.sum("n").alias("_n"))
     comps = links.components(found.where("v is not null").select("u", "v"))
     got = rows.select("vec_id", "_cls").join(classes.select("_cls", "_w"), "_cls", "left")

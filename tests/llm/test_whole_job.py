@@ -173,3 +173,16 @@ def test_hot_windows_over_many_batches(spark):
     for hot in (5, 10**6):
         seen, cut = substrings.repeats(df, 35, hot=hot)
         assert {r["_gone"] for r in substrings._trim(cut, 35, False).collect()} == {50} and cut.count() == 300
+
+
+def test_caps_rounds_give_the_same_rows(spark):
+    import numpy as np
+
+    from sentrymill.llm import caps
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(200, 32))
+    x = np.concatenate([x, x[:100] + 0.2 * rng.normal(size=(100, 32)), x[:20]]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    a, b = (sorted(tuple(r) for r in caps.near(df, rounds=n).collect()) for n in (1, 3))
+    assert a == b and sum(r[1] for r in a) > 100
