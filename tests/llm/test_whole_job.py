@@ -175,6 +175,19 @@ def test_hot_windows_over_many_batches(spark):
         assert {r["_gone"] for r in substrings._trim(cut, 35, False).collect()} == {50} and cut.count() == 300
 
 
+def test_packed_fingerprints_hold_the_same_in_less(spark):
+    texts = ["", "abc", "abcdef", "the quick brown fox jumps over the lazy dog " * 40, "x" * 900]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for k, window in ((5, 4), (16, 300)):
+        a, b = ({r["doc_id"]: r for r in fingerprints.fingerprints(docs, k, window, pack=p).collect()} for p in (False, True))
+        for d in a:
+            for c in ("fingerprint", "edited_fingerprint"):
+                assert fingerprints.encoded(*fingerprints.unpacked(b[d][c], window)) == a[d][c]
+            assert a[d][:3] == b[d][:3] and a[d][5:] == b[d][5:]
+    rows = fingerprints.fingerprints(docs, fingerprints.K, fingerprints.WINDOW, pack=True).collect()
+    assert len(rows[3]["fingerprint"]) < 5 * 0.4 * len(texts[3]) * 1.5  # five bytes for each of about 2 entries in 5 code points, in base64
+
+
 def test_caps_rounds_give_the_same_rows(spark):
     import numpy as np
 
