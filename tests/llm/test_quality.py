@@ -76,3 +76,22 @@ def test_odd_rows(spark):
     assert {r["_score"] for r in quality.score(docs, labels.limit(0)).collect()} == {0.5}
     few = spark.createDataFrame([(1, 1), (2, 1), (50, 0), (None, 0), (3, None)], "doc_id long, quality int")
     assert {round(r["_score"], 6) for r in quality.score(docs, few).collect()} == {round(2 / 3, 6)}
+
+
+def test_every_labelled_row_counts(spark):
+    """More rows than any bound on a sample had: rows of one kind, wherever they are, move the model."""
+    rng = np.random.default_rng(3)
+    n = 24_000
+    x, y = rng.normal(size=(n, quality.FEATURES)), np.ones(n, int)
+    y[:5000] = 0
+    x[y == 0, 0] += 4
+    made = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "doc_id long, x array<double>")
+    labels = spark.createDataFrame(list(enumerate(y.tolist())), "doc_id long, quality int")
+    model = quality.learn(made, labels, F.lit(False), 0.3)
+    few = quality.learn(made, labels, F.lit(False), 0.3, least=2000)  # twelve groups instead of two
+    got = model(x)
+    assert abs((got < 0.3).sum() - 5000) <= 1  # the threshold is the exact quantile over all rows
+    assert (got[y == 0] < 0.3).mean() > 0.9 and np.corrcoef(got, few(x))[0, 1] > 0.95  # other pairs, the same rows
+    order = np.sort(rng.normal(size=3000).round(2))
+    scores = spark.createDataFrame([(float(v),) for v in rng.permutation(order)], "s double")
+    assert [quality.kth(scores, k) for k in (1, 2, 1500, 3000)] == [order[k - 1] for k in (1, 2, 1500, 3000)]
