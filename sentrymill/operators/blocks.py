@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.net import address_hex, let
+from . import scratch
 
 #: Levels with no more blocks than this meet the addresses by broadcast.
 FEW = 10_000
@@ -39,9 +40,11 @@ def lookup(addresses: DataFrame, ip: str, blocks: DataFrame, fields: list[str])
     level = F.col("bits") - F.col("bits") % STEP
     digits = (F.col("_level") / 4).cast("int")
     keyed = blocks.where("start is not null").withColumn("_level", level).withColumn("_key", F.substr("start", F.lit(1), digits)).withColumn("_to", _filled(F.col("start"), F.col("bits"), True))
+    # read twice or more below: kept, so that what they are made from is worked out once
+    keyed = scratch.cut(keyed.select("_level", "_key", "start", "_to", "bits", *fields))
     sizes = {r["_level"]: r["count"] for r in keyed.groupBy("_level").count().collect()}  # 17 rows at most
     few, many = ([k for k, n in sizes.items() if (n <= FEW) == small] for small in (True, False))
-    asked = addresses.select(F.col(ip).alias("_ip")).where("_ip is not null").distinct().withColumn("_hex", address_hex(F.col("_ip")))
+    asked = scratch.cut(addresses.select(F.col(ip).alias("_ip")).where("_ip is not null").distinct().withColumn("_hex", address_hex(F.col("_ip"))))
     found = None
     for levels, small in ((few, True), (many, False)):
         if not levels:

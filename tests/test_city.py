@@ -132,3 +132,18 @@ def test_address_texts(spark):
         if t == "1:2:3:4:5:6:7::8" or "%" in t:  # two colons must stand for a group at least; zones are refused
             want = None
         assert got[t] == want, t
+
+
+def test_addresses_are_worked_out_once(spark, monkeypatch):
+    monkeypatch.setattr(B, "FEW", 1)  # one level is broadcast, one shuffled
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    ips = spark.createDataFrame([("10.0.0.1",), ("11.2.0.9",)], "ip string").mapInArrow(counted, "ip string")
+    table = spark.createDataFrame([("10.0.0.0/8",), ("11.0.0.0/8",), ("11.2.0.0/16",)], "network string").select("network", B.from_cidr(F.col("network")).alias("b")).select("network", "b.*")
+    got = {r["ip"]: r["network"] for r in B.lookup(ips, "ip", table, ["network"]).collect()}
+    assert got == {"10.0.0.1": "10.0.0.0/8", "11.2.0.9": "11.2.0.0/16"} and seen.value == 2
