@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import blocks
+from ..operators import blocks, scratch
 from .base import query
 
 #: Addresses of both kinds that the events stand for; both dialects read this text.
@@ -73,7 +73,7 @@ def _(spark, hp, sf_dir):
 )
 def _(spark, hp, sf_dir):
     """Events and addresses a place: events are counted by address before they meet their place."""
-    counts = hp.groupBy("src_ip").agg(F.count("*").alias("n"))
+    counts = scratch.cut(hp.groupBy("src_ip").agg(F.count("*").alias("n")))
     found = blocks.lookup(counts, "src_ip", places(spark, hp), FIELDS)
     cc, city = (F.coalesce(c, F.lit("")).alias(c) for c in ("cc", "city"))
     return counts.join(found, "src_ip", "left").groupBy(cc, city).agg(F.sum("n").alias("n"), F.count("*").alias("ips"))
