@@ -186,8 +186,8 @@ def _occurrences(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, _id long, _k long, _n long, _lines array<long>")
 
 
-def _bodies(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, body) of the different lines of each batch that are among ``ids``, and of few others."""
+def _bodies(docs: DataFrame, ids: DataFrame, num: int, den: int) -> DataFrame:
+    """(id, body, cls) of the different lines of each batch that are among ``ids``, and of few others; ``cls``: the class of the set's size."""
     shared = docs.sparkSession.sparkContext.broadcast(links.sieve(ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,13 +196,17 @@ def _bodies(docs: DataFrame, ids: DataFrame) -> DataFrame:
             norms = distinct(texts)
             got = np.array([line_id(n) for n in norms], np.int64)
             k = np.flatnonzero(links.sifted(got, bits))
-            yield pa.RecordBatch.from_arrays([pa.array(got[k]), pa.array([norms[i].encode("utf-8", "surrogatepass") for i in k.tolist()], pa.binary())], names=["id", "body"])
+            body = [norms[i].encode("utf-8", "surrogatepass") for i in k.tolist()]
+            cls = links.size_class(np.array([len(s) for s in shingle_sets(body)], np.int64), num, den)
+            yield pa.RecordBatch.from_arrays([pa.array(got[k]), pa.array(body, pa.binary()), pa.array(cls, pa.int32())], names=["id", "body", "cls"])
 
-    return docs.select("_k", "text").mapInArrow(run, "id long, body binary")
+    return docs.select("_k", "text").mapInArrow(run, "id long, body binary, cls int")
 
 
-def line_components(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
-    """(id, component) of the lines that are linked to another line, but each component's own smallest id."""
+def line_components(docs: DataFrame, num: int = 80, den: int = 100, block: int = 8_000_000) -> DataFrame:
+    """(id, component) of the lines that are linked to another line, but each component's own smallest id.
+
+    Candidate groups of more than ``block`` bytes are compared by pairs of blocks of fitting sizes; the result does not depend on it."""
     spark = docs.sparkSession
     n = kit.parts(spark)
     size = docs.agg(F.sum(F.length("text"))).collect()[0][0] or 0
@@ -210,11 +214,10 @@ def line_components(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame
     comps = links.components(links.alike_edges(_bands(docs, plan, 4 * n), n), thin=True)
     kit.release(spark)
     groups = kit.cut(comps.select("id", F.col("component").alias("grp")).unionByName(comps.select(F.col("component").alias("id"), F.col("component").alias("grp")).distinct()))
-    members = kit.cut(kit.beside(_bodies(docs, groups), groups, "id").select("grp", "id", "body").dropDuplicates(["id"]))
+    members = kit.cut(kit.beside(_bodies(docs, groups, num, den), groups, "id").select("grp", "id", "body", "cls").dropDuplicates(["id"]))
     kit.drop(comps, groups)
     kit.release(spark)
-    sizes = links.blocks_of(members.select("grp", (F.length("body") + 8).alias("bytes")), 2_000_000)
-    return links.link_groups(kit.beside(members, sizes, "grp"), shingle_sets, num, den)
+    return links.link_groups(links.by_class(members, block, 1000), shingle_sets, num, den, links.linked_by_size)
 
 
 def removals(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:

@@ -367,6 +367,65 @@ def _search(sets: list[np.ndarray], num: int, den: int, side: np.ndarray | None)
     return comp
 
 
+def bitmaps(sets: list[np.ndarray], bits: int) -> np.ndarray:
+    """A row of ``bits`` bits or more for each sorted set, of hashes, whose elements set the bits that their first bits name."""
+    w = max(6, (bits - 1).bit_length())
+    x = np.concatenate(sets) >> U(64 - w)
+    word = np.repeat(np.arange(len(sets), dtype=np.int64) << w - 6, [len(s) for s in sets]) + (x >> U(6)).astype(np.int64)
+    at = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+    out = np.zeros(len(sets) << w - 6, np.uint64)
+    out[word[at]] = np.bitwise_or.reduceat(U(1) << (x & U(63)), at)
+    return out.reshape(len(sets), -1)
+
+
+def linked_by_size(sets: list[np.ndarray], num: int, den: int, side: np.ndarray | None = None) -> np.ndarray:
+    """As ``linked``, in order of size: sets meet those of fitting size only, and are looked at whole if their bitmaps let them link.
+
+    A bit of one set that the other lacks stands for an element or more that the other lacks, so no link is missed; what
+    unrelated sets cost is some words of their bitmaps."""
+    if len(sets) <= 6:
+        return _search(sets, num, den, side) if len(sets) > 1 else np.arange(len(sets))
+    size = np.array([len(s) for s in sets], np.int64)
+    order = np.argsort(size, kind="stable")
+    size, sets = size[order], [sets[i] for i in order.tolist()]
+    side = None if side is None else side[order]
+    stop = np.searchsorted(num * size, den * size, side="right")
+    comp = np.arange(len(sets))
+    lo = 0
+    while lo < len(sets):
+        hi = int(stop[lo])
+        some, top = sets[lo : stop[hi - 1]], int(size[stop[hi - 1] - 1])
+        coarse, bits = np.ascontiguousarray(bitmaps(some, 2 * top).T), bitmaps(some, 8 * top)
+        step = max(16, (1 << 17) // len(coarse))
+        for q in range(lo, hi):
+            open_ = comp[q + 1 : stop[q]] != comp[q]
+            if side is not None:
+                open_ &= side[q + 1 : stop[q]] != side[q]
+            k = np.flatnonzero(open_) + q + 1
+            for at in range(0, len(k), step):
+                j = k[at : at + step]
+                j = j[comp[j] != comp[q]]
+                lacks = np.bitwise_count(coarse[:, q - lo, None] & ~np.take(coarse, j - lo, axis=1)).sum(0, dtype=np.uint32)
+                j = j[(num + den) * (size[q] - lacks) >= num * (size[q] + size[j])]
+                lacks = np.bitwise_count(bits[q - lo] & ~bits[j - lo]).sum(1, dtype=np.int64)
+                j = j[(num + den) * (size[q] - lacks) >= num * (size[q] + size[j])]
+                lacks = np.bitwise_count(bits[j - lo] & ~bits[q - lo]).sum(1, dtype=np.int64)
+                j = j[(num + den) * (size[j] - lacks) >= num * (size[q] + size[j])]
+                for i in j.tolist():
+                    if comp[i] == comp[q]:
+                        continue
+                    both = overlap(sets[q], sets[i])
+                    if den * both >= num * (size[q] + size[i] - both):
+                        a, b = comp[q], comp[i]
+                        comp[comp == max(a, b)] = min(a, b)
+        lo = hi
+    least = np.full(len(sets), len(sets))
+    np.minimum.at(least, comp, order)
+    out = np.empty(len(sets), np.int64)
+    out[order] = least[comp]
+    return out
+
+
 def finer(chunks: DataFrame, num: int, den: int, targets: int, parts: int) -> DataFrame:
     """(id, component): candidate components of sets that share an element among the rarest of each, rarest over all ``chunks``.
 
@@ -447,23 +506,42 @@ def blocks_of(sizes: DataFrame, block_bytes: int) -> DataFrame:
     return sizes.groupBy("grp").agg(F.greatest(F.lit(1), F.ceil(F.sum("bytes") / block_bytes)).cast("int").alias("_blocks"))
 
 
-def link_groups(members: DataFrame, to_sets: Callable[[list[bytes]], list[np.ndarray]], num: int, den: int) -> DataFrame:
+def size_class(n: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Ranges of set sizes, numbered, such that sets that can link lie in one range or in two neighbouring ones."""
+    return (np.log(np.maximum(n, 1)) / (np.log(den / num) * (1 + 1e-9))).astype(np.int32)
+
+
+def by_class(members: DataFrame, block_bytes: int, least: int) -> DataFrame:
+    """(grp, id, body, _blocks, _shared) from (grp, id, body, cls): groups of more than one block as groups of two
+    neighbouring size classes each, so that blocks meet only where sizes fit; their rows are in two groups (``_shared``).
+
+    A row counts for its body and ``least`` bytes."""
+    weight = (F.length("body") + least).alias("bytes")
+    whole = kit.beside(members, blocks_of(members.select("grp", weight), block_bytes), "grp")
+    one = whole.where("_blocks = 1").select("grp", "id", "body", "_blocks", F.lit(False).alias("_shared"))
+    many = whole.where("_blocks > 1").select(F.explode(F.array(F.xxhash64("grp", "cls"), F.xxhash64("grp", F.col("cls") + 1))).alias("grp"), "id", "body")
+    sized = kit.beside(many, blocks_of(many.select("grp", weight), block_bytes), "grp")
+    return one.unionByName(sized.select("grp", "id", "body", "_blocks", F.lit(True).alias("_shared")))
+
+
+def link_groups(members: DataFrame, to_sets: Callable[[list[bytes]], list[np.ndarray]], num: int, den: int, link: Callable = linked) -> DataFrame:
     """Exact components inside candidate groups: (id, component) for ids that are not their component's smallest.
 
-    ``members``: (grp, id, body, _blocks), with ``_blocks`` from ``blocks_of``; ``to_sets`` gives the sets of a batch of
-    bodies. Groups of one block are settled in one task; equal rows count once.
+    ``members``: (grp, id, body, _blocks), with ``_blocks`` from ``blocks_of``, or rows of ``by_class``; ``to_sets`` gives the
+    sets of a batch of bodies, ``link`` the components of sets. Groups of one block are settled in one task; equal rows count once.
     Larger ones are dealt into blocks by a hash of the id and every pair of blocks is settled in a task of its
     own; the edges of such groups go through ``components``."""
     spark = members.sparkSession
+    shared = F.col("_shared") if "_shared" in members.columns else F.lit(False)
     sized = members.withColumn("_own", F.pmod(F.xxhash64("id", F.lit(7)), F.col("_blocks")).cast("int"))
     other = F.when(F.col("_blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("_blocks") - 1))
-    pairs = sized.withColumn("_other", F.explode(other)).select("grp", F.least("_own", "_other").alias("_a"), F.greatest("_own", "_other").alias("_b"), "_own", (F.col("_blocks") > 1).alias("_large"), "id", "body")
+    pairs = sized.withColumn("_other", F.explode(other)).select("grp", F.least("_own", "_other").alias("_a"), F.greatest("_own", "_other").alias("_b"), "_own", ((F.col("_blocks") > 1) | shared).alias("_large"), "id", "body")
 
     def settle(rows: list[tuple]) -> tuple[list[int], list[int], list[bool]]:
         rows = list({r[5]: r for r in sorted(rows, key=lambda r: r[5])}.values())
         sets = [r[6] for r in rows]
         side = np.array([r[3] for r in rows]) if rows[0][1] != rows[0][2] else None
-        comp = linked(sets, num, den, side)
+        comp = link(sets, num, den, side)
         k = np.flatnonzero(comp != np.arange(len(rows)))
         return [rows[i][5] for i in k], [rows[comp[i]][5] for i in k], [rows[i][4] for i in k]
 
@@ -479,7 +557,7 @@ def link_groups(members: DataFrame, to_sets: Callable[[list[bytes]], list[np.nda
             return b
 
         kit.trim()
-        for *of, bodies in (x for b in batches for x in ([c.to_pylist() for c in b.slice(i, 1000).columns] for i in range(0, b.num_rows, 1000))):
+        for *of, bodies in kit.slices(batches, 6):
             for row in zip(*of, to_sets(bodies)):
                 if held and row[:3] != held[0][:3]:
                     for c, x in zip((u, v, w), settle(held)):
