@@ -28,7 +28,8 @@ def test_unlike_sets_are_not_looked_at_whole(monkeypatch):
     """Long lines of one language share a third of their shingles and are candidates by chance."""
     rng = np.random.default_rng(3)
     common = rng.integers(0, 2**64, 3000, dtype=np.uint64)
-    sets = [kit.unique(np.concatenate([common[rng.random(3000) < 0.7], rng.integers(0, 2**64, 800, dtype=np.uint64)])) for _ in range(80)]
+    rare = rng.integers(0, 2**64, 32_000, dtype=np.uint64)  # each is held by two sets or so
+    sets = [kit.unique(np.concatenate([common[rng.random(3000) < 0.7], rng.choice(rare, 800, False)])) for _ in range(80)]
     seen, whole = [], links.overlap
     monkeypatch.setattr(links, "overlap", lambda a, b: seen.append(1) or whole(a, b))
     link = getattr(links, "linked_by_size", links.linked)
