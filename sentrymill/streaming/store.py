@@ -42,6 +42,12 @@ def actor_of(hassh: Column) -> Column:
     return F.concat("source", F.lit(":"), F.when((F.col("source") == "cowrie") & (hassh != ""), hassh).otherwise(F.col("src_ip")))
 
 
+def sorted_side(rows: DataFrame) -> DataFrame:
+    """Rows that grow with the events, for a merge join at every size: files so small that Spark would gather them in the driver
+    hold many times as much once they are read."""
+    return rows.hint("merge")
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str, buckets: int = 64, admins: tuple[str, ...] = (), fit: bool = False):
         self.spark, self.buckets, self.admins, self.fit = spark, buckets, admins, fit
@@ -91,7 +97,7 @@ class Store:
             keys = self.touched(table, delta if rebuilt is None else delta.select("source", "bucket").unionByName(rebuilt.select(F.split("actor_id", ":")[0].alias("source"), self.bucket("actor_id"))))
             stored = self.tables.read(table, keys, state)
             if rebuilt is not None:
-                stored, delta = stored.join(rebuilt, "actor_id", "left_anti"), delta.join(rebuilt, "actor_id", "left_anti").unionByName(self.deltas(again)[table])
+                stored, delta = stored.join(sorted_side(rebuilt), "actor_id", "left_anti"), delta.join(sorted_side(rebuilt), "actor_id", "left_anti").unionByName(self.deltas(again)[table])
             # a partition that loses its last row gets no folder, so every touched key is named
             out[table] = {k: [] for k in keys} | self.tables.write(table, self.merged(table, stored.unionByName(delta.select(*stored.columns))))
         return out
@@ -111,7 +117,7 @@ class Store:
 
         fresh = self.shaped(events)
         days = [self.tables.key("events", *r) for r in fresh.select("source", "dt").distinct().collect()]
-        fresh = fresh.join(self.tables.read("events", days, state).select("digest"), "digest", "left_anti")
+        fresh = fresh.join(sorted_side(self.tables.read("events", days, state).select("digest")), "digest", "left_anti")
         # bindings of the batch's sessions: the buckets just merged, and others as they are stored
         sessions = [self.tables.key("bindings", r[0]) for r in fresh.where("session_id <> ''").select(self.bucket("session_id")).distinct().collect()]
         rest = self.tables.read("bindings", [k for k in sessions if k not in replaced.get("bindings", {})], state)
@@ -128,7 +134,7 @@ class Store:
             replaced |= self.folded(state, fresh)
         else:
             rebuilt, again = moved
-            replaced |= self.folded(state, fresh, rebuilt, again.unionByName(fresh.join(rebuilt, "actor_id", "left_semi")))
+            replaced |= self.folded(state, fresh, rebuilt, again.unionByName(fresh.join(sorted_side(rebuilt), "actor_id", "left_semi")))
         self.tables.change(number, state, replaced, added, done={stream: batch} if stream else None)
         return True
 
@@ -142,12 +148,12 @@ class Store:
         replaced["bindings"] = self.tables.write("bindings", merged)
         paths = [f"{self.tables.root}/{p}" for ps in replaced["bindings"].values() for p in ps]
         merged = self.spark.read.schema(TABLES["bindings"][0]).parquet(*paths) if paths else stored
-        late = merged.where("coalesce(hassh, '') <> ''").join(stored.where("coalesce(hassh, '') <> ''").select("session_id"), "session_id", "left_anti")
+        late = merged.where("coalesce(hassh, '') <> ''").join(sorted_side(stored.where("coalesce(hassh, '') <> ''").select("session_id")), "session_id", "left_anti")
         return merged, late.select("session_id", F.col("hassh").alias("_late"), "bucket")
 
     def stamped(self, events: DataFrame, bound: DataFrame) -> DataFrame:
         """Events with their session's fingerprint, unless they have one, and their actor; administrators' logins go."""
-        got = events.join(bound.where("coalesce(hassh, '') <> '' and session_id <> ''").select("session_id", F.col("hassh").alias("_h")), "session_id", "left")
+        got = events.join(sorted_side(bound.where("coalesce(hassh, '') <> '' and session_id <> ''").select("session_id", F.col("hassh").alias("_h"))), "session_id", "left")
         got = got.withColumn("hassh", F.coalesce(F.nullif("hassh", F.lit("")), "_h", F.lit(""))).drop("_h")
         got = got.withColumn("actor_id", F.when(F.col("src_ip") == "", "").otherwise(actor_of(F.col("hassh"))))
         return (without_admins(got, self.admins, self.fit) if self.admins else got).select(*events.columns)
@@ -156,20 +162,20 @@ class Store:
         """Moves stored events of sessions whose fingerprint comes late; (actors to rebuild, all their stored events), None if none moved."""
         keys = self.touched("unbound", late)
         waiting = self.tables.read("unbound", keys, state)
-        moved = waiting.join(late.drop("bucket"), "session_id")
+        moved = waiting.join(sorted_side(late.drop("bucket")), "session_id")
         days = [self.tables.key("events", "cowrie", r[0]) for r in moved.select(F.col("dt").cast("string")).distinct().collect()]
         if not days:
             return None
         stored = self.tables.read("events", days, state)
-        with_late = stored.join(late.drop("bucket"), "session_id", "left")
+        with_late = stored.join(sorted_side(late.drop("bucket")), "session_id", "left")
         hassh = F.coalesce(F.nullif("hassh", F.lit("")), "_late", F.lit(""))
         with_late = with_late.withColumn("hassh", hassh).withColumn("actor_id", F.when(F.col("actor_id") == "", "").otherwise(actor_of(F.col("hassh")))).select(*stored.columns)
         replaced["events"] = self.tables.write("events", with_late)
-        replaced["unbound"] = {k: [] for k in keys} | self.tables.write("unbound", waiting.join(late.select("session_id"), "session_id", "left_anti"))
+        replaced["unbound"] = {k: [] for k in keys} | self.tables.write("unbound", waiting.join(sorted_side(late.select("session_id")), "session_id", "left_anti"))
         ids = moved.select("actor_id").unionByName(moved.select(F.concat(F.lit("cowrie:"), "_late").alias("actor_id"))).where("actor_id <> ''").distinct()
         now = {"tables": {**state["tables"], "events": {**state["tables"]["events"], **replaced["events"]}}}
         rest = self.tables.read("events", lambda k: k.startswith("_source=cowrie/"), now)
-        return ids, rest.join(ids, "actor_id", "left_semi")
+        return ids, rest.join(sorted_side(ids), "actor_id", "left_semi")
 
     def replace(self, source: str, events: DataFrame) -> None:
         """The events of one source and its actors, replaced whole; other sources stay as they are."""

@@ -123,3 +123,14 @@ def test_an_empty_store(spark, tmp_path, events):
     assert s.events().count() == 0 and s.actors().count() == 0
     s.purge("2025-01-01")
     assert s.ingest(events.limit(0)) and s.actors().count() == 0 and A.fold(s.tables.read("actors")).count() == 0
+
+
+def test_no_join_gathers_stored_rows_in_the_driver(spark, tmp_path, events, monkeypatch):
+    """Files are small beside the rows they hold: what grows with the events is joined by merging, however little there is."""
+    s, plans, write = Store(spark, str(tmp_path / "s"), 2), [], Versions.write
+    monkeypatch.setattr(Versions, "write", lambda self, table, rows: (plans.append(rows._jdf.queryExecution().executedPlan().toString()), write(self, table, rows))[1])
+    bound = events.where("session_id <> ''").select("session_id", F.lit("h").alias("hassh"), F.lit(None).cast("long").alias("duration_ms"), F.lit("").alias("arch"), F.col("ts").alias("observed_at")).dropDuplicates(["session_id"])
+    s.ingest(events.where("id % 2 = 0"))
+    s.ingest(events.where("id % 2 = 1"), bound)
+    s.replace("journal", events)
+    assert sum("SortMergeJoin" in p for p in plans) > 5 and not any("BroadcastHashJoin" in p for p in plans)
