@@ -229,6 +229,6 @@ class Store:
     def actors(self) -> DataFrame:
         """Stored actors, labelled and scored."""
         users = self.tables.read("actor_users").groupBy("actor_id").agg(F.array_sort(F.collect_list("username")).alias("users"))
-        state = self.tables.read("actors").drop("bucket").join(users, "actor_id", "left").withColumn("users", F.coalesce("users", F.array().cast("array<string>")))
+        state = self.tables.read("actors").drop("bucket").join(sorted_side(users), "actor_id", "left").withColumn("users", F.coalesce("users", F.array().cast("array<string>")))
         state = state.withColumn("hassh", F.coalesce("hassh", F.lit("")))
         return A.label(state.withColumn("primary_ip", F.col("first.src_ip")).withColumn("ssh_client", F.coalesce("client.ssh_client", F.lit(""))).drop("first", "client"))

@@ -133,4 +133,5 @@ def test_no_join_gathers_stored_rows_in_the_driver(spark, tmp_path, events, monk
     s.ingest(events.where("id % 2 = 0"))
     s.ingest(events.where("id % 2 = 1"), bound)
     s.replace("journal", events)
+    plans.append(s.actors()._jdf.queryExecution().executedPlan().toString())
     assert sum("SortMergeJoin" in p for p in plans) > 5 and not any("BroadcastHashJoin" in p for p in plans)
