@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import aggregates as A
 from ..operators import scratch
 from ..streaming import journal_state, live
-from ..streaming.store import Store
+from ..streaming.store import Store, sorted_side
 from .base import D3, D7, query
 from .intel import ACTORS, journal_lines, sensor_log
 
@@ -85,7 +85,7 @@ def stored_replace(spark, e, d):
     s = filled(spark, e)
     s.replace("journal", A.since(e, D3).where("source = 'journal'"))
     events = s.events().groupBy("actor_id").agg(F.first("source").alias("source"), F.count("*").alias("n"), A.stamp(F.min("ts")).alias("first_ts"))
-    return events.join(s.tables.read("actors").select("actor_id", F.col("event_count").alias("n")), ["actor_id", "n"]).select("actor_id", "source", "n", "first_ts")
+    return events.join(sorted_side(s.tables.read("actors").select("actor_id", F.col("event_count").alias("n"))), ["actor_id", "n"]).select("actor_id", "source", "n", "first_ts")
 
 
 @query(
