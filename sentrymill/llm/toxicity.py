@@ -26,6 +26,11 @@ from . import kit
 WORD = re.compile(r"[^\W_]+")
 #: A word written in disguise: letters with digits or symbols between them.
 DISGUISED = re.compile(r"[^\W\d_]+(?:[0-9@$*!|]+[^\W\d_]+)+|[@$*!|0-9]+[^\W\d_]{2,}")
+#: What every disguised word holds, and what it lies in: such runs are found by their few digits and symbols.
+MARKED, RUN, MARKS = re.compile(r"[0-9@$*!|][^\W\d_]"), re.compile(r"(?:[^\W\d_]|[0-9@$*!|])+"), frozenset("0123456789@$*!|")
+CAPITALS = bytes(c for c in range(256) if re.match(r"[A-ZÀ-ÖØ-Þ]", chr(c)))
+#: Words whose weight a task keeps.
+KNOWN = 100_000
 PLAIN = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l", "*": None})
 SECOND = frozenset("you your yours yourself u ur tu te toi ton ta tes vous votre vos du dich dir dein deine ihr euch euer tú ti usted ustedes vosotros".split())
 FEATURES = 16
@@ -39,13 +44,30 @@ def terms(word: str) -> tuple[str, ...]:
     return ("=" + word, word[:4] + "-", word[:5] + "-") if n > 4 else ("=" + word, word + "-")
 
 
-def features(text: str | None, lexicon: dict[str, float]) -> list[float]:
-    t = text or ""
+def disguised(t: str) -> list[str]:
+    """All that ``DISGUISED`` finds; words without digits or symbols are not tried, letter by letter, one after another."""
+    out, end = [], 0
+    while m := MARKED.search(t, end):
+        at = m.start()
+        while at > end and ((c := t[at - 1]) in MARKS or c.isalnum() and not c.isdecimal()):
+            at -= 1
+        end = RUN.match(t, at).end()
+        out += DISGUISED.findall(t, at, end)
+    return out
+
+
+def features(text: str | None, lexicon: dict[str, float], known: dict[str, float] | None = None) -> list[float]:
+    """``known`` keeps the weights of words for further texts and the same lexicon."""
+    t, known = text or "", {} if known is None else known
     words = WORD.findall(t.lower())
     n = len(words)
     hits: list[tuple[int, float]] = []
     uniq = set(words)
-    weight = {w: s for w in uniq if (s := max((lexicon[x] for x in terms(w) if x in lexicon), default=0.0)) > 0}
+    if len(known) > KNOWN:
+        known.clear()
+    for w in uniq.difference(known):
+        known[w] = max((lexicon[x] for x in terms(w) if x in lexicon), default=0.0)
+    weight = {w: s for w in uniq if (s := known[w]) > 0}
     if weight:
         hits = [(i, weight[w]) for i, w in enumerate(words) if w in weight]
     near = 0
@@ -56,10 +78,10 @@ def features(text: str | None, lexicon: dict[str, float]) -> list[float]:
         left = np.abs(at - second[np.maximum(j - 1, 0)])
         right = np.abs(second[np.minimum(j, len(second) - 1)] - at)
         near = int((np.minimum(left, right) <= 4).sum())
-    odd = DISGUISED.findall(t)
+    odd = disguised(t)
     odd_hits = sum(1 for w in odd if any(x in lexicon for x in terms(w.lower().translate(PLAIN))))
     letters = sum(map(len, words))
-    caps = len(re.findall(r"[A-ZÀ-ÖØ-Þ]", t))
+    caps = len(t) - len(t.encode("latin-1", "replace").translate(None, CAPITALS))
     bangs = t.count("!") + t.count("?")
     marks = len(t) - letters - t.count(" ") - t.count("\n")
     total = sum(s for _, s in hits)
@@ -219,12 +241,13 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kit.trim()
+        known: dict[str, float] = {}
         for b in (b.slice(lo, hi - lo) for b in batches for lo, hi in kit.bounds(b.column(at), 1_000_000)):
             if isinstance(model, float):
                 s = np.full(b.num_rows, model)
             else:
                 lexicon, trees, steps = model
-                x = np.array([features(t, lexicon) for t in b.column(at).to_pylist()], float).reshape(-1, FEATURES)
+                x = np.array([features(t, lexicon, known) for t in b.column(at).to_pylist()], float).reshape(-1, FEATURES)
                 s = calibrated(steps, trees(x))
             guesses = (s >= threshold).astype(np.int32)
             if keep:  # rejected documents never leave the worker
