@@ -69,6 +69,7 @@ class Edges:
     def __init__(self):
         self.u: list[int] = []
         self.v: list[int] = []
+        self.most = 400_000
 
     def add(self, e: np.ndarray) -> None:
         e = e[e[:, 0] != e[:, 1]]
@@ -76,8 +77,9 @@ class Edges:
         e = e[np.concatenate([[True], (e[1:] != e[:-1]).any(1)])] if len(e) else e
         self.u += e[:, 0].tolist()
         self.v += e[:, 1].tolist()
-        if len(self.u) > 400_000:
+        if len(self.u) > self.most:
             self.thin()
+            self.most = max(self.most, 2 * len(self.u))  # else a forest of more would be made anew at every call
 
     def thin(self) -> None:
         f = _forest(self.u, self.v)

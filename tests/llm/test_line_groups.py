@@ -51,3 +51,14 @@ def test_components_do_not_depend_on_the_block(spark):
     docs = kit.keyed(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string"))
     found = [{(r["id"], r["component"]) for r in lines.line_components(docs, block=b).collect()} for b in (8_000_000, 12_000)]
     assert found[0] and found[0] == found[1]
+
+
+def test_a_large_forest_is_not_made_anew_for_every_few_edges(monkeypatch):
+    made, forest = [], links._forest
+    monkeypatch.setattr(links, "_forest", lambda u, v: made.append(len(u)) or forest(u, v))
+    edges, n = links.Edges(), 450_000
+    edges.add(np.column_stack([np.arange(1, n), np.zeros(n - 1, np.int64)]))
+    for i in range(20):
+        edges.add(np.array([[n + i, n + i - 1]]))
+    got = edges.batch()
+    assert len(made) <= 2 and got.num_rows == n + 19 and set(got.column(1).to_pylist()) == {0}
